@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, sharding, simhash, toxicity
+from tidemark.llm import media, packing, sharding, simhash, substring, toxicity
 from tidemark.storage import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
@@ -36,5 +40,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
