@@ -96,6 +96,9 @@ def owner(offsets: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of the values of each text, in double precision."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sum of the values of each text; 0 where it has none."""
+    out = np.zeros(len(offsets) - 1, values.dtype)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[full])
+    return out
