@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm, media, packing, sharding, simhash, substring, toxicity
+from tidemark.llm import decontam, lm, media, packing, sharding, simhash, substring, toxicity
 from tidemark.storage import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_signature_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op7_log_bilinear_lm": op7_log_bilinear_lm, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_bm25_decontamination": op1_bm25_decontamination, "op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op7_log_bilinear_lm": op7_log_bilinear_lm, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
