@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lm, media, packing, sharding, simhash, substring, toxicity
+from tidemark.llm import decontam, lm, media, packing, pii, secrets, sharding, simhash, substring, toxicity
 from tidemark.storage import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,14 @@ def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+def op6_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(read(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op7_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.learn_and_score(read(spark, sf_dir, "documents"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -49,5 +57,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op1_bm25_decontamination": op1_bm25_decontamination, "op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op7_log_bilinear_lm": op7_log_bilinear_lm, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_bm25_decontamination": op1_bm25_decontamination, "op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op5_trigram_secrets": op5_trigram_secrets, "op6_checked_pii": op6_checked_pii, "op7_log_bilinear_lm": op7_log_bilinear_lm, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 SQL: dict[str, str] = {}
