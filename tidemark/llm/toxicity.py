@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import encode, filled, hashes, map_texts, owner, sums, words
+from tidemark.llm.text import encode, filled, hashes, map_texts, owner, slices, sums, words
 
 STEMS = (4, 5, 6)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,12 +34,12 @@ class Settings:
 
     bits: int = 20
     least: int = 4
-    fit_rows: int = 8_192
+    fit_rows: int = 4_096
     fit_bytes: int = 32 << 20
     epochs: int = 4
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 5.0
     l2: float = 0.5
 
 
@@ -83,9 +83,16 @@ def grams(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple
 
 def fit(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
     """FTRL-proximal over the given rows, in the given order. With one class only, the bias alone says so."""
-    doc, feature = grams(texts, settings.bits)
-    common = np.bincount(feature, minlength=1 << settings.bits) >= settings.least
-    doc, feature = doc[common[feature]], feature[common[feature]]
+    parts = [x.column(0) for x in slices(pa.record_batch([texts.cast(pa.string())], names=["text"]), "text")]
+    seen = np.zeros(1 << settings.bits, np.int64)
+    for x in parts:
+        seen += np.bincount(grams(x, settings.bits)[1], minlength=len(seen))
+    common, before, found = seen >= settings.least, 0, []
+    for x in parts:
+        d, f = grams(x, settings.bits, common)
+        found.append((d + before, f))
+        before += len(x)
+    doc, feature = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in (0, 1))
     at = np.searchsorted(doc, np.arange(len(labels) + 1))
     size = 1 << settings.bits
     z, n, bias_z, bias_n = np.zeros(size), np.zeros(size), 0.0, 0.0
