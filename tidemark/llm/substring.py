@@ -63,13 +63,15 @@ class Windows:
         self.begin = np.flatnonzero(np.arange(len(word)) + width <= self.offsets[1:][self.doc]) if len(word) else np.empty(0, np.int64)
         self.word, self.width = word, width
 
-    def minimizers(self) -> np.ndarray:
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window the least hash of its shorter k-mers, and the first place that has it."""
         short = self.width // 2
         each, at = _rolled(self.word, short, _B2), self.begin
-        out = each[at] if len(at) else np.empty(0, np.uint64)
+        out, place = each[at] if len(at) else np.empty(0, np.uint64), at
         for j in range(1, self.width - short + 1):
-            out = np.minimum(out, each[at + j])
-        return out
+            less = each[at + j] < out
+            out, place = np.where(less, each[at + j], out), np.where(less, at + j, place)
+        return out, place
 
     def identities(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.begin[keep]
@@ -136,7 +138,9 @@ def repeated_spans(docs: DataFrame, *, width: int = 20, text: str = "text", doc_
 
     def make_minimizers():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, n = np.unique(Windows(batch.column(1), width).minimizers(), return_counts=True)
+            least, place = Windows(batch.column(1), width).minimizers()
+            # windows that share one occurrence of their minimizer count once
+            found, n = np.unique(least[np.diff(place, prepend=-1) != 0], return_counts=True)
             return pa.record_batch([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["m", "n"])
 
         return step
@@ -150,7 +154,7 @@ def repeated_spans(docs: DataFrame, *, width: int = 20, text: str = "text", doc_
     def make_edges():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             w = Windows(batch.column(1), width)
-            keep = _passes(table.value, w.minimizers())
+            keep = _passes(table.value, w.minimizers()[0])
             h, c = w.identities(keep)
             begin = w.begin[keep]
             row = w.doc[begin]
