@@ -48,18 +48,19 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long. A null or blank text has 0."""
+    """(doc_id, tag, fp): a hash of each text and its fingerprint as a signed long. A null or blank text has fp 0."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             known: dict = {}
             out = [known[x] if x in known else known.setdefault(x, fingerprint(x, width)) for x in batch.column(1).to_pylist()]
-            return pa.record_batch([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            return pa.record_batch([batch.column(0), batch.column(2), pa.array(np.array(out, np.uint64).view(np.int64))], names=schema.names)
 
         return step
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", make, schema)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "tag", "fp")])
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("tag"))
+    return map_texts(own, "text", make, schema)
 
 
 def masks(radius: int, level: int = 0) -> list[int]:
@@ -132,10 +133,29 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     give a row each; a null doc_id is never the least while another exists.
     Other columns are not read, an empty table gives an empty one.
     """
+    return _classes(docs, text, doc_id, width, radius, crowd).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, width: int, radius: int, crowd: int) -> DataFrame:
     prints = stage(fingerprints(docs, text=text, doc_id=doc_id, width=width), "fingerprints")
     first = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     star = components(links(first.select("fp"), radius=radius, crowd=crowd))
     rooted = first.join(star.withColumnRenamed("node", "fp").hint("shuffle_merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     named = stage(rooted.join(least.hint("shuffle_merge"), "root").select("fp", "component_id"), "named")
-    return prints.join(named.hint("shuffle_merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named.hint("shuffle_merge"), "fp")
+
+
+def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4, crowd: int = 512) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each group: the least doc_id.
+
+    Rows that repeat that id are all of it and stay together. Rows without an
+    id go if their group has one, else they stay. What goes is looked up by id
+    and a hash of the text.
+    """
+    classes = _classes(docs, text, doc_id, width, radius, crowd)
+    loses = F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())
+    gone = stage(classes.filter(loses).select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__tag")).distinct(), "near-copies")
+    own = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__own": F.xxhash64(F.col(text).cast("string"))})
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__tag"))
+    return own.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__id", "__own")
