@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.plans import labels
+from tidemark.plans import books, labels
 from tidemark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "labels"]
+__all__ = ["QUERIES", "SQL", "books", "labels"]
