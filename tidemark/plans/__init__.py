@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.plans import books, labels, survival
+from tidemark.plans import backtests, books, labels, survival
 from tidemark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "books", "labels", "survival"]
+__all__ = ["QUERIES", "SQL", "backtests", "books", "labels", "survival"]
