@@ -22,8 +22,8 @@ class Threshold:
     most: float
     fill: float = 0.0
 
-    def __call__(self, favorable: Column = F.col("favorable"), toxic: Column = F.col("toxic")) -> Column:
-        total = favorable + toxic
+    def __call__(self, favorable: str = "favorable", toxic: str = "toxic") -> Column:
+        total, toxic = F.col(favorable) + F.col(toxic), F.col(toxic)
         share = F.coalesce(F.try_divide(toxic, total), F.lit(0.0))
         return (share <= self.most) & (total >= self.fill)
 
@@ -34,8 +34,8 @@ class ToxicCif:
 
     most: float
 
-    def __call__(self, toxic: Column = F.col("toxic")) -> Column:
-        return toxic <= self.most
+    def __call__(self, toxic: str = "toxic") -> Column:
+        return F.col(toxic) <= self.most
 
 
 def always() -> Column:
