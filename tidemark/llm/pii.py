@@ -124,16 +124,16 @@ def redact(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFr
     is replaced and the other one, too, if it reaches further: its rest goes
     with it. A null text stays null.
     """
-    rules = BASE + MORE
     columns = docs.columns
-    found = scan(docs, text=text)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(text).cast("string").alias("__value"))
+    found = scan(rows, text="__value")
 
     def cuts(kind: str) -> Column:
         high = F.filter(f"s_{kind}", lambda x: score(kind, x) >= least)
         return F.transform(high, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), F.lit(f"<{kind}>").alias("by")))
 
-    found = found.withColumn("__cuts", F.array_sort(F.concat(*(cuts(r.kind) for r in rules)))).drop(*(f"s_{r.kind}" for r in rules))
-    value = F.col(text)
+    found = found.select("__row", "__value", F.array_sort(F.concat(*(cuts(r.kind) for r in BASE + MORE))).alias("__cuts"))
+    value = F.col("__value")
 
     def step(acc: Column, x: Column) -> Column:
         end = -x["end"]
@@ -143,4 +143,5 @@ def redact(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFr
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("__cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(value, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return found.withColumn(text, F.when(F.size("__cuts") > 0, clean).otherwise(value)).select(*columns)
+    masked = F.when(F.size("__cuts") > 0, clean).otherwise(value)
+    return found.select(*((masked if c == text else F.col(f"__row.`{c}`")).alias(c) for c in columns))
