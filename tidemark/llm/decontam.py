@@ -42,7 +42,7 @@ class Settings:
     passage: int = 64
     stride: int = 32
     reach: float = 0.5
-    question: float = 0.6
+    question: float = 0.5
     answer: float = 0.6
     shingle: int = 5
     k1: float = 1.2
