@@ -83,17 +83,16 @@ def grams(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple
 
 def fit(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
     """FTRL-proximal over the given rows, in the given order. With one class only, the bias alone says so."""
-    parts = [x.column(0) for x in slices(pa.record_batch([texts.cast(pa.string())], names=["text"]), "text")]
-    seen = np.zeros(1 << settings.bits, np.int64)
+    parts = [x.column(0) for x in slices(pa.record_batch([texts.cast(pa.string())], names=["text"]), "text", 1 << 20)]
+    seen = np.zeros(1 << settings.bits, np.int32)
     for x in parts:
-        seen += np.bincount(grams(x, settings.bits)[1], minlength=len(seen))
-    common, before, found = seen >= settings.least, 0, []
+        seen += np.bincount(grams(x, settings.bits)[1], minlength=len(seen)).astype(np.int32)
+    common, count, found = seen >= settings.least, [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for x in parts:
         d, f = grams(x, settings.bits, common)
-        found.append((d + before, f))
-        before += len(x)
-    doc, feature = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in (0, 1))
-    at = np.searchsorted(doc, np.arange(len(labels) + 1))
+        count.append(np.bincount(d, minlength=len(x)))
+        found.append(f.astype(np.int32))
+    feature, at = np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(count))])
     size = 1 << settings.bits
     z, n, bias_z, bias_n = np.zeros(size), np.zeros(size), 0.0, 0.0
     s = settings
