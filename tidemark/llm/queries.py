@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lm, media, packing, pii, secrets, sharding, simhash, substring, toxicity
+from tidemark.llm import decontam, lm, media, oracles, packing, pii, secrets, sharding, simhash, substring, toxicity
 from tidemark.storage import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,4 +58,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bm25_decontamination": op1_bm25_decontamination, "op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op5_trigram_secrets": op5_trigram_secrets, "op6_checked_pii": op6_checked_pii, "op7_log_bilinear_lm": op7_log_bilinear_lm, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_trigram_secrets": oracles.SECRETS, "op6_checked_pii": oracles.PERSONAL, "op8_debruijn_substrings": oracles.REPEATS}
