@@ -143,3 +143,60 @@ def test_sources(spark, tmp_path):
     files.write_splits(spark.createDataFrame([("train", 1)], "dataset_split string, v int"), str(tmp_path / "s"))
     with pytest.raises(Exception):
         files.write_splits(spark.createDataFrame([("train", 1)], "dataset_split string, v int"), str(tmp_path / "s"))
+
+
+def test_losses_and_bins(spark):
+    from tidemark.operators import survival
+
+    with pytest.raises(ValueError):
+        survival.total_loss(1, 1, 1, alpha=1, sigma=0, beta=1)
+    assert survival.total_loss(1, 2, 3, alpha=0.5, sigma=1, beta=1) == 5
+    assert survival.nearest_bins([0, 1, 2], [0.5, 1.6, 9]) == [0, 2, 2] and [survival.bounded_bin(k, 5) for k in (-1, 9, -9, 2)] == [4, 4, 0, 2]
+    pmf = spark.range(1).select(survival.softmax(F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0)))).alias("p"))
+    p, c = pmf.select("p", survival.cumulated(survival.event_pmf(F.col("p"), 2, 2))).first()
+    assert sum(p) == pytest.approx(1) and c == sorted(c)
+    rows = spark.createDataFrame([(1, 0, 3.0, True), (1, 1, 5.0, True), (2, 2, 9.0, False)], "order_id int, i int, squared_error double, valid boolean")
+    assert survival.next_step_loss(rows, beta=2.0).first()[0] == 8.0
+
+
+def test_permuting_keeps_the_values(spark):
+    from tidemark.operators import survival
+
+    rows = spark.range(200).withColumn("v", F.col("id") * 3)
+    got = survival.permuted(rows, "v", "id", 5, chunks=4).collect()
+    assert sorted(r.v for r in got) == [3 * k for k in range(200)] and any(r.v != 3 * r.id for r in got)
+
+
+def test_batches_hold_whole_orders(spark):
+    rows = spark.createDataFrame([(k // 3, k) for k in range(90)], "order_id int, i int")
+    got = samples.order_batches(rows, 5, 1)
+    assert got.groupBy("order_id").agg(F.count_distinct("batch").alias("n")).filter("n > 1").count() == 0
+    assert got.count() == 90
+
+
+def test_prepared_parts_and_windows(spark):
+    rows = [(k, k, 1.0 + k, k % 3, "train" if k < 8 else "val" if k < 10 else "test", [0.0, 1.0, 1.0], [[float(j)] for j in range(3)]) for k in range(12)]
+    orders = spark.createDataFrame(rows, "source_row int, order_id int, duration_s double, event_type int, dataset_split string, gap_logs array<double>, rows array<array<double>>")
+    made = samples.prepare(orders, lookback=2, bins=4, most=1)
+    assert made["parts"]["train"].count() == 8 and made["parts"]["test"].count() == 4 and len(made["cuts"]) == 4
+    windows = samples.materialize(made["parts"]["test"], orders, lookback=2, width=1).collect()
+    assert {tuple(map(tuple, w.window)) for w in windows} == {((0.0,), (1.0,)), ((1.0,), (2.0,))}
+
+
+def test_latency_deadlines_chunks_and_coverage(spark):
+    at = F.lit(100).cast("long")
+    assert one(spark, backtest.StaticLatency.microseconds(1.5).at(at)) == 1600 and one(spark, backtest.StaticLatency.milliseconds(1).at(at)) == 1_000_100
+    row = spark.createDataFrame([(5,)], "m long")
+    assert row.select(backtest.MeasuredLatency("m", 9).at(at)).first()[0] == 109
+    assert one(spark, backtest.deadline(F.lit(0), F.lit(10**10), [None, 2.0])) == 2 * 10**9
+    assert backtest.overlapping([(None, 10), (10, 20), (20, None)], 10, 20) == [1, 2]
+    feed = spark.createDataFrame([(1,), (9,)], "ts_event long")
+    orders = spark.createDataFrame([(1, 9)], "entry_time long, deadline long")
+    backtest.check_coverage(feed, orders)
+    with pytest.raises(ValueError):
+        backtest.check_coverage(feed, orders.withColumn("deadline", F.lit(10)))
+
+
+def test_decisions_are_flattened(spark):
+    rows = spark.sql("select 1 as order_id, named_struct('action', 'submit', 'reason', 'x') as decision")
+    assert reports.flattened(rows).columns == ["order_id", "decision_action", "decision_reason"]

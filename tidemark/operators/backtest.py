@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,3 +134,73 @@ def valid_quotes(sequence: Column, end_idx: Column | None = None) -> Column:
 def effective(observed_ns: Column, latency_ms: float) -> Column:
     """When a decision reaches the market."""
     return observed_ns + int(latency_ms * 1_000_000)
+
+
+@dataclass(frozen=True)
+class StaticLatency:
+    """The same latency for every decision."""
+
+    ns: int
+
+    @classmethod
+    def milliseconds(cls, ms: float) -> StaticLatency:
+        return cls(int(ms * 1_000_000))
+
+    @classmethod
+    def microseconds(cls, us: float) -> StaticLatency:
+        return cls(int(us * 1_000))
+
+    def at(self, observed_ns: Column) -> Column:
+        return observed_ns + self.ns
+
+
+@dataclass(frozen=True)
+class MeasuredLatency:
+    """A column of measured nanoseconds, never below a floor."""
+
+    measured: str
+    floor_ns: int = 0
+
+    def at(self, observed_ns: Column) -> Column:
+        return observed_ns + F.greatest(F.coalesce(F.col(self.measured), F.lit(0)), F.lit(self.floor_ns))
+
+
+def deadline(entry: Column, session_end: Column, lifetimes_s: list[float | None]) -> Column:
+    """The end of the session, or earlier by the caps on an order's lifetime."""
+    caps = [entry + int(s * 1_000_000_000) for s in lifetimes_s if s is not None]
+    return F.least(session_end, *caps) if caps else session_end
+
+
+def check_coverage(messages: DataFrame, orders: DataFrame, entry: str = "entry_time", end: str = "deadline") -> None:
+    """Raise if the feed starts after the first order or ends before the last deadline."""
+    first, last = messages.agg(F.min("ts_event"), F.max("ts_event")).first()
+    start, stop = orders.agg(F.min(entry), F.max(end)).first()
+    if start is not None and (first is None or first > start or last < stop):
+        raise ValueError(f"the feed covers {first} to {last}, the orders need {start} to {stop}")
+
+
+def in_chunk(time: Column, start: int | None, end: int | None) -> Column:
+    """Whether a time is in a half-open chunk."""
+    after = F.lit(True) if start is None else time >= start
+    return after & (F.lit(True) if end is None else time < end)
+
+
+def overlapping(chunks: list[tuple[int | None, int | None]], first: int, last: int) -> list[int]:
+    """Indices of the half-open chunks that the range from first to last touches."""
+    return [k for k, (a, b) in enumerate(chunks) if (b is None or first < b) and (a is None or last >= a)]
+
+
+def score_with(rows: DataFrame, predict: Callable, features: str, bins: int) -> DataFrame:
+    """``rows`` with logits from a model: ``predict`` takes a list of feature windows and returns a list of 2 * bins logits each.
+
+    It runs once for each Arrow batch; thresholds and horizons are swept over the
+    result, not over the model.
+    """
+    @F.pandas_udf("array<double>")
+    def logits(windows: pd.Series) -> pd.Series:
+        out = predict(list(windows))
+        if any(len(x) != 2 * bins for x in out):
+            raise ValueError(f"a prediction isn't {2 * bins} wide")
+        return pd.Series([list(map(float, x)) for x in out])
+
+    return rows.withColumn("logits", logits(features))

@@ -131,3 +131,30 @@ def annualized_volatility(bars: DataFrame, by: str = "ticker", day: str = "day",
     returns = bars.withColumn("__r", F.log(F.try_divide(F.col(close), before)))
     out = returns.groupBy(by).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.avg(close).alias("mean_close"), (F.stddev_samp("__r") * F.sqrt(F.lit(252.0))).alias("volatility"))
     return out.withColumn("range_pct", (F.col("high") / F.col("low") - 1) * 100)
+
+
+def timing(rows: DataFrame, by: list[str], milliseconds: str = "ms", batch: str = "batch") -> DataFrame:
+    """Mean, population deviation, median, 90th percentile and samples a second of timed runs."""
+    q = F.percentile(milliseconds, F.array(F.lit(0.5), F.lit(0.9)))
+    out = rows.groupBy(*by).agg(F.avg(milliseconds).alias("mean"), F.stddev_pop(milliseconds).alias("std"), q.alias("q"), F.avg(batch).alias("__b"))
+    return out.select(*by, "mean", "std", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.try_divide(F.col("__b") * 1000, F.col("mean")).alias("samples_per_s"))
+
+
+def mean_interval(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, deviation, count, standard error and the mean plus and minus 1.96 of it."""
+    out = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n")).withColumn("sem", F.try_divide(F.col("std"), F.sqrt("n")))
+    return out.withColumns({"low": F.col("mean") - F.col("sem") * 1.96, "high": F.col("mean") + F.col("sem") * 1.96})
+
+
+def pairwise(rows: DataFrame, unit: str, model: str, value: str) -> DataFrame:
+    """(model_a, model_b, n, mean_difference, wins): every pair of models over the units that both have. Rows are one for each unit and model."""
+    a = rows.select(unit, F.col(model).alias("model_a"), F.col(value).alias("__a"))
+    b = rows.select(unit, F.col(model).alias("model_b"), F.col(value).alias("__b"))
+    both = a.join(b, unit).filter("model_a < model_b")
+    return both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg(F.col("__a") - F.col("__b")).alias("mean_difference"), F.count_if(F.col("__a") > F.col("__b")).alias("wins"))
+
+
+def flattened(results: DataFrame, struct: str = "decision") -> DataFrame:
+    """The fields of a struct as columns of their own, with its name before theirs."""
+    fields = results.schema[struct].dataType.names
+    return results.select(*(c for c in results.columns if c != struct), *(F.col(f"{struct}.{f}").alias(f"{struct}_{f}") for f in fields))

@@ -130,3 +130,40 @@ def discretize(duration: Column, event: Column, cuts: list[float]) -> tuple[Colu
     up = F.size(F.filter(grid, lambda c: c < duration))
     down = F.greatest(F.size(F.filter(grid, lambda c: c <= duration)) - 1, F.lit(0))
     return F.when(event > 0, up).otherwise(down), event
+
+
+def materialize(manifest: DataFrame, orders: DataFrame, *, lookback: int, width: int, rows: str = "rows") -> DataFrame:
+    """The manifest with the window that ends at each sample, left-padded with zero rows. Sequences are joined late, once each order."""
+    from tidemark.functions.book import window_ending
+
+    sequences = orders.select("source_row", F.col(rows).alias("__rows"))
+    return manifest.join(sequences, "source_row").withColumn("window", window_ending(F.col("__rows"), F.col("end_idx"), lookback, width)).drop("__rows")
+
+
+def order_batches(samples: DataFrame, orders_each: int, seed: int, by: str = "order_id") -> DataFrame:
+    """``samples`` with a batch that holds all samples of its orders: orders are dealt by a seeded hash, about ``orders_each`` a batch."""
+    count = samples.agg(F.greatest(F.ceil(F.count_distinct(by) / orders_each), F.lit(1)).alias("__n"))
+    return samples.crossJoin(F.broadcast(count)).withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), by), F.col("__n"))).drop("__n")
+
+
+def subsample_orders(orders: DataFrame, fraction: float, seed: int, by: str = "source_row") -> DataFrame:
+    """About a fraction of the orders, drawn by a seeded hash."""
+    return orders.filter(F.pmod(F.xxhash64(F.lit(seed), by), F.lit(1_000_000)) < int(fraction * 1_000_000))
+
+
+def prepare(orders: DataFrame, *, lookback: int, bins: int, percentile: float = 95.0, fraction: float = 1.0, most: int | None = None, seed: int = 4718) -> dict:
+    """The tables of a training run from split orders (dataset_split): horizon_s, cuts, and a manifest for each part.
+
+    The horizon is a percentile of the training fills; parts are subsampled, and
+    all but the test part are capped at ``most`` samples an order.
+    """
+    train = orders.filter("dataset_split = 'train'")
+    horizon = train.filter("event_type > 0").agg(F.percentile("duration_s", F.lit(percentile / 100))).first()[0]
+    if horizon is None:
+        raise ValueError("no fills in the training part")
+    parts = {}
+    for name in ("train", "val", "test"):
+        part = subsample_orders(orders.filter(F.col("dataset_split") == name), fraction, seed) if fraction < 1 else orders.filter(F.col("dataset_split") == name)
+        rows = manifest(part, lookback=lookback, censor_s=horizon)
+        parts[name] = random_cap(rows, most, seed) if most and name != "test" else rows
+    return {"horizon_s": horizon, "cuts": quantile_cuts(parts["train"], bins), "parts": parts}

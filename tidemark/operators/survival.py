@@ -148,3 +148,63 @@ def class_scores(samples: DataFrame) -> DataFrame:
     none = F.least(F.greatest(1.0 - last[0] - last[1], F.lit(0.0)), F.lit(1.0))
     classes = F.array(*(F.struct(F.lit(k).alias("class"), s.alias("score")) for k, s in enumerate((none, *last))))
     return samples.select("d", F.explode(classes).alias("c")).select("c.class", "c.score", (F.col("d") == F.col("c.class")).cast("int").alias("positive"))
+
+
+def next_step_loss(steps: DataFrame, by: str = "order_id", error: str = "squared_error", valid: str = "valid", beta: float = 1.0) -> DataFrame:
+    """One row: beta times the mean over orders of the sum of squared errors over valid pairs by their number; orders without pairs don't count."""
+    per = steps.filter(F.col(valid)).groupBy(by).agg((F.sum(error) / F.count("*")).alias("__r"))
+    return per.agg((F.lit(beta) * F.coalesce(F.avg("__r"), F.lit(0.0))).alias("loss"))
+
+
+def total_loss(likelihood: float, ranking: float, auxiliary: float, *, alpha: float, sigma: float, beta: float) -> float:
+    """Likelihood + alpha ranking + auxiliary (which has beta); the settings must be usable."""
+    if alpha < 0 or beta < 0 or sigma <= 0:
+        raise ValueError("alpha and beta can't be negative, sigma must be positive")
+    return likelihood + alpha * ranking + auxiliary
+
+
+def exponential_nll(rows: DataFrame, duration: str, event: str, log_hazard: str) -> DataFrame:
+    """One row: the mean of duration * exp(h) - event * h."""
+    return rows.agg(F.avg(F.col(duration) * F.exp(log_hazard) - F.col(event) * F.col(log_hazard)).alias("nll"))
+
+
+def nearest_bins(grid: list[float], seconds: list[float]) -> list[int]:
+    """For each time the index of the nearest grid point, the earlier of two."""
+    return [min(range(len(grid)), key=lambda k: (abs(grid[k] - s), k)) for s in seconds]
+
+
+def bounded_bin(index: int, bins: int) -> int:
+    """An index into the bins: negative ones count from the end, all are held within."""
+    return min(max(index + bins if index < 0 else index, 0), bins - 1)
+
+
+def censoring_diagnostics(samples: DataFrame) -> DataFrame:
+    """(outcome, n, mean_survival, share_over_half) of the predicted survival at the last bin, by whether the sample is censored."""
+    alive = F.least(F.greatest(1.0 - F.element_at("cif_1", -1) - F.element_at("cif_2", -1), F.lit(0.0)), F.lit(1.0))
+    rows = samples.select((F.col("d") == 0).alias("censored"), alive.alias("s"))
+    return rows.groupBy("censored").agg(F.count("*").alias("n"), F.avg("s").alias("mean_survival"), F.avg((F.col("s") > 0.5).cast("double")).alias("share_over_half"))
+
+
+def permuted(rows: DataFrame, column: str, key: str, seed: int, chunks: int = 64) -> DataFrame:
+    """``rows`` with one column's values dealt anew among the rows of each of ``chunks`` hash chunks, for permutation importance."""
+    keyed = rows.withColumn("__c", F.pmod(F.xxhash64(key), F.lit(chunks)))
+    own = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__c").orderBy(F.xxhash64(key), key)))
+    other = keyed.select("__c", F.col(column).alias("__v"), F.row_number().over(Window.partitionBy("__c").orderBy(F.xxhash64(F.lit(seed), key), key)).alias("__n"))
+    return own.join(other, ["__c", "__n"]).withColumn(column, F.col("__v")).drop("__c", "__n", "__v")
+
+
+def validation_metrics(samples: DataFrame, event: int, bins: int, groups: list[str]) -> DataFrame:
+    """One row for an event: concordance, integrated Brier score, PR and ROC areas, and the number of its events."""
+    curve = brier(samples, event).withColumn("at", F.col("bin") + 1.0)
+    final = samples.select(F.element_at(f"cif_{event}", -1).alias("score"), (F.col("d") == event).cast("int").alias("positive"))
+    parts = (concordance(samples, event, groups).select("concordance"), integrated(curve, "at", "brier", float(bins)), precision_recall(final, "score", "positive").select("pr_auc"), roc(final, "score", "positive"))
+    out = samples.agg(F.count_if(F.col("d") == event).alias("events")).withColumn("event", F.lit(event))
+    for part in parts:  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out
+
+
+def weighted_over_events(metrics: DataFrame, value: str) -> DataFrame:
+    """One row: the plain mean over events and the one weighted by their numbers; missing values don't count."""
+    known = metrics.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    return known.agg(F.avg(value).alias("macro"), F.try_divide(F.sum(F.col(value) * F.col("events")), F.sum("events")).alias("weighted"))

@@ -238,3 +238,24 @@ def ablation_rollup(spark, sf_dir):
 
     by = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("feature")).agg(rounded(F.avg("l_discount"), 8).alias("importance"), F.count_distinct("l_returnflag").alias("models"))
     return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
+ round(avg(user_id % 8 + 1) * 1000 / avg(value), 4) AS samples_per_s FROM events GROUP BY event_type""")
+def timing_summary(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("batch", F.col("user_id") % 8 + 1)
+    out = reports.timing(rows, ["event_type"], "value")
+    return out.select("event_type", *(rounded(c).alias(c) for c in ("mean", "std", "p50", "p90")), rounded("samples_per_s", 4).alias("samples_per_s"))
+
+
+@query("""WITH m AS (SELECT ticker, avg(duration_s) AS mean, stddev_samp(duration_s) AS std, count(duration_s) AS n FROM v_orders GROUP BY ticker)
+ SELECT ticker, round(mean, 6) AS mean, round(std, 6) AS std, n, round(std / sqrt(n), 6) AS sem, round(mean - 1.96 * std / sqrt(n), 6) AS low, round(mean + 1.96 * std / sqrt(n), 6) AS high FROM m""")
+def strategy_interval(spark, sf_dir):
+    return reports.mean_interval(adapters.orders(spark, sf_dir), ["ticker"], "duration_s").select("ticker", "n", *(rounded(c).alias(c) for c in ("mean", "std", "sem", "low", "high")))
+
+
+@query("""WITH r AS (SELECT ticker, CAST(order_id % 4 AS INTEGER) AS model, round(avg(duration_s), 6) AS v FROM v_orders GROUP BY ALL)
+ SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, round(avg(a.v - b.v), 5) AS mean_difference, count(*) FILTER (a.v > b.v) AS wins FROM r a JOIN r b ON a.ticker = b.ticker AND a.model < b.model GROUP BY a.model, b.model""")
+def pairwise_models(spark, sf_dir):
+    rows = adapters.orders(spark, sf_dir).groupBy("ticker", (F.col("order_id") % 4).cast("int").alias("model")).agg(rounded(F.avg("duration_s")).alias("v"))
+    return reports.pairwise(rows, "ticker", "model", "v").withColumn("mean_difference", rounded("mean_difference", 5))

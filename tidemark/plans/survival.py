@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
-from tidemark.operators import samples, survival
+from tidemark.operators import backtest, samples, survival
 from tidemark.plans import adapters
 from tidemark.plans.registry import query, rounded
 
@@ -43,7 +43,8 @@ def capped_indices(spark, sf_dir):
     return samples.manifest(_sequences(spark, sf_dir), lookback=_LOOK, most=_MOST).select("order_id", "update_idx")
 
 
-@query(f"WITH {_MAN} SELECT count(*) AS samples, min(c) AS low, quantile_cont(c, 0.5) AS p50, quantile_cont(c, 0.9) AS p90, max(c) AS high FROM (SELECT order_id, count(*) AS c FROM man GROUP BY order_id), (SELECT 1) GROUP BY ALL HAVING TRUE".replace("SELECT count(*) AS samples", "SELECT CAST(sum(c) AS BIGINT) AS samples").replace(" GROUP BY ALL HAVING TRUE", ""))
+@query(f"""WITH {_MAN} SELECT CAST(sum(c) AS BIGINT) AS samples, min(c) AS low, quantile_cont(c, 0.5) AS p50, quantile_cont(c, 0.9) AS p90, max(c) AS high
+ FROM (SELECT order_id, count(*) AS c FROM man GROUP BY order_id)""")
 def manifest_counts(spark, sf_dir):
     per = samples.manifest(_sequences(spark, sf_dir), lookback=_LOOK).groupBy("order_id").agg(F.count("*").alias("c"))
     return per.agg(F.sum("c").alias("samples"), F.min("c").alias("low"), F.percentile("c", 0.5).alias("p50"), F.percentile("c", 0.9).alias("p90"), F.max("c").alias("high"))
@@ -181,8 +182,9 @@ def roc_auc(spark, sf_dir):
     return survival.roc(_toxic(spark, sf_dir), "score", "positive").select(rounded("roc_auc").alias("roc_auc"))
 
 
-_CLASSES = f"""{_PMF}, fc AS (SELECT sample, any_value(d) AS d, sum(CASE WHEN event = 1 THEN cif END) AS c1, sum(CASE WHEN event = 2 THEN cif END) AS c2 FROM cf WHERE bin = {T - 1} GROUP BY sample),
- sc AS (SELECT class, round(CASE class WHEN 0 THEN least(greatest(1 - c1 - c2, 0), 1) WHEN 1 THEN c1 ELSE c2 END, 9) AS score, CASE WHEN d = class THEN 1 ELSE 0 END AS positive FROM fc, (SELECT unnest([0, 1, 2]) AS class))"""
+_ENDS = f"""{_PMF}, fc AS (SELECT sample, any_value(d) AS d, sum(CASE WHEN event = 1 THEN cif END) AS c1, sum(CASE WHEN event = 2 THEN cif END) AS c2 FROM cf WHERE bin = {T - 1} GROUP BY sample)"""
+_CLASSES = f"""{_ENDS}, sc AS (SELECT class, round(CASE class WHEN 0 THEN least(greatest(1 - c1 - c2, 0), 1) WHEN 1 THEN c1 ELSE c2 END, 9) AS score,
+ CASE WHEN d = class THEN 1 ELSE 0 END AS positive FROM fc, (SELECT unnest([0, 1, 2]) AS class))"""
 
 
 @query(f"WITH {_CLASSES}, {_RANK.format('class,', 'PARTITION BY class')} SELECT class, round(sum(dr * pc), 6) AS average_precision, round(sum(df * (r + r0) / 2), 6) AS roc_auc FROM st GROUP BY class")
@@ -222,3 +224,49 @@ def ipcw_brier(spark, sf_dir):
 def mean_cif_by_outcome(spark, sf_dir):
     ends = F.array(*(F.struct(F.lit(k).alias("event"), F.element_at(f"cif_{k}", -1).alias("cif")) for k in (1, 2)))
     return _cifs(spark, sf_dir).select("d", F.explode(ends).alias("e")).groupBy("d", F.col("e.event").alias("event")).agg(rounded(F.avg("e.cif")).alias("mean_cif"))
+
+
+_STEPS = "st2 AS (SELECT event_id // 20 AS order_id, pow(value - 10, 2) AS squared_error, event_id % 3 <> 0 AS valid FROM events)"
+
+
+@query(f"WITH {_STEPS} SELECT round(0.5 * avg(r), 5) AS loss FROM (SELECT sum(squared_error) / count(*) AS r FROM st2 WHERE valid GROUP BY order_id)")
+def next_step_loss(spark, sf_dir):
+    e = F.col("event_id")
+    steps = adapters.read(spark, sf_dir, "events").select(F.floor(e / 20).alias("order_id"), F.pow(F.col("value") - 10, 2).alias("squared_error"), (e % 3 != 0).alias("valid"))
+    return survival.next_step_loss(steps, beta=0.5).select(rounded("loss", 5).alias("loss"))
+
+
+@query("SELECT round(avg((o_orderkey * 37 % 100) * exp((o_orderkey % 7) / 10.0 - 1) - CAST(o_orderkey % 2 AS DOUBLE) * ((o_orderkey % 7) / 10.0 - 1)), 6) AS nll FROM orders")
+def exponential_nll(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = adapters.read(spark, sf_dir, "orders").select((k * 37 % 100).alias("t"), (k % 2).cast("double").alias("e"), ((k % 7) / 10.0 - 1).alias("h"))
+    return survival.exponential_nll(rows, "t", "e", "h").select(rounded("nll").alias("nll"))
+
+
+@query(f"WITH {_ENDS} SELECT d = 0 AS censored, count(*) AS n, round(avg(least(greatest(1 - c1 - c2, 0), 1)), 6) AS mean_survival, round(avg(CASE WHEN least(greatest(1 - c1 - c2, 0), 1) > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_over_half FROM fc GROUP BY 1")
+def censoring_diagnostics(spark, sf_dir):
+    out = survival.censoring_diagnostics(_cifs(spark, sf_dir))
+    return out.select("censored", "n", rounded("mean_survival").alias("mean_survival"), rounded("share_over_half").alias("share_over_half"))
+
+
+@query()
+def validation_bundle(spark, sf_dir):
+    rows = _cifs(spark, sf_dir)
+    return survival.validation_metrics(rows, 1, T, ["update_idx"]).unionByName(survival.validation_metrics(rows, 2, T, ["update_idx"]))
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    """The drop of the toxic ROC area when its scores are dealt anew."""
+    scores = _cifs(spark, sf_dir).select("sample", F.element_at("cif_2", -1).alias("score"), (F.col("d") == 2).cast("int").alias("positive"))
+    base = survival.roc(scores, "score", "positive").withColumnRenamed("roc_auc", "base")
+    mixed = survival.roc(survival.permuted(scores, "score", "sample", 7), "score", "positive").withColumnRenamed("roc_auc", "mixed")
+    return base.crossJoin(F.broadcast(mixed)).select(F.lit("cif_2").alias("feature"), (F.col("base") - F.col("mixed")).alias("importance"))
+
+
+@query()
+def model_scoring_hook(spark, sf_dir):
+    """Windows scored by a model in Arrow batches, then turned into incidences."""
+    windows = _windows(spark, sf_dir).withColumn("flat", F.flatten("window"))
+    scored = backtest.score_with(windows, lambda rows: [[sum(r) * 0.01 * (k % 3) for k in range(2 * T)] for r in rows], "flat", T)
+    return survival.with_cifs(scored, T).select("order_id", F.element_at("cif_2", -1).alias("toxic"))
