@@ -7,21 +7,25 @@ only the tasks that it ran.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session has no ``spark.checkpoint.dir`` (tests, one machine).
 FALLBACK = "/tmp/checkpoints"
+_staged: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; one is set where none is named."""
+    """The shared folder of this session; where none is named one is set, and removed when the driver ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = f"{FALLBACK}/tidemark-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path.rstrip("/")
 
 
@@ -32,17 +36,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._tidemark_path = path
+    _staged.add(path)
     return staged
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _staged.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every staged table of this driver, once no result of it is read any more."""
+    for path in sorted(_staged):
+        _delete(spark, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
