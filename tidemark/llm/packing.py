@@ -53,7 +53,6 @@ class ByteBpe:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
@@ -61,10 +60,14 @@ class ByteBpe:
         self.special = [x["content"] for x in model["added_tokens"]]
         ranks = {bytes(symbol[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in self.special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
 
     def ids(self, text: str) -> list[int]:
         if any(x in text for x in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

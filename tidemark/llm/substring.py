@@ -33,6 +33,8 @@ from tidemark.storage import discard, stage
 
 #: Bits of the filter for each minimizer, and at most (32 MB).
 FILTER_EACH, FILTER_BITS = 16, 1 << 28
+#: Bytes of text among which equal edges are sent once.
+SLICE = 4 << 20
 _LAST = (1 << 63) - 1
 _TAG_SHIFT = 40
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -189,7 +191,7 @@ def repeated_spans(docs: DataFrame, *, width: int = 20, text: str = "text", doc_
         return step
 
     edges = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("c", T.IntegerType()), ("doc", T.LongType()), ("at", T.LongType()), ("windows", T.IntegerType()), ("first_doc", T.LongType()), ("first_at", T.LongType()))])
-    met = map_texts(own, "text", make_edges, edges)
+    met = map_texts(own, "text", make_edges, edges, SLICE)
     kind = Window.partitionBy("h", "c").orderBy("doc", "at")
     earliest = F.first(F.struct("doc", "at")).over(kind)
     known = F.col("c") < 0

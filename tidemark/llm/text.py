@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,16 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step holds; a longer single text goes alone.
-SLICE_BYTES = 4 << 20
-_BATCH_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
+_BATCH_BYTES, _BATCH_ROWS = 8 << 20, 2000
 
 
 def bounded_batches(df: DataFrame) -> None:
     """Arrow batches between the JVM and Python stay small, however long the texts."""
     spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= _BATCH_BYTES:
-        spark.conf.set(key, str(_BATCH_BYTES))
+    for key, most in (("maxBytesPerBatch", _BATCH_BYTES), ("maxRecordsPerBatch", _BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Hand free memory back to the system: workers are reused, and an executor's share is for all of them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(texts: pa.Array) -> np.ndarray:
@@ -44,6 +54,7 @@ def map_texts(
     text: str,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     schema: T.StructType,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``make()`` once a task, then its function over each slice of rows."""
     bounded_batches(df)
@@ -51,9 +62,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 step = step or make()
                 yield step(part)
+        del step
+        give_back()
 
     return df.mapInArrow(run, schema)
 
