@@ -19,7 +19,7 @@ def canonical(frame):
             return x
         if isinstance(x, (bool,)) or type(x).__name__ == "bool_":
             return bool(x)
-        return float(f"{float(x):.9g}")
+        return float(f"{float(x):.9g}") + 0.0  # no negative zero
 
     rows = [tuple(value(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)]
     return sorted(rows, key=lambda r: tuple((x is not None, str(x)) for x in r))

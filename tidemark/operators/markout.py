@@ -32,7 +32,7 @@ def markouts(orders: DataFrame, windows: Sequence[int] = WINDOWS_MS, *, base: st
     reference = F.col("price").cast("double") if base == "price" else mid(F.col("best_bid_at_entry"), F.col("best_ask_at_entry"))
     after = F.array(*(F.struct(F.lit(w).alias("window_ms"), mid(F.col(quoted(b)), F.col(quoted(a))).alias("mid")) for w in windows for b, a in [post_columns(w)]))
     long = complete(orders, windows).select("order_id", side_sign(F.col("side")).alias("sign"), reference.alias("base"), F.explode(after).alias("w"))
-    move = F.col("sign") * (F.col("w.mid") - F.col("base"))
+    move = F.col("sign") * (F.col("w.mid") - F.col("base")) + F.lit(0.0)  # no negative zero
     return long.select("order_id", F.col("w.window_ms").alias("window_ms"), move.alias("markout"), (F.lit(10000.0) * F.try_divide(move, F.col("base"))).alias("markout_bps"))
 
 

@@ -12,9 +12,9 @@ from tidemark.plans.registry import query, rounded
 from tidemark.storage import read
 
 _DROP = " AND ".join(f'"{c}" IS NOT NULL' for w in WINDOWS_MS for c in post_columns(w))
-_LONG = f"""long AS (SELECT order_id, window_ms, sign * (post - base) AS markout, 10000.0::DOUBLE * (sign * (post - base)) / base AS markout_bps FROM (
+_LONG = f"""long AS (SELECT order_id, window_ms, move AS markout, 10000.0::DOUBLE * move / base AS markout_bps FROM (SELECT *, sign * (post - base) + 0.0::DOUBLE AS move FROM (
  {' UNION ALL '.join(f'''SELECT order_id, {w} AS window_ms, CASE WHEN side = 'B' THEN 1 ELSE -1 END AS sign, (best_bid_at_entry + best_ask_at_entry) / 2.0::DOUBLE AS base,
- ("{post_columns(w)[0]}" + "{post_columns(w)[1]}") / 2.0::DOUBLE AS post FROM v_orders WHERE status_reason = 'FILLED' AND {_DROP}''' for w in WINDOWS_MS)}))"""
+ ("{post_columns(w)[0]}" + "{post_columns(w)[1]}") / 2.0::DOUBLE AS post FROM v_orders WHERE status_reason = 'FILLED' AND {_DROP}''' for w in WINDOWS_MS)})))"""
 _STATS = """SELECT window_ms, count(markout_bps) AS n, round(avg(markout_bps), 6) AS mean, round(stddev_samp(markout_bps), 6) AS std,
  round(stddev_samp(markout_bps) / sqrt(count(markout_bps)), 6) AS se, round(avg(markout_bps) / (stddev_samp(markout_bps) / sqrt(count(markout_bps))), 4) AS tstat,
  round(quantile_cont(markout_bps, 0.05), 6) AS p05, round(quantile_cont(markout_bps, 0.25), 6) AS p25, round(quantile_cont(markout_bps, 0.5), 6) AS median,

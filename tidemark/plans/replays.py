@@ -16,7 +16,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four messages a run: two adds, the cancel of the one, a smaller size for the other; five instruments, two publishers."""
     e = F.col("event_id")
     run = F.floor(e / 4)
-    side = F.when(run % 2 == 0, "B").otherwise("A")
+    side = F.when(F.floor(run / 10) % 2 == 0, "B").otherwise("A")
     order = F.when(e % 4 < 2, e).otherwise(e - 2)
     away = 1 + F.floor((order * 7) / 4) % 9
     return read(spark, sf_dir, "events").select(
