@@ -23,7 +23,7 @@ def test_suffixes():
 def test_features_of_an_empty_side(spark):
     rows = maps(spark, {100: 5.0}, {})
     b, a = F.col("bids"), F.col("asks")
-    assert rows.select(book.microstructure(b, a)).first()[0] == [0.0] * 10
+    assert book.add_microstructure(rows).first().features == [0.0] * 10
     assert rows.select(book.top_differences(b, a)).first()[0][2:4] == [100.0, 5.0]
 
 

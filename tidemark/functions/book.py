@@ -89,42 +89,46 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def microstructure(bids: Column, asks: Column, n: int = 5) -> Column:
-    """The features named in ``MICROSTRUCTURE``; zeros if a side is empty."""
-    b, a = F.slice(ordered(bids, "bid"), 1, n), F.slice(ordered(asks, "ask"), 1, n)
-    bid, ask = best(bids, "bid"), best(asks, "ask")
-    middle = (bid + ask) / 2.0
-    bid_top, ask_top = F.element_at(bids, bid), F.element_at(asks, ask)
-    sizes_b, sizes_a = F.transform(b, lambda x: x["value"]), F.transform(a, lambda x: x["value"])
-    depth_b, depth_a = _sum(sizes_b), _sum(sizes_a)
-    depth, top = depth_b + depth_a, bid_top + ask_top
-    weighted_b = _sum(F.transform(b, lambda x: x["value"] / (1 + F.abs(bid - x["key"]))))
-    weighted_a = _sum(F.transform(a, lambda x: x["value"] / (1 + F.abs(x["key"] - ask))))
-    weighted = weighted_b + weighted_a
-    both = F.concat(sizes_b, sizes_a)
-    mean = depth / F.size(both)
-    variance = _sum(F.transform(both, lambda x: (x - mean) * (x - mean))) / F.size(both)
+def add_microstructure(books: DataFrame, into: str = "features", n: int = 5) -> DataFrame:
+    """``books`` (with bids and asks) and an array of the features named in ``MICROSTRUCTURE``; zeros if a side is empty.
+
+    Each step is a projection of its own: what later steps use more than once is
+    evaluated once a row.
+    """
+    columns = books.columns
+    bids, asks, c = F.col("bids"), F.col("asks"), F.col
+    rows = books.withColumns({"__b": F.slice(ordered(bids, "bid"), 1, n), "__a": F.slice(ordered(asks, "ask"), 1, n)})
+    first = {"__bid": F.get("__b", F.lit(0)), "__ask": F.get("__a", F.lit(0))}
+    rows = rows.withColumns(first | {"__vb": F.transform("__b", lambda x: x["value"]), "__va": F.transform("__a", lambda x: x["value"])})
+    bid, ask, top_b, top_a = c("__bid.key"), c("__ask.key"), c("__bid.value"), c("__ask.value")
+    weighted_b = _sum(F.transform("__b", lambda x: x["value"] / (1 + F.abs(bid - x["key"]))))
+    weighted_a = _sum(F.transform("__a", lambda x: x["value"] / (1 + F.abs(x["key"] - ask))))
+    rows = rows.withColumns({"__db": _sum(c("__vb")), "__da": _sum(c("__va")), "__wb": weighted_b, "__wa": weighted_a, "__v": F.concat("__vb", "__va"), "__mid": (bid + ask) / 2.0, "__top": top_b + top_a})
+    rows = rows.withColumns({"__depth": c("__db") + c("__da"), "__mean": (c("__db") + c("__da")) / F.size("__v")})
+    variance = _sum(F.transform("__v", lambda x: (x - c("__mean")) * (x - c("__mean")))) / F.size("__v")
 
     def ratio(x: Column, y: Column) -> Column:
         return F.when(y > 0, x / y).otherwise(0.0)
 
-    def significant(sizes: Column) -> Column:
-        return F.size(F.filter(sizes, lambda x: x >= F.when(depth > 0, depth * 0.1).otherwise(0.0))).cast("double")
+    def significant(sizes: str) -> Column:
+        return F.size(F.filter(sizes, lambda x: x >= F.greatest(c("__depth") * 0.1, F.lit(0.0)))).cast("double")
 
-    micro = ratio(bid * ask_top + ask * bid_top, top)
+    middle, top, depth, weighted = c("__mid"), c("__top"), c("__depth"), c("__wb") + c("__wa")
+    micro = ratio(bid * top_a + ask * top_b, top)
     values = (
         F.log1p(F.greatest(ratio(ask - bid, middle), F.lit(0.0))),
-        ratio(bid_top - ask_top, top),
-        ratio(depth_b - depth_a, depth),
-        ratio(weighted_b - weighted_a, weighted),
+        ratio(top_b - top_a, top),
+        ratio(c("__db") - c("__da"), depth),
+        ratio(c("__wb") - c("__wa"), weighted),
         F.log1p(F.greatest(weighted, F.lit(0.0))),
         ratio(top, depth),
-        ratio(F.sqrt(variance), mean),
+        ratio(F.sqrt(variance), c("__mean")),
         F.when(top > 0, ratio(micro - middle, middle)).otherwise(0.0),
-        significant(sizes_b),
-        significant(sizes_a),
+        significant("__vb"),
+        significant("__va"),
     )
-    return F.when(two_sided(bids, asks), F.array(*values)).otherwise(F.array_repeat(F.lit(0.0), len(MICROSTRUCTURE)))
+    zeros = F.array_repeat(F.lit(0.0), len(MICROSTRUCTURE))
+    return rows.select(*columns, F.when(two_sided(bids, asks), F.array(*values)).otherwise(zeros).alias(into))
 
 
 def queue_feature(ahead: Column) -> Column:

@@ -116,8 +116,7 @@ _MS = f"""{_MAPS}, t AS (SELECT book_id, bids[1:5] AS b, asks[1:5] AS a, bids[1]
  round(sqrt(list_var_pop(v)) / list_avg(v), 6) AS volume_cv, round(((bb * at_ + ba * bt) / (bt + at_) - mid) / mid, 6) AS microprice_offset,
  len(list_filter(b, lambda x: x.s >= 0.1 * (db + da)))::DOUBLE AS significant_bids, len(list_filter(a, lambda x: x.s >= 0.1 * (db + da)))::DOUBLE AS significant_asks FROM u""")
 def toxicity_features(spark, sf_dir):
-    bids, asks = F.col("bids"), F.col("asks")
-    out = _maps(spark, sf_dir).filter(book.two_sided(bids, asks)).select("book_id", book.microstructure(bids, asks).alias("f"))
+    out = book.add_microstructure(_maps(spark, sf_dir).filter(book.two_sided(F.col("bids"), F.col("asks"))), "f")
     return out.select("book_id", *(rounded(F.col("f")[k]).alias(n) for k, n in enumerate(MICROSTRUCTURE)))
 
 
