@@ -200,3 +200,22 @@ def test_latency_deadlines_chunks_and_coverage(spark):
 def test_decisions_are_flattened(spark):
     rows = spark.sql("select 1 as order_id, named_struct('action', 'submit', 'reason', 'x') as decision")
     assert reports.flattened(rows).columns == ["order_id", "decision_action", "decision_reason"]
+
+
+def test_columns_shards_and_caches(spark, tmp_path):
+    from tidemark.operators import flow
+
+    assert one(spark, files.job_id(F.lit("results_job_12_shard3.parquet"))) == 12 and one(spark, files.job_id(F.lit("x"))) is None
+    rows = spark.createDataFrame([(1, 2, 3)], "thr int, lob_sequence_raw_top5 int, lob_sequence_diff_top5 int")
+    assert files.renamed(rows, {"threshold": ["t", "thr"]}, ["threshold"]).columns[0] == "threshold"
+    with pytest.raises(ValueError):
+        files.renamed(rows, {}, ["absent"])
+    assert files.only_modes(rows, ["raw_top5"]).columns == ["thr", "lob_sequence_raw_top5"]
+    made = {"split_points": [5], "messages_between_splits": [2, 3], "total_messages": 5}
+    calls = []
+    for _ in range(2):
+        assert files.split_cache(spark, str(tmp_path / "cache"), lambda: calls.append(1) or made) == made
+    assert len(calls) == 1
+    assert flow.chunks([20, 30], [10, 20, 30, 40], [5, 35, 35, 20, 5]) == [(None, 20, 40), (20, 30, 35), (30, None, 25)]
+    assert flow.chunks([], [], [7]) == [(None, None, 7)]
+    assert spark.range(0).withColumn("size", F.lit(1)).agg(flow.market_is_empty()).first()[0]

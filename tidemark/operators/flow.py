@@ -89,3 +89,27 @@ def time_censor(entry: Column, end: Column, horizon: int) -> tuple[Column, Colum
     """End and whether it is censored: only what lasts longer than the horizon is, and then ends at it."""
     late = end - entry > horizon
     return F.when(late, entry + horizon).otherwise(end), late
+
+
+def chunks(points: list[int], all_points: list[int], counts: list[int]) -> list[tuple[int | None, int | None, int]]:
+    """Half-open chunks between the chosen points: start, end and the messages of the segments in between.
+
+    counts: messages in each segment that ``all_points`` cut, one more than points.
+    """
+    if len(counts) != len(all_points) + 1:
+        raise ValueError("a count is needed for each segment")
+    edges = [None, *sorted(points), None]
+    out, k = [], 0
+    for start, end in zip(edges, edges[1:]):
+        total = counts[k]
+        while k < len(all_points) and all_points[k] != end:
+            k += 1
+            total += counts[k]
+        k += 1
+        out.append((start, end, total))
+    return out
+
+
+def market_is_empty(size: str = "size") -> Column:
+    """Aggregate: whether no book of the market has resting size."""
+    return F.coalesce(F.sum(size), F.lit(0)) <= 0

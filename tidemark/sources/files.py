@@ -96,3 +96,47 @@ def row_slice(rows: DataFrame, order: str, *, offset: int = 0, limit: int | None
     if fraction < 1:
         out = out.filter(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(1_000_000)) < int(fraction * 1_000_000))
     return out.orderBy(order)
+
+
+def job_id(path: Column) -> Column:
+    """The job's number in a result file's name such as ``results_job_12_shard3``; null if there is none."""
+    return F.nullif(F.regexp_extract(path, r"job_?([0-9]+)", 1), F.lit("")).cast("long")
+
+
+def read_shards(spark: SparkSession, path: str, jobs: Sequence[int]) -> DataFrame:
+    """Result shards of the given jobs only."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("job_id", job_id(F.col("_metadata.file_name"))).filter(F.col("job_id").isin(*jobs))
+
+
+def renamed(rows: DataFrame, aliases: dict[str, Sequence[str]], required: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the first present alias of each name under that name; what is required and missing raises."""
+    for name, others in aliases.items():
+        if name not in rows.columns:
+            known = next((x for x in others if x in rows.columns), None)
+            rows = rows.withColumnRenamed(known, name) if known else rows
+    if missing := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return rows
+
+
+def only_modes(rows: DataFrame, modes: Sequence[str], known: Sequence[str] = ("moving_window", "market_depth", "raw_top5", "diff_top5")) -> DataFrame:
+    """``rows`` without the representation columns of the modes that aren't wanted."""
+    unwanted = [m for m in known if m not in modes]
+    return rows.drop(*(c for c in rows.columns if any(c in (f"entry_representation_{m}", f"lob_sequence_{m}") for m in unwanted)))
+
+
+def split_cache(spark: SparkSession, path: str, build) -> dict:
+    """Split points of a feed: the table at ``path`` (split_points, messages_between_splits, total_messages) if it is whole, else what ``build`` returns, written there."""
+    from pyspark.errors import AnalysisException
+
+    schema = "split_points array<long>, messages_between_splits array<long>, total_messages long"
+    try:
+        row = spark.read.schema(schema).json(path).first()
+    except AnalysisException:
+        row = None
+    if row and row.total_messages is not None and row.split_points is not None and len(row.messages_between_splits or []) == len(row.split_points) + 1:
+        return row.asDict()
+    made = build()
+    spark.createDataFrame([(made["split_points"], made["messages_between_splits"], made["total_messages"])], schema).coalesce(1).write.mode("overwrite").json(path)
+    return made
