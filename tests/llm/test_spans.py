@@ -131,3 +131,10 @@ def test_redaction(spark, edges, nothing):
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "mail <email> now", 2: None, 3: "ip <ip>, address", 4: "nothing", 5: "𝄞 <email> 𝄞 <email>"}
     assert pii.redact(edges).columns == edges.columns and pii.redact(nothing).count() == 0
+
+
+def test_words_nearby_never_unmask_personal_data(spark):
+    spans = {"email": "bob@x.org", "ip": "10.1.2.3", "card": "4111 1111 1111 1111", "phone": "+1 202 555 0147", "iban": "DE89370400440532013000"}
+    rows = [(k, f"{before} {value} {after}") for k, (before, value, after) in enumerate((b, v, a) for v in spans.values() for b, a in (("in order to join", "now"), ("x", "version"), ("call", "about your order")))]
+    got = [r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [f"{b} <{k}> {a}" for k in spans for b, a in (("in order to join", "now"), ("x", "version"), ("call", "about your order"))]

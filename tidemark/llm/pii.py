@@ -117,8 +117,8 @@ def digest(found: DataFrame, base: list[Rule] = BASE, more: list[Rule] = MORE) -
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(base + more).alias("spans"), listed(base + more, True).alias("scored_spans"))
 
 
-def redact(docs: DataFrame, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """All rows and columns, the spans that score at least ``least`` in ``text`` replaced by ``<kind>``.
+def redact(docs: DataFrame, *, text: str = "text", least: float = 0.0) -> DataFrame:
+    """All rows and columns, the spans that score at least ``least`` in ``text`` (all, unless given) replaced by ``<kind>``.
 
     Where spans overlap, the one that starts first (the longer, if both do)
     is replaced and the other one, too, if it reaches further: its rest goes
