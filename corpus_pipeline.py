@@ -18,7 +18,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled rows of ``docs`` and keep what isn't predicted toxic."""
+    """Learn from the labelled rows of ``docs`` and keep what isn't predicted toxic: all, where there are none."""
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
 

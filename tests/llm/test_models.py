@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -145,3 +146,20 @@ def test_labels_of_the_held_out_fold_are_not_learned_from(spark):
     labels = spark.createDataFrame([(k, int(k in fold)) for k in range(60)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
     assert toxicity.score(docs, model).agg(F.max("score")).first()[0] < 0.5
+
+
+def test_a_text_that_does_not_fit_leaves_the_others_to_learn_from(spark):
+    docs = spark.createDataFrame([(k, "vile words here " * (400 if k < 30 else 1) if k % 2 else "plain words here") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, settings=toxicity.Settings(fit_bytes=4000))
+    scored = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert scored == {k: k % 2 for k in range(60)}
+
+
+def test_nothing_learned_predicts_nothing(spark, edges, tmp_path):
+    labels = spark.createDataFrame([(10**9, 1)], "doc_id long, toxic int")
+    for known in (labels, labels.limit(0)):
+        model = toxicity.learn(edges, known)
+        assert toxicity.score(edges, model).filter("predicted <> 0").count() == 0
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, edges, str(tmp_path)).count() == edges.count()

@@ -49,6 +49,7 @@ class Model:
     bias: float
     index: np.ndarray = field(repr=False)
     weight: np.ndarray = field(repr=False)
+    learned: bool = True
 
     def dense(self) -> np.ndarray:
         out = np.zeros(1 << self.bits, np.float32)
@@ -112,7 +113,7 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
             bias_n += g * g
     w = weights(z, n, s.l1)
     index = np.flatnonzero(w)
-    return Model(s.bits, float(weights(np.array(bias_z), np.array(bias_n), 0.0)), index, w[index].astype(np.float32))
+    return Model(s.bits, float(weights(np.array(bias_z), np.array(bias_n), 0.0)), index, w[index].astype(np.float32), len(labels) > 0)
 
 
 def _fold(doc_id, folds: int):
@@ -124,7 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()
 
     Only ids, labels and lengths are looked at to pick the sample, and only its
     texts are moved. A row without id or label is not used; of labels that
-    repeat an id the largest counts. The label is all that is learned from.
+    repeat an id the largest counts. The label is all that is learned from. A
+    text that no longer fits in ``fit_bytes`` is left out, those after it are not.
     """
     known = (
         labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -141,7 +143,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()
     chosen = F.broadcast(spark.createDataFrame([(int(x), k) for k, x in enumerate(known["doc_id"])], keys))  # fit_rows at most
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     length = mine.join(chosen, "doc_id").groupBy("rank").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).toPandas().sort_values("rank")
-    length = length[length["bytes"].cumsum() <= settings.fit_bytes]
+    total, fits = 0, []
+    for size in length["bytes"].tolist():
+        fits.append(total + size <= settings.fit_bytes)
+        total += size if fits[-1] else 0
+    length = length[np.array(fits, bool)]
     part = F.broadcast(spark.createDataFrame([(int(known["doc_id"][k]), int(k)) for k in length["rank"]], keys))
     got = mine.join(part, "doc_id").groupBy("rank").agg(F.max("text").alias("text")).toArrow().sort_by("rank")
     y = known["y"].to_numpy()[got["rank"].to_numpy()] if got.num_rows else np.empty(0, int)
@@ -151,8 +157,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all unless given) with ``score`` in 0 to 1 and ``predicted`` (1 from 0.5).
 
-    A null text is empty and gets the score of the bias. Columns of the input
-    that are named score or predicted give way.
+    A null text is empty and gets the score of the bias. Where no row was
+    learned from, every score is 0.5 and nothing is predicted: ``predicted`` is
+    0. Columns of the input that are named score or predicted give way.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -166,7 +173,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             margin = sums(weight[feature].astype(np.float64), at) + model.bias
             p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
-            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(p), pa.array(((p >= 0.5) & model.learned).astype(np.int32))], names=[*keep, "score", "predicted"])
 
         return step
 
