@@ -163,3 +163,18 @@ def test_nothing_learned_predicts_nothing(spark, edges, tmp_path):
         assert toxicity.score(edges, model).filter("predicted <> 0").count() == 0
     known.write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.drop_toxic(spark, edges, str(tmp_path)).count() == edges.count()
+
+
+@pytest.mark.parametrize("size", [65, 97, 150, 200, 500, 1500])
+def test_whole_copies_of_long_items_are_found(size):
+    draw = np.random.default_rng(size)
+
+    def some(n):
+        return " ".join(f"v{k}" for k in draw.integers(0, 3000, n))
+
+    items = [some(size) + "." for _ in range(20)] + [some(30) + "." for _ in range(20)]
+    index = decontam.Index(list(range(40)), items, decontam.Settings())
+    texts = [f"{some(int(draw.integers(0, 300)))} {x} {some(200)}" for x in items]
+    assert [(d, i) for d, i, *_ in index.search(pa.array(texts))] == [(k, k) for k in range(40)]
+    half = [" ".join(x.split()[: size // 3]) for x in items[:20]]
+    assert index.search(pa.array([f"{some(100)} {x} {some(900)}" for x in half])) == []

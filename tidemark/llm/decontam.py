@@ -9,7 +9,12 @@ Both bounds are true ones: every item at or over its threshold is retrieved.
 What is retrieved counts only if the item's question and its answer overlap the
 passage's surroundings.
 
-The index is broadcast. It holds at most ``BLOCK_ITEMS`` items and
+An item longer than a passage is indexed in parts of at most ``stride`` words.
+Every run of so many words is within some passage, so a passage of a whole copy
+reaches each part's threshold; the overlap is that of the whole item with as
+many words before and after the passage as the item has.
+
+The index is broadcast. It holds about ``BLOCK_ITEMS`` items or parts and
 ``BLOCK_BYTES`` of text; a larger test set is searched in blocks of that size.
 """
 
@@ -78,7 +83,8 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str], s: Settings) -> None:
         self.s = s
-        flat, offsets = terms(pa.array(texts, pa.string()))
+        flat, whole = terms(pa.array(texts, pa.string()))
+        offsets, of = self._pieces(whole)
         coded = flat.dictionary_encode()
         self.vocabulary = coded.dictionary
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -91,11 +97,12 @@ class Index:
         idf = np.log(1 + (len(full) - df + 0.5) / (df + 0.5))
         norm = s.k1 * (1 - s.b + s.b * size / max(size[full].mean() if len(full) else 1, 1))
         impact = idf[term] * tf * (s.k1 + 1) / (tf + norm[item])
-        own = np.bincount(item, weights=impact, minlength=len(texts))
+        own = np.bincount(item, weights=impact, minlength=len(of))
         order = full[np.argsort(own[full], kind="stable")]
-        place = np.full(len(texts), -1)
+        place = np.full(len(of), -1)
         place[order] = np.arange(len(order))
-        self.ids = [ids[k] for k in order]
+        self.of, self.words = of[order], np.diff(whole)
+        self.ids = ids
         self.threshold = s.reach * own[order]
         self.blocks = -(-len(order) // s.block)
         self.lowest = self.threshold[:: s.block]
@@ -108,7 +115,15 @@ class Index:
         self.block_max = np.zeros((n + 1, max(self.blocks, 1)), np.float32)  # the last row: words that no item has
         np.maximum.at(self.block_max, (term, item // s.block), self.impact)
         self.most = self.block_max.max(1)
-        self.parts = [self._part(texts[k]) for k in order]
+        self.parts = [self._part(t) for t in texts]
+
+    def _pieces(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the items' parts begin and end, and the item of each."""
+        size = np.diff(whole)
+        count = np.where(size <= self.s.passage, 1, -(-size // self.s.stride))
+        of = np.repeat(np.arange(len(size)), count)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return np.append(whole[:-1][of] + size[of] * k // count[of], whole[-1]), of
 
     def _part(self, text: str) -> tuple[set, set]:
         question, answer = (self._codes(x) for x in split_item(text, self.s.shingle))
@@ -146,7 +161,7 @@ class Index:
     def search(self, texts: pa.Array) -> list[tuple]:
         """(text number, item, share of its own score, question overlap, answer overlap) of confirmed items, the best passage's."""
         s = self.s
-        if not self.ids:
+        if not len(self.of):
             return []
         flat, offsets = terms(texts)
         codes = pc.fill_null(pc.index_in(flat, value_set=self.vocabulary), len(self.vocabulary)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -158,6 +173,7 @@ class Index:
         best = np.concatenate([[0], np.cumsum(self.most[codes], dtype=np.float64)])
         alive = np.flatnonzero(best[end] - best[begin] >= self.lowest[0] - 1e-3)
         out: dict[tuple[int, int], tuple] = {}
+        seen: dict[tuple[int, int], tuple] = {}
         padded = np.append(codes, len(self.vocabulary))
         for k in range(0, len(alive), _STEP):
             some = alive[k : k + _STEP]
@@ -165,12 +181,18 @@ class Index:
             rows, items, scores = self.retrieve(padded[np.where(at < end[some][:, None], at, len(codes))])
             for r, i, score in zip(rows.tolist(), items.tolist(), scores.tolist()):
                 p = some[r]
-                d = int(doc[p])
-                near = codes[max(offsets[d], begin[p] - s.passage) : min(offsets[d + 1], end[p] + s.passage)].tolist()
-                found = self._overlap(near, i)
-                if found and (d, i) not in out or found and out[d, i][0] < score:
-                    out[d, i] = (score, *found)
-        return [(d, self.ids[i], score * s.reach / self.threshold[i], q, a) for (d, i), (score, q, a) in sorted(out.items())]
+                d, x = int(doc[p]), int(self.of[i])
+                size, share = int(self.words[x]), score * s.reach / self.threshold[i]
+                if size <= s.passage:
+                    found = self._overlap(codes[max(offsets[d], begin[p] - s.passage) : min(offsets[d + 1], end[p] + s.passage)].tolist(), x)
+                else:  # what is looked at serves all passages that begin within half an item
+                    if (d, x) not in seen or begin[p] - seen[d, x][0] >= size // 2:
+                        near = codes[max(offsets[d], begin[p] - size) : min(offsets[d + 1], end[p] + size + size // 2)].tolist()
+                        seen[d, x] = begin[p], self._overlap(near, x)
+                    found = seen[d, x][1]
+                if found and ((d, x) not in out or out[d, x][0] < share):
+                    out[d, x] = (share, *found)
+        return [(d, self.ids[x], *best) for (d, x), best in sorted(out.items())]
 
     def _overlap(self, near: list[int], item: int) -> tuple[float, float] | None:
         question, answer = self.parts[item]
@@ -184,7 +206,9 @@ class Index:
 def indexes(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", settings: Settings = Settings()) -> list[Index]:
     """The index of the test items, or one for each block of a large test set. Items without id or text are left out."""
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).dropna()
-    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = F.size(F.split(F.trim("text"), r"\s+"))
+    pieces = F.when(n <= settings.passage, 1).otherwise(F.ceil(n / settings.stride))
+    count, size = items.agg(F.coalesce(F.sum(pieces), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(-(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES), 1)
     out = []
     for k in range(blocks):
@@ -197,7 +221,8 @@ def indexes(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each test item in each text.
 
-    score is the best passage's share of the item's own score. Null and empty
+    score is the best passage's share of the item's own score, of an item in
+    parts that of the part's own score. Null and empty
     texts leak nothing, an empty test set is leaked nowhere; rows of ``docs``
     that repeat give rows each; an item without words can't leak. Other columns
     are not read.
