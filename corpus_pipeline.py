@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, packing, pii, simhash, toxicity
+from tidemark.llm import decontam, packing, pii, shingles, toxicity
 from tidemark.storage import read, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,9 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id.
 
+    Near copies have 0.8 or more of their five-word shingles in common.
     Rows that repeat that id are all of it; a document without an id stays if its group has none.
     """
-    return simhash.drop_near_duplicates(docs)
+    return shingles.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

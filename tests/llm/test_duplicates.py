@@ -3,10 +3,11 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 
-from tidemark.llm import simhash, substring
+from tidemark.llm import shingles, simhash, substring
 from tidemark.llm.components import components
 
 
@@ -142,3 +143,53 @@ def test_repeats_within_a_document_and_over_slices(spark):
 def test_kept_text_is_what_the_hash_says(edges):
     for r in substring.remove_repeats(edges).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+
+
+def slow_near_copies(rows):
+    """The ids that stay, by the Jaccard similarity of each pair of texts."""
+    sets = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    known = sorted(sets)
+    for k, a in enumerate(known):
+        for b in known[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted(i for i in sets if find(i) == i)
+
+
+def test_the_stage_finds_every_pair_of_similar_shingles(spark):
+    draw = random.Random(9)
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = [(1000, None), (1001, " \n"), (1002, "one two"), (1003, "One  two"), (1004, "one two three")]
+    for k in range(30):
+        words = [f"w{draw.randrange(2000)}" for _ in range(draw.choice([6, 20, 80, 300]))]
+        for c in range(6):
+            new = list(words)
+            for _ in range(draw.randint(0, max(len(words) // 40, 1))):
+                new[draw.randrange(len(new))] = f"x{draw.randrange(2000)}"
+            rows.append((k * 10 + c, f"{common} {' '.join(new)}"))
+    want = slow_near_copies(rows)
+    assert 40 < len(want) < 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (512, 8):
+        assert sorted(r.doc_id for r in shingles.drop_near_duplicates(docs, crowd=crowd).collect()) == want
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+
+
+def test_the_stage_keeps_rows_as_the_fingerprints_do(edges, nothing):
+    kept = shingles.drop_near_duplicates(edges)
+    assert kept.columns == edges.columns and shingles.drop_near_duplicates(nothing).count() == 0
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    # 10 has 56 of 69 shingles in common with 1, and 56 of 68 with 7
+    assert ids == sorted(["1", "2", "5", "8", "8", "9", "None"])

@@ -15,6 +15,7 @@ each cluster become a star, which loses no connection.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +139,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
 def _classes(docs: DataFrame, text: str, doc_id: str, width: int, radius: int, crowd: int) -> DataFrame:
     prints = stage(fingerprints(docs, text=text, doc_id=doc_id, width=width), "fingerprints")
+    return least_of(prints, lambda distinct: links(distinct, radius=radius, crowd=crowd))
+
+
+def least_of(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints`` (doc_id, tag, fp) with the least doc_id of all that the links of distinct ``fp`` connect."""
     first = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    star = components(links(first.select("fp"), radius=radius, crowd=crowd))
+    star = components(link(first.select("fp")))
     rooted = first.join(star.withColumnRenamed("node", "fp").hint("shuffle_merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     named = stage(rooted.join(least.hint("shuffle_merge"), "root").select("fp", "component_id"), "named")
@@ -153,7 +159,11 @@ def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "
     id go if their group has one, else they stay. What goes is looked up by id
     and a hash of the text.
     """
-    classes = _classes(docs, text, doc_id, width, radius, crowd)
+    return drop(docs, _classes(docs, text, doc_id, width, radius, crowd), text, doc_id)
+
+
+def drop(docs: DataFrame, classes: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id of their class."""
     loses = F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())
     gone = stage(classes.filter(loses).select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__tag")).distinct(), "near-copies")
     own = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__own": F.xxhash64(F.col(text).cast("string"))})
