@@ -10,6 +10,9 @@ The order is that of the hashes. Where a shingle of the prefixes is in more than
 common passages lead no pairs to each other. Equal sets are one. At each
 shingle the sets first meet the least of them; only sets that this leaves in
 different groups meet one another. No pair is cut or skipped.
+
+Before whole sets are moved, bits of the odd counts of their shingles rule pairs out: the
+bits that differ are at most the shingles that differ.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from tidemark.storage import discard, stage
 OVER, UNDER = 4, 5
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _STEP = 1 << 16
+#: Bits of the filter of sets to move; positions are those of fp, so at most so many come to the driver.
+_BITS = 1 << 20
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -120,10 +125,54 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(run, "key long, n long, fp long, many long")
 
 
+def signature(h: np.ndarray) -> bytes:
+    """Which of as many positions as the set has shingles, rounded up to a power of two (64 at least), hold an odd count."""
+    size = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & (size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Positions that differ, the longer signature folded to the shorter."""
+    x, y = (np.frombuffer(z, np.uint8) for z in sorted((x, y), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _possible(pairs: DataFrame, given: DataFrame) -> DataFrame:
+    """The pairs whose signatures and sizes allow the similarity."""
+
+    def sign(batches):
+        for batch in batches:
+            each = [x.values.to_numpy() for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([len(h) for h in each], pa.int64()), pa.array([signature(h) for h in each], pa.binary())], names=["fp", "n", "bits"])
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            d = np.array([_differ(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            # of n + m shingles at most this share can differ
+            keep = pa.array((OVER + UNDER) * d <= (UNDER - OVER) * (n + m))
+            yield pa.record_batch([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    signed = given.mapInArrow(sign, "fp long, n long, bits binary").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    a, b = (signed.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    joined = pairs.join(a.hint("shuffle_merge"), "a").join(b.hint("shuffle_merge"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
+    return stage(joined.mapInArrow(run, _PAIR), "possible")
+
+
 def _confirm(pairs: DataFrame, given: DataFrame) -> DataFrame:
     """The pairs whose sets have the similarity."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = stage(given.join(named.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "met-sets")
+    pairs = _possible(pairs, given)
+    named = stage(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "met-names")
+    here = np.zeros(_BITS, bool)
+    here[named.select(F.col("fp").bitwiseAND(F.lit(_BITS - 1)).alias("at")).distinct().toArrow()["at"].to_numpy()] = True
+    sent = given.sparkSession.sparkContext.broadcast(np.packbits(here))
+
+    def some(batches):
+        there = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(there[batch.column(0).to_numpy() & (_BITS - 1)]))
+
+    wanted = stage(given.mapInArrow(some, given.schema).join(named.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "met-sets")
 
     def run(batches):
         for batch in batches:
@@ -139,7 +188,8 @@ def _confirm(pairs: DataFrame, given: DataFrame) -> DataFrame:
     b = wanted.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(a.hint("shuffle_merge"), "a").join(b.hint("shuffle_merge"), "b").select("a", "b", "x", "y")
     out = stage(joined.mapInArrow(run, _PAIR), "confirmed")
-    discard(wanted)
+    for old in (wanted, named, pairs):
+        discard(old)
     return out
 
 
