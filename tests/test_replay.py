@@ -134,3 +134,15 @@ def test_flow_in_event_time_windows(spark, tmp_path):
     q = windowed_flow(stream).writeStream.format("memory").queryName("flow").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(messages), sum(volume) from flow").first()[:] == (len(ROWS), sum(r[4] for r in ROWS))
+
+
+def test_the_registered_replays_take_every_order_and_the_schedule(spark, sf_dir):
+    from tidemark.plans import replays
+
+    rows = replays.messages(spark, sf_dir)
+    assert replays.raw_backtest_latency(spark, sf_dir).count() == rows.filter("action = 'A'").count()
+    ts = F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col("ts_event") / 1000)), schedule.NEW_YORK)
+    days = [r[0] for r in rows.select(F.to_date(ts)).distinct().collect()]
+    times = {t for d in days for t in schedule.entry_times(d, replays.SAMPLES)}
+    got = {r.entry_time for r in replays.virtual_order_tracking(spark, sf_dir).select("entry_time").collect()}
+    assert got and got <= times

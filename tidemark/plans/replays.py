@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import replay
+from tidemark.operators import replay, schedule
 from tidemark.plans.registry import query
 from tidemark.storage import read
 
 _MINUTE = 60_000_000_000
+#: Samples of a day; each book's entry times are half of them, in the session.
+SAMPLES = 100
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +48,14 @@ def aggregated_last_quotes(spark, sf_dir):
 @query()
 def virtual_order_tracking(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    schedule = rows.filter("seq % 200 = 7").select("instrument_id", "publisher_id", "ts_event")
-    return replay.track(rows, schedule, horizon_ns=48 * 60 * _MINUTE, windows=(60_000, 600_000))
+    days = [r.day for r in rows.select(F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col("ts_event") / 1000)), schedule.NEW_YORK)).alias("day")).distinct().orderBy("day").collect()]
+    times = spark.createDataFrame([(t,) for day in days for t in schedule.entry_times(day, SAMPLES)], "ts_event long")
+    due = rows.select("instrument_id", "publisher_id").distinct().crossJoin(F.broadcast(times))
+    return replay.track(rows, due, horizon_ns=48 * 60 * _MINUTE, windows=(60_000, 600_000))
 
 
 @query()
 def raw_backtest_latency(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    orders = rows.filter("seq % 100 = 12 and action = 'A'").select("instrument_id", "publisher_id", "order_id", F.col("ts_event").alias("entry_time"), "side", "price", (F.col("ts_event") + 24 * 60 * _MINUTE).alias("deadline"))
+    orders = rows.filter("action = 'A'").select("instrument_id", "publisher_id", "order_id", F.col("ts_event").alias("entry_time"), "side", "price", (F.col("ts_event") + 24 * 60 * _MINUTE).alias("deadline"))
     return replay.backtest(rows, orders, latency_ns=5_000_000)
