@@ -138,3 +138,9 @@ def test_words_nearby_never_unmask_personal_data(spark):
     rows = [(k, f"{before} {value} {after}") for k, (before, value, after) in enumerate((b, v, a) for v in spans.values() for b, a in (("in order to join", "now"), ("x", "version"), ("call", "about your order")))]
     got = [r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [f"{b} <{k}> {a}" for k in spans for b, a in (("in order to join", "now"), ("x", "version"), ("call", "about your order"))]
+
+
+def test_printed_ibans_are_masked(spark):
+    texts = {"pay DE89 3704 0044 0532 0130 00 EUR": "pay <iban> EUR", "ES91-2100-0418-4502-0005-1332 BIC x": "<iban> BIC x", "DE88 3704 0044 0532 0130 00": "DE88 3704 0044 0532 0130 00", "NO93 8601 1117 947.": "<iban>.", "ES91 2100 0418 4502 0005 1332 GB29 NWBK 6016 1331 9268 19": "<iban> <iban>", "AB12 CDEF 1234": "AB12 CDEF 1234"}
+    got = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == list(texts.values())

@@ -57,6 +57,17 @@ BASE = [
 ]
 MORE = [Rule("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", 0, lambda hit, part: mod97(hit))]
 
+
+
+def _printed(hit: Column, part: Column) -> Column:
+    """How many groups of a printed IBAN, its first and those after it, pass mod-97: each such count, the largest first."""
+    groups = F.split(F.concat(hit, part), r"[\x20-]")
+    return F.filter(F.sequence(F.size(groups), F.lit(4), F.lit(-1)), lambda k: mod97(F.array_join(F.slice(groups, F.lit(1), k), "")))
+
+
+#: IBANs in groups of four; the groups after the first are looked ahead at, so that none hides the next IBAN.
+PRINTED = Rule("printed", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:[\x20-][A-Z0-9]{4}){2,7}(?:[\x20-][A-Z0-9]{1,3})?)(?![A-Za-z0-9]))", 1, lambda hit, part: F.when(F.size(F.split(part, r"[\x20-]")) > 3, F.size(_printed(hit, part)) > 0).otherwise(F.lit(False)))
+
 #: What a text must contain for a rule to match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
@@ -126,13 +137,18 @@ def redact(docs: DataFrame, *, text: str = "text", least: float = 0.0) -> DataFr
     """
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col(text).cast("string").alias("__value"))
-    found = scan(rows, text="__value")
+    found = scan(rows, text="__value", rules=[*BASE, *MORE, PRINTED])
 
     def cuts(kind: str) -> Column:
         high = F.filter(f"s_{kind}", lambda x: score(kind, x) >= least)
         return F.transform(high, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), F.lit(f"<{kind}>").alias("by")))
 
-    found = found.select("__row", "__value", F.array_sort(F.concat(*(cuts(r.kind) for r in BASE + MORE))).alias("__cuts"))
+    def last(x: Column) -> Column:
+        groups = F.slice(F.split(F.concat(x["hit"], x["part"]), r"[\x20-]"), F.lit(1), F.element_at(_printed(x["hit"], x["part"]), 1))
+        return x["start"] + F.char_length(F.array_join(groups, " "))
+
+    printed = F.transform(F.filter("s_printed", lambda x: score("iban", x) >= least), lambda x: F.struct(x["start"].alias("start"), (-last(x)).alias("end"), F.lit("<iban>").alias("by")))
+    found = found.select("__row", "__value", F.array_sort(F.concat(*(cuts(r.kind) for r in BASE + MORE), printed)).alias("__cuts"))
     value = F.col("__value")
 
     def step(acc: Column, x: Column) -> Column:
