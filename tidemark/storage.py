@@ -53,6 +53,14 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def settle(df: DataFrame) -> None:
+    """Have the driver drop what only finished jobs used, so that executors delete their shuffle files.
+
+    Spark deletes them once the driver's garbage collector meets the plans; by itself that may take half an hour.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this driver, once no result of it is read any more."""
     for path in sorted(_staged):
