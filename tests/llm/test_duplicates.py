@@ -5,6 +5,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from tidemark.llm import shingles, simhash, substring
@@ -140,6 +142,40 @@ def test_repeats_within_a_document_and_over_slices(spark):
     assert sorted(map(tuple, got)) == slow_removal(rows, 20)
 
 
+def _many_of_one_id(i):
+    """300 texts of 60 words, 40 of them without any repeat, that bear the same id."""
+    draw = random.Random(4)
+    common = " ".join(f"c{k}" for k in range(40))
+    return [(i, " ".join(f"u{k}x{j}" for j in range(60)) if k % 2 else f"{common} {draw.random()} v{k}") for k in range(300)]
+
+
+@pytest.mark.parametrize("i", [None, 5])
+def test_rows_of_one_id_are_told_apart(spark, i):
+    docs = spark.createDataFrame(_many_of_one_id(i), "doc_id long, text string").repartition(5)
+    got = [(r.n_words, r.n_removed) for r in substring.remove_repeats(docs, with_text=False).collect()]
+    assert sorted(got) == sorted([(60, 0)] * 150 + [(42, 0)] + [(42, 40)] * 149)
+
+
+def test_hashes_that_clash_are_found_and_made_again(spark):
+    rows = [(k, " ".join(f"{random.Random(k).random()} " for _ in range(1)) + " ".join(f"w{k}z{j}" for j in range(200))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeated_by_weak_hashes(docs) > 0
+    got = substring.remove_repeats(docs, with_text=False, bits=(1, 64))
+    assert sorted(map(tuple, got.collect())) == slow_removal(rows, 20)
+    with pytest.raises(RuntimeError):
+        substring.remove_repeats(docs, with_text=False, bits=(1,))
+
+
+def repeated_by_weak_hashes(docs):
+    return substring.repeated_spans(docs, bits=1).count()
+
+
+def test_very_long_periodic_texts(spark):
+    rows = [(1, "a " * 400_000), (2, "b c d " * 100_000), (3, " ".join(f"w{k % 5000}" for k in range(300_000)))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {1: (400_000, 399_999), 2: (300_000, 299_997), 3: (300_000, 295_000)}
+
+
 def test_kept_text_is_what_the_hash_says(edges):
     for r in substring.remove_repeats(edges).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
@@ -182,11 +218,34 @@ def test_the_stage_finds_every_pair_of_similar_shingles(spark):
     want = slow_near_copies(rows)
     assert 40 < len(want) < 150
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for crowd in (512, 8):
-        assert sorted(r.doc_id for r in shingles.drop_near_duplicates(docs, crowd=crowd).collect()) == want
+    assert sorted(r.doc_id for r in shingles.drop_near_duplicates(docs).collect()) == want
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
 
 
+def test_cells_meet_like_whole_groups(spark):
+    """Variants of one text without their original, and a passage that most texts share, over blocks of three sets."""
+    draw = random.Random(12)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for k in range(60):
+        new = list(base)
+        for _ in range(draw.randint(0, 3)):
+            new[draw.randrange(100)] = f"v{draw.randrange(10**6)}"
+        rows.append((k, " ".join(new if k % 3 else base[:70] + [f"o{k}x{j}" for j in range(draw.randint(5, 60))])))
+    sets = [np.unique(shingles.shingles(t)) for _, t in rows]
+    cells = []
+    for k, a in enumerate(sets):
+        for j in range(20):
+            cells += [(j, min(k // 3, o) * (1 << 31) + max(k // 3, o), k // 3, 0, len(a), k, k) for o in range(20)]
+    cells.sort()
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*cells)], names=list("abcdefg"))
+    got = {(a, b) for x in shingles._cross([batch.slice(0, 700), batch.slice(700)]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))}
+    assert {(min(p), max(p)) for p in got} == want
+    kept = sorted(r.doc_id for r in shingles.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert kept == slow_near_copies(rows)
+
+
 def test_the_stage_keeps_rows_as_the_fingerprints_do(edges, nothing):
     kept = shingles.drop_near_duplicates(edges)
     assert kept.columns == edges.columns and shingles.drop_near_duplicates(nothing).count() == 0
