@@ -9,12 +9,15 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import media, packing, sharding
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY, CODER = Tokenizer.from_file(TOKENIZER), packing.Coder(TOKENIZER)
 
 
 def check_packing(rows, got, capacity):
@@ -47,10 +50,26 @@ def test_packing_of_edges(edges, nothing):
     assert packing.pack_documents(nothing, TOKENIZER).collect() == []
 
 
+ODD = ["a<|endoftext|>b", "  x\n\n y\t", "it's we'll 12a3", "é𝄞　ñ", "x" * 3000, "\u0000‍", "", "!\x1c! \x1f\x85\xa0 z\u2028\u3000q \u200b ", " \x1c a", "a\r\n  b'S's"]
+
+
 def test_special_tokens_and_odd_texts_as_the_library():
-    coder, fast = Tokenizer.from_file(TOKENIZER), packing.ByteBpe(TOKENIZER)
-    for text in ("a<|endoftext|>b", "  x\n\n y\t", "it's we'll 12a3", "é𝄞　ñ", "x" * 3000, "\u0000‍"):
-        assert fast.ids(text) == coder.encode(text, add_special_tokens=False).ids
+    library, coder = Tokenizer.from_file(TOKENIZER), packing.Coder(TOKENIZER)
+    for _ in range(2):
+        assert [x.tolist() for x in coder.ids(ODD)] == [library.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'sa1!\x1c\x85\xa0\u3000\u200b\u0301é"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
+def test_any_texts_as_the_library(values):
+    assert [x.tolist() for x in CODER.ids(values)] == [x.ids for x in LIBRARY.encode_batch(values, add_special_tokens=False)]
+
+
+def test_runs_of_millions_are_the_library_s(spark):
+    library = Tokenizer.from_file(TOKENIZER)
+    rows = [(1, " " * 1_000_000), (2, "\n" * 3_000_000), (3, "ab" * 1_500_000), (4, " " * 10_000_000), (5, "x" + "\t " * 500_000)]
+    got = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), TOKENIZER)
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
 
 
 def test_plans_place_all_and_pair_large_lengths():

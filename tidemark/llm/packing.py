@@ -10,6 +10,8 @@ its rank, in parallel. No piece is moved to the driver.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from tidemark.llm.text import filled, map_texts
 from tidemark.storage import stage
@@ -34,47 +37,65 @@ PIECES = T.StructType(
 )
 
 
-def _byte_of_symbol() -> dict[str, int]:
-    """Byte-level vocabularies write each byte as one printable character."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Characters that end a word for every byte-level pre-tokenizer; x1C to x1F don't.
+_BLANK, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 
 
-class ByteBpe:
-    """Token ids of a byte-level BPE file of the ``tokenizers`` library.
+class Coder:
+    """Token ids of a file of the ``tokenizers`` library.
 
-    The vocabulary's ids are its merge ranks, which ``tiktoken`` applies about
-    five times faster to the same result. Texts that spell one of the file's
-    special tokens go through ``tokenizers`` itself.
+    A byte-level pre-tokenizer always cuts between a character that isn't blank
+    and a blank one. So texts are cut there, and the library encodes each
+    distinct chunk once; a chunk is the same in any text. Texts that spell an
+    added token, and all texts of other kinds of files, are one chunk.
     """
 
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    CHUNK = re.compile(f"{_BLANK}*{_SOLID}+|{_BLANK}+")
+    #: Chunks that a task remembers, of at most so many characters each.
+    KNOWN, SHORT = 1 << 17, 32
 
     def __init__(self, path: str) -> None:
-        import tiktoken
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)
-        symbol = _byte_of_symbol()
-        self.special = [x["content"] for x in model["added_tokens"]]
-        ranks = {bytes(symbol[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in self.special}
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.whole = path, None
-
-    def ids(self, text: str) -> list[int]:
-        if any(x in text for x in self.special):
-            if self.whole is None:
-                from tokenizers import Tokenizer
-
-                self.whole = Tokenizer.from_file(self.path)
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            described = json.load(file)
+        split = described.get("pre_tokenizer") or {}
+        self.chunked = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not described.get("normalizer")
+        self.library = Tokenizer.from_file(path)
+        self.added = [x["content"] for x in described.get("added_tokens", [])]
+        self.known: dict[str, np.ndarray] = {}
+
+    def _cut(self, text: str) -> list[str]:
+        return self.CHUNK.findall(text) if self.chunked and not any(x in text for x in self.added) else [text]
+
+    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
+        out = [self.known.get(x) for x in chunks]
+        new = [k for k, x in enumerate(out) if x is None]
+        if len(self.known) + len(new) > self.KNOWN:
+            self.known.clear()
+        for k, coded in zip(new, self.library.encode_batch([chunks[k] for k in new], add_special_tokens=False)):
+            out[k] = np.array(coded.ids, "<u4")
+            if len(chunks[k]) <= self.SHORT and len(self.known) < self.KNOWN:
+                self.known[chunks[k]] = out[k]
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self._cut(x) for x in texts]
+        coded = pa.array([c for x in cut for c in x], pa.string()).dictionary_encode()
+        each = self._learn(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.concatenate([np.empty(0, "<u4"), *each])
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[code]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - before[:-1], n) + np.arange(before[-1])]
+        end = before[np.cumsum([0, *map(len, cut)])]
+        return [ids[a:b] for a, b in zip(end, end[1:])]
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -83,34 +104,25 @@ def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str =
     A longer document is cut into full pieces; the first may be shorter. A null
     text is empty: one piece that holds the end id. A null doc_id stays null.
     Rows that repeat are separate documents; other columns are not read.
+    ``tokenizer`` is a path that every executor has.
     """
 
     def make():
-        coder = byte_bpe(tokenizer)
+        encoder = coder(tokenizer)
+
+        def cut(ids: np.ndarray) -> list[tuple]:
+            ids = np.append(ids, np.array([end_id], "<u4"))
+            at = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
+            return [(k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(at, at[1:]))]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            owner, number, start, length, crc = [], [], [], [], []
-            known: dict[str, list] = {}
-            for row, value in enumerate(filled(batch.column(1)).to_pylist()):
-                cut = known.get(value)
-                if cut is None:
-                    ids = np.array([*coder.ids(value), end_id], "<u4")
-                    first = len(ids) % capacity or capacity
-                    at = [0, *range(first, len(ids), capacity), len(ids)]
-                    cut = known[value] = [(k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(at, at[1:]))]
-                owner += [row] * len(cut)
-                for k, a, n, c in cut:
-                    number.append(k), start.append(a), length.append(n), crc.append(c)
-            return pa.record_batch(
-                [
-                    batch.column(0).cast(pa.int64()).take(pa.array(owner, pa.int64())),
-                    pa.array(number, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array(crc, pa.int64()),
-                ],
-                names=PIECES.names,
-            )
+            coded = filled(batch.column(1)).dictionary_encode()
+            rows = coded.indices.to_numpy(zero_copy_only=False)
+            each = [cut(x) for x in encoder.ids(coded.dictionary.to_pylist())]
+            made = [(row, *piece) for row, code in enumerate(rows.tolist()) for piece in each[code]]
+            row, *columns = ([x[k] for x in made] for k in range(5))
+            arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            return pa.record_batch([batch.column(0).cast(pa.int64()).take(pa.array(row, pa.int64())), *arrays], names=PIECES.names)
 
         return step
 
