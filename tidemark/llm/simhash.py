@@ -31,6 +31,12 @@ from tidemark.storage import discard, stage
 BITS = 64
 
 
+def majority(hashed: np.ndarray) -> int:
+    """The bits that over half of the hashes have; of none, zero."""
+    votes = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashed), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """The 64 majority bits of the XXH64 (seed 42) of all word shingles."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -44,8 +50,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
         size = np.fromiter(map(len, found), np.int64, len(found))
         end = np.cumsum(size + 1) - 1
         hashed = [one(joined[a:b], 42) for a, b in zip((end - size)[: len(found) - width + 1].tolist(), end[width - 1 :].tolist())]
-    votes = np.unpackbits(np.array(hashed, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashed), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashed, np.uint64))
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 4) -> DataFrame:
