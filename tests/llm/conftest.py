@@ -21,7 +21,7 @@ EDGES = [
 ]
 
 #: Columns that bear names which operators use themselves.
-CLASHES = ("score", "shard", "slot", "tag", "fp", "row", "word", "n", "doc", "at", "key", "piece", "length", "count", "predicted", "spans", "component_id", "s_email", "chunk", "bucket", "mask")
+CLASHES = ("score", "shard", "slot", "tag", "fp", "row", "word", "n", "doc", "at", "key", "piece", "length", "count", "predicted", "spans", "component_id", "s_email", "chunk", "bucket", "mask", "__text", "__id", "__own", "own", "gone", "value", "blob", "type")
 
 
 @pytest.fixture(scope="session")

@@ -2,12 +2,13 @@
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, lm, toxicity
@@ -148,6 +149,57 @@ def test_labels_of_the_held_out_fold_are_not_learned_from(spark):
     assert toxicity.score(docs, model).agg(F.max("score")).first()[0] < 0.5
 
 
+def slow_ftrl(texts, labels, s):
+    """One coordinate at a time, from the words."""
+
+    def h(text, seed):
+        return xxhash.xxh64_intdigest(text.encode(), seed)
+
+    def features(text):
+        words = [w.strip(toxicity._EDGE) for w in text.lower().split()]
+        low, each = (1 << s.bits) - 1, [h(w, 1) for w in words]
+        out = {x & low for x in each}
+        for n in toxicity.STEMS:
+            out |= {(h(w[:n], 2) if len(w) > n else x) & low for w, x in zip(words, each)}
+        m, full = 0x9E3779B97F4A7C15, (1 << 64) - 1
+        for gap in (1, 2):
+            for a, b in zip(each, each[gap:]):
+                out.add((((a * m + b * (m + 2 * gap)) * m & full) >> 32) & low)
+        return out
+
+    rows = [features(t) for t in texts]
+    seen = Counter(f for r in rows for f in r)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k, l1):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((s.beta + math.sqrt(n[k])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for r, y in zip(rows, labels):
+            r = [f for f in r if seen[f] >= s.least]
+            p = 1 / (1 + math.exp(-(sum(weight(f, s.l1) for f in r) + weight("bias", 0))))
+            g = p - y
+            for f, l1 in [(f, s.l1) for f in r] + [("bias", 0)]:
+                w = weight(f, l1)
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / s.alpha * w
+                n[f] += g * g
+    return {f: weight(f, s.l1) for f in z if f != "bias" and weight(f, s.l1)}, weight("bias", 0)
+
+
+def test_ftrl_against_one_coordinate_at_a_time(spark):
+    s = toxicity.Settings(bits=16, least=2, l1=0.4)
+    docs = {r.doc_id: (r.text or "")[:3000] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = [(docs[r.doc_id], r.toxic) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").orderBy("doc_id").collect() if r.toxic is not None and r.doc_id in docs][:120]
+    texts, labels = [t for t, _ in rows], np.array([y for _, y in rows])
+    labels[::3] = 1
+    got = toxicity.fit(pa.array(texts), labels, s)
+    weights, bias = slow_ftrl(texts, labels.tolist(), s)
+    assert weights and dict(zip(got.index.tolist(), got.weight.tolist())) == pytest.approx(weights, rel=1e-4, abs=1e-6)
+    assert got.bias == pytest.approx(bias, rel=1e-6)
+
+
 def test_a_text_that_does_not_fit_leaves_the_others_to_learn_from(spark):
     docs = spark.createDataFrame([(k, "vile words here " * (400 if k < 30 else 1) if k % 2 else "plain words here") for k in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
@@ -158,9 +210,10 @@ def test_a_text_that_does_not_fit_leaves_the_others_to_learn_from(spark):
 
 def test_nothing_learned_predicts_nothing(spark, edges, tmp_path):
     labels = spark.createDataFrame([(10**9, 1)], "doc_id long, toxic int")
-    for known in (labels, labels.limit(0)):
+    every = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")
+    for known in (every, labels, labels.limit(0)):
         model = toxicity.learn(edges, known)
-        assert toxicity.score(edges, model).filter("predicted <> 0").count() == 0
+        assert toxicity.score(edges, model).filter("predicted <> 0 or score <> 0").count() == 0
     known.write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.drop_toxic(spark, edges, str(tmp_path)).count() == edges.count()
 

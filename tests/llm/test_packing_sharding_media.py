@@ -3,7 +3,9 @@
 import hashlib
 import io
 import struct
+import time
 import wave
+import zipfile
 import zlib
 from collections import defaultdict
 
@@ -132,14 +134,21 @@ def test_differencing_small_cases():
 
 
 def check_media(rows, got):
-    want = {}
+    want, payloads = {}, {}
     for i, t in rows:
         raw = (t or "").encode()
-        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        payload = payloads[i] = raw + b" " * (-len(raw) % 192 if raw else 192)
         want[i] = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     for r in got:
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want[r.doc_id]
-        assert r.media_bytes == r.payload_bytes + 44 and r.feature.startswith("audio/wav;")
+        payload = payloads[r.doc_id]
+        file = io.BytesIO()
+        with wave.open(file, "wb") as out:
+            out.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            out.writeframes(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(file.getvalue()), hashlib.sha256(file.getvalue()).hexdigest())
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        assert r.feature.startswith(f"audio/wav;samples={len(payload)};sum={sum(payload)};crossings={crossings};carved=")
 
 
 def test_text_media(documents, texts, edges, nothing):
@@ -167,16 +176,72 @@ JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd123\xff\x00\xff\xd0x\xff\xd
 BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\0\0\0\0"
 
 
+MP4 = struct.pack(">I4s4sI4s", 20, b"ftyp", b"isom", 0, b"isom") + struct.pack(">I4s", 8, b"moov") + struct.pack(">I4sQ", 1, b"mdat", 20) + b"data"
+WEBP = struct.pack("<4sI4s4sI", b"RIFF", 16, b"WEBP", b"VP8L", 3) + b"abc\0"
+
+
+def pdf():
+    body = b"%PDF-1.4\n1 0 obj <<>> endobj\n"
+    return body + b"xref\n0 1\ntrailer <<>>\nstartxref\n" + str(len(body)).encode() + b"\n%%EOF"
+
+
+def archive():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "one")
+        z.writestr("b.txt", "two")
+    return out.getvalue()
+
+
+KINDS = (
+    ("image/png", png()), ("image/gif", GIF), ("image/jpeg", JPEG), ("image/bmp", BMP), ("audio/wav", media.store(b"\0" * 192)),
+    ("image/webp", WEBP), ("application/pdf", pdf()), ("application/zip", archive()),
+)
+
+
 def test_formats_are_validated_to_their_end():
     sniff = media.Sniffer()
-    for kind, blob in (("image/png", png()), ("image/gif", GIF), ("image/jpeg", JPEG), ("image/bmp", BMP), ("audio/wav", media.store(b"\0" * 192))):
-        assert sniff.spans(blob + b"tail") == [media.Span(kind, 0, len(blob))]
+    for kind, blob in (*KINDS, ("video/mp4", MP4)):
+        assert [s for s in sniff.spans(blob + b"tail") if s.start == 0] == [media.Span(kind, 0, len(blob))]
         for cut in range(len(blob)):
-            assert sniff.spans(blob[:cut]) == []
+            assert [s for s in sniff.spans(blob[:cut]) if s.kind == kind] == [] or kind == "video/mp4"
         for bad in (blob[:20] + b"\x77" + blob[21:],):
             assert all(s.end <= len(bad) for s in sniff.spans(bad))
 
 
+def test_embedded_media_are_found_at_any_place():
+    sniff = media.Sniffer()
+    blob, want = b"", []
+    for kind, one in KINDS * 3:
+        blob += b"some text "
+        want.append(media.Span(kind, len(blob), len(blob) + len(one)))
+        blob += one
+    assert sniff.spans(blob) == want
+
+
+def test_the_crc_of_any_range():
+    blob = bytes(np.random.default_rng(3).integers(0, 256, 500_000, np.uint8))
+    crc = media.Crc(blob)
+    for a, b in ((0, 500_000), (7, 400_001), (65_536, 200_000), (131_071, 499_999), (9, 20), (5, 5)):
+        assert crc(a, b) == zlib.crc32(blob[a:b])
+
+
+def adversaries(size):
+    head = png()[:33]
+    claims = b"".join(head + struct.pack(">I4s", size - 33 * (k + 2) - 100, b"IDAT") for k in range(3))
+    yield from (x * (size // len(x)) for x in (b"GIF89a1234567,", b"GIF89a\1\0\1\0\0\0\0!\x01\x01", b"\xff\xd8\xff\xe0\0\2", b"\xff\xd8\xff\xda\0\2a", b"%PDF-startxref 1 %%EOF", b"PK\3\4PK\5\6", b"ftyp\0\0\0\x08", head, claims))
+    yield b"".join(struct.pack("<4sI4s", b"RIFF", size - 12 * k - 8, b"WAVE") for k in range(size // 12))
+    yield b"".join(struct.pack("<4sI4s4sI", b"RIFF", 12, b"WAVE", b"RIFF", 12) for _ in range(size // 20))
+
+
+def test_repeated_magics_take_time_in_proportion():
+    sniff = media.Sniffer()
+    for blob in adversaries(4_000_000):
+        began = time.process_time()
+        sniff.spans(blob)
+        assert time.process_time() - began < 40
+
+
 def test_types_are_corrected_and_embedded_media_carved(spark):
     rows = [(1, bytearray(png()), "image/gif"), (2, bytearray(b"text " + GIF + b" and " + png()), "text/plain"), (3, None, "image/png"), (4, bytearray(b""), None), (5, bytearray(b"RIFF BM GIF89a"), "text/plain")]
     got = {r.id: r for r in media.sniff(spark.createDataFrame(rows, "id int, media binary, mime string").withColumn("detected", F.lit(0))).collect()}

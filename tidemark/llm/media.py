@@ -8,9 +8,13 @@ corrects the declared type; what validates further in is carved.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
+from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -33,135 +37,350 @@ class Span:
     end: int
 
 
-def _png(b: bytes, at: int) -> int | None:
-    i, first = at + 8, True
-    while i + 12 <= len(b):
+class Walk:
+    """Where walks over a blob end. Each place has one step, so walks that meet go on as one and no place is looked at twice.
+
+    step: of a place, (the next one or None, where the medium ends if it does, whether the step counts).
+    """
+
+    def __init__(self, step: Callable[[int], tuple[int | None, int | None, bool]]) -> None:
+        self.step = step
+        self.known: dict[int, tuple[int | None, bool]] = {}
+
+    def __call__(self, at: int) -> tuple[int | None, bool]:
+        """(where the medium ends or None, whether a step from ``at`` on counts)."""
+        path = []
+        while at not in self.known:
+            to, end, counts = self.step(at)
+            if to is None:
+                self.known[at] = (end, counts)
+                break
+            path.append((at, counts))
+            at = to
+        out = self.known[at]
+        for place, counts in reversed(path):
+            out = (out[0], out[1] or counts)
+            self.known[place] = out
+        return out
+
+
+class Format:
+    """What checks one blob: ``ends`` says of each place of the magic where the medium from there ends, None if it is none."""
+
+    def __init__(self, blob: bytes) -> None:
+        self.b = blob
+
+    def ends(self, places: list[int]) -> list[int | None]:
+        return [self.end(at) for at in places]
+
+
+class Crc:
+    """CRC-32 of any range of a blob, without reading a long range again."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, blob: bytes) -> None:
+        self.b, self.upto, self.powers = blob, [0], []
+
+    @staticmethod
+    def _apply(matrix: list[int], value: int) -> int:
+        out = 0
+        for column in matrix:
+            if value & 1:
+                out ^= column
+            value >>= 1
+        return out
+
+    def _moved(self, crc: int, n: int) -> int:
+        """What a CRC is after n zero bytes, as a linear map."""
+        if not self.powers:
+            byte = [zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)]
+            self.powers.append([(v >> 8) ^ byte[v & 255] for v in (1 << k for k in range(32))])
+        k = 0
+        while n >> k:
+            if k == len(self.powers):
+                self.powers.append([self._apply(self.powers[-1], c) for c in self.powers[-1]])
+            if n >> k & 1:
+                crc = self._apply(self.powers[k], crc)
+            k += 1
+        return crc
+
+    def _before(self, at: int) -> int:
+        block = at // self.BLOCK
+        for k in range(len(self.upto) - 1, block):
+            self.upto.append(zlib.crc32(self.b[k * self.BLOCK : (k + 1) * self.BLOCK], self.upto[k]))
+        return zlib.crc32(self.b[block * self.BLOCK : at], self.upto[block])
+
+    def __call__(self, start: int, end: int) -> int:
+        if end - start <= self.BLOCK:
+            return zlib.crc32(self.b[start:end])
+        return self._before(end) ^ self._moved(self._before(start), end - start)
+
+
+class Png(Format):
+    def __init__(self, blob: bytes) -> None:
+        super().__init__(blob)
+        self.crc, self.walk = Crc(blob), Walk(self._chunk)
+
+    def _chunk(self, i: int) -> tuple[int | None, int | None, bool]:
+        b = self.b
+        if i + 12 > len(b):
+            return None, None, False
         size, kind = struct.unpack_from(">I4s", b, i)
-        if i + 12 + size > len(b) or first != (kind == b"IHDR"):
-            return None
-        if zlib.crc32(b[i + 4 : i + 8 + size]) != struct.unpack_from(">I", b, i + 8 + size)[0]:
-            return None
-        i, first = i + 12 + size, False
+        end = i + 12 + size
+        if end > len(b) or self.crc(i + 4, end - 4) != struct.unpack_from(">I", b, end - 4)[0]:
+            return None, None, False
         if kind == b"IEND":
-            return i
-    return None
+            return None, end, False
+        return end, None, kind == b"IHDR"
 
-
-def _gif(b: bytes, at: int) -> int | None:
-    def blocks(i: int) -> int:
-        while i < len(b) and b[i]:
+    def end(self, at: int) -> int | None:
+        head = at + 8
+        if self.b[head : head + 8] != b"\0\0\0\x0dIHDR" or self._chunk(head)[0] is None:
+            return None
+        end, again = self.walk(head + 25)
+        return None if again else end
+
+
+class Gif(Format):
+    def __init__(self, blob: bytes) -> None:
+        super().__init__(blob)
+        self.after: array | None = None
+        self.walk = Walk(self._part)
+
+    def _blocks(self, at: int) -> int:
+        """Where the blocks from ``at`` end: after an empty one."""
+        b, n = self.b, len(self.b)
+        if self.after is None:
+            self.after = array("q", bytes(8 * n))
+        i = at
+        while i < n and b[i] and not self.after[i]:
             i += b[i] + 1
-        return i + 1
-
-    if at + 13 > len(b):
-        return None
-    i = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    seen = False
-    while i < len(b):
-        if b[i] == 0x3B:
-            return i + 1 if seen else None
-        if b[i] == 0x21:
-            i = blocks(i + 2)
-        elif b[i] == 0x2C and i + 10 < len(b):
-            seen = True
-            i = blocks(i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0))
-        else:
+        end = i + 1 if i >= n or not b[i] else self.after[i]
+        i = at
+        while i < n and b[i] and not self.after[i]:
+            self.after[i] = end
+            i += b[i] + 1
+        return end
+
+    def _part(self, i: int) -> tuple[int | None, int | None, bool]:
+        b = self.b
+        if i < len(b) and b[i] == 0x3B:
+            return None, i + 1, False
+        if i < len(b) and b[i] == 0x21:
+            return self._blocks(i + 2), None, False
+        if i + 10 < len(b) and b[i] == 0x2C:
+            return self._blocks(i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0)), None, True
+        return None, None, False
+
+    def end(self, at: int) -> int | None:
+        b = self.b
+        if at + 13 > len(b):
+            return None
+        end, image = self.walk(at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0))
+        return end if image else None
+
+
+class Jpeg(Format):
+    def __init__(self, blob: bytes) -> None:
+        super().__init__(blob)
+        self.markers: list[int] | None = None
+        self.walk = Walk(self._marker)
+
+    def _after_scan(self, i: int) -> int:
+        """The first marker from i that isn't part of a scan's data."""
+        if self.markers is None:
+            self.markers = [m.start() for m in re.finditer(rb"\xff(?![\x00\xd0-\xd7])", self.b, re.S)]
+        k = bisect.bisect_left(self.markers, i)
+        return self.markers[k] if k < len(self.markers) else len(self.b)
+
+    def _marker(self, i: int) -> tuple[int | None, int | None, bool]:
+        b = self.b
+        if i + 2 > len(b) or b[i] != 0xFF or b[i + 1] in (0x00, 0xD8):
+            return None, None, False
+        if b[i + 1] == 0xD9:
+            return None, i + 2, False
+        size = struct.unpack_from(">H", b, i + 2)[0] if i + 4 <= len(b) else 0
+        if size < 2:
+            return None, None, False
+        scan = b[i + 1] == 0xDA
+        return (self._after_scan(i + 2 + size) if scan else i + 2 + size), None, scan
+
+    def end(self, at: int) -> int | None:
+        end, scan = self.walk(at + 2)
+        return end if scan else None
+
+
+class Riff(Format):
+    """Files of chunks that fill the length that the head declares exactly."""
+
+    def ends(self, places: list[int]) -> list[int | None]:
+        b, n = self.b, len(self.b)
+        out: list[int | None] = [None] * len(places)
+        asked = {}
+        for k, at in enumerate(places):
+            if b[at + 8 : at + 12] == self.form:
+                end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+                if at + 12 < end <= n:
+                    asked[k] = (at + 12, end)
+        after: dict[int, int | None] = {}  # of each chunk the next; the chunks are a forest
+        for i, _ in asked.values():
+            while i not in after:
+                after[i] = i + 8 + (size := struct.unpack_from("<I", b, i + 4)[0]) + size % 2 if i + 8 <= n else None
+                if after[i] is None or after[i] > n:
+                    after[i] = None
+                    break
+                i = after[i]
+        below = dict.fromkeys(after, 1)
+        for i in sorted(after):
+            if after[i] is not None:
+                below[after[i]] += below[i]
+        number, free, first, room = {}, {}, {}, 0
+        for i in sorted(after, reverse=True):
+            up = after[i]
+            if up is None:
+                number[i], room = room, room + below[i]
+            else:
+                number[i] = free[up]
+                free[up] += below[i]
+            free[i] = number[i] + 1
+            named = dict(first.get(up, {}))
+            if i + 8 <= n and (name := b[i : i + 4]) in (b"fmt ", b"data"):
+                named[name] = (i + 8, struct.unpack_from("<I", b, i + 4)[0])
+            first[i] = named
+        for k, (start, end) in asked.items():
+            if end in after and number[end] <= number[start] < number[end] + below[end]:
+                found = {name: x for name, x in first[start].items() if x[0] < end}
+                if self._fits(found, start):
+                    out[k] = end
+        return out
+
+
+class Wav(Riff):
+    form = b"WAVE"
+
+    def _fits(self, first: dict[bytes, tuple[int, int]], start: int) -> bool:
+        if b"fmt " not in first or b"data" not in first or first[b"fmt "][1] < 16:
+            return False
+        _, channels, rate, per_second, block, bits = struct.unpack_from("<HHIIHH", self.b, first[b"fmt "][0])
+        return bool(channels and rate and block and block == channels * bits // 8 and per_second == rate * block and first[b"data"][1] % block == 0)
+
+
+class Webp(Riff):
+    form = b"WEBP"
+
+    def _fits(self, first: dict[bytes, tuple[int, int]], start: int) -> bool:
+        return self.b[start : start + 4] in (b"VP8 ", b"VP8L", b"VP8X")
+
+
+class Bmp(Format):
+    def end(self, at: int) -> int | None:
+        b = self.b
+        if at + 30 > len(b):
             return None
-    return None
+        size, _, start, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
+        if planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or header < 40 or not 0 < width < 1 << 16 or not height:
+            return None
+        rows = (width * bits + 31) // 32 * 4 * abs(height)
+        return at + size if at + size <= len(b) and 14 + header <= start and start + rows <= size else None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    i, scan = at + 2, False
-    while i + 4 <= len(b):
-        if b[i] != 0xFF:
-            return None
-        kind = b[i + 1]
-        if kind == 0xD9:
-            return i + 2 if scan else None
-        size = struct.unpack_from(">H", b, i + 2)[0]
-        if size < 2 or kind in (0x00, 0xD8):
+class Mp4(Format):
+    """Boxes from ``ftyp`` on, to the last that has a known type; one of them is ``moov``."""
+
+    BOXES = frozenset((b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"mfra", b"sidx", b"styp", b"meta", b"uuid", b"wide", b"pdin"))
+
+    def __init__(self, blob: bytes) -> None:
+        super().__init__(blob)
+        self.walk = Walk(self._box)
+
+    def _box(self, i: int) -> tuple[int | None, int | None, bool]:
+        b, head = self.b, 8
+        if i + 8 > len(b) or b[i + 4 : i + 8] not in self.BOXES:
+            return None, i, False
+        size = struct.unpack_from(">I", b, i)[0]
+        if size == 1 and i + 16 <= len(b):
+            size, head = struct.unpack_from(">Q", b, i + 8)[0], 16
+        if size < head or i + size > len(b):
+            return None, i, False
+        return i + size, None, b[i + 4 : i + 8] == b"moov"
+
+    def end(self, at: int) -> int | None:
+        at -= 4  # the magic follows the length of its box
+        if at < 0 or self._box(at)[0] is None:
             return None
-        i += 2 + size
-        if kind == 0xDA:
-            scan = True
-            while (i := b.find(b"\xff", i)) >= 0 and i + 1 < len(b) and (b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7):
-                i += 2
-            if i < 0:
-                return None
-    return i + 2 if scan and b[i : i + 2] == b"\xff\xd9" else None
-
-
-def _chunks(b: bytes, at: int) -> list[tuple[bytes, int, int]] | None:
-    """(name, start, size) of the chunks of a RIFF file, if they fill it exactly."""
-    if at + 12 > len(b):
-        return None
-    end, i, out = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, []
-    if end > len(b):
-        return None
-    while i + 8 <= end:
-        name, size = struct.unpack_from("<4sI", b, i)
-        out.append((name, i + 8, size))
-        i += 8 + size + size % 2
-    return out if i == end else None
+        end, movie = self.walk(at)
+        return end if movie else None
 
 
-def _wav(b: bytes, at: int) -> int | None:
-    found = {name: (start, size) for name, start, size in _chunks(b, at) or []} if b[at + 8 : at + 12] == b"WAVE" else {}
-    if b"fmt " not in found or b"data" not in found or found[b"fmt "][1] < 16:
-        return None
-    _, channels, rate, per_second, block, bits = struct.unpack_from("<HHIIHH", b, found[b"fmt "][0])
-    ok = channels and rate and block == channels * bits // 8 and per_second == rate * block and found[b"data"][1] % block == 0
-    return at + 8 + struct.unpack_from("<I", b, at + 4)[0] if ok else None
+class Pdf(Format):
+    """From the head to the last end mark before the next head whose ``startxref`` points at a table or an object."""
 
+    MARK = re.compile(rb"startxref[\r\n ]+([0-9]{1,10})[\r\n ]+%%EOF")
+    TABLE = re.compile(rb"xref|[0-9]{1,10} [0-9]{1,5} obj")
 
-def _webp(b: bytes, at: int) -> int | None:
-    found = _chunks(b, at) if b[at + 8 : at + 12] == b"WEBP" else None
-    return at + 8 + struct.unpack_from("<I", b, at + 4)[0] if found and found[0][0] in (b"VP8 ", b"VP8L", b"VP8X") else None
+    def ends(self, places: list[int]) -> list[int | None]:
+        out: list[int | None] = [None] * len(places)
+        for mark in self.MARK.finditer(self.b):
+            k = bisect.bisect_left(places, mark.start()) - 1
+            if k >= 0 and self.TABLE.match(self.b, places[k] + int(mark[1]), mark.start()):
+                out[k] = mark.end()
+        return out
 
 
-def _bmp(b: bytes, at: int) -> int | None:
-    if at + 30 > len(b):
-        return None
-    size, _, start, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
-    if planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or header < 40 or not 0 < width < 1 << 16 or not height:
-        return None
-    rows = (width * bits + 31) // 32 * 4 * abs(height)
-    return at + size if at + size <= len(b) and 14 + header <= start and start + rows <= size else None
+class Zip(Format):
+    """An end record says where its directory and the whole archive begin."""
 
+    def ends(self, places: list[int]) -> list[int | None]:
+        b, starts, out, i = self.b, set(places), {}, 0
+        while (i := b.find(b"PK\x05\x06", i)) >= 0:
+            if i + 22 <= len(b):
+                size, offset, note = struct.unpack_from("<IIH", b, i + 12)
+                at, directory = i - size - offset, i - size
+                if at in starts and at <= directory and (size == 0 or b[directory : directory + 4] == b"PK\x01\x02") and i + 22 + note <= len(b):
+                    out.setdefault(at, i + 22 + note)
+            i += 4
+        return [out.get(at) for at in places]
 
-#: The formats' magic numbers, their types and their validators.
+
+#: The formats' magic numbers and their types, with what checks them; ``back`` bytes precede the magic.
 FORMATS = (
-    (b"\x89PNG\r\n\x1a\n", "image/png", _png),
-    (b"GIF87a", "image/gif", _gif),
-    (b"GIF89a", "image/gif", _gif),
-    (b"\xff\xd8\xff", "image/jpeg", _jpeg),
-    (b"RIFF", "audio/wav", _wav),
-    (b"RIFF", "image/webp", _webp),
-    (b"BM", "image/bmp", _bmp),
+    (b"\x89PNG\r\n\x1a\n", "image/png", Png, 0),
+    (b"GIF87a", "image/gif", Gif, 0),
+    (b"GIF89a", "image/gif", Gif, 0),
+    (b"\xff\xd8\xff", "image/jpeg", Jpeg, 0),
+    (b"RIFF", "audio/wav", Wav, 0),
+    (b"RIFF", "image/webp", Webp, 0),
+    (b"BM", "image/bmp", Bmp, 0),
+    (b"ftyp", "video/mp4", Mp4, 4),
+    (b"%PDF-", "application/pdf", Pdf, 0),
+    (b"PK\x03\x04", "application/zip", Zip, 0),
 )
 
 
 class Sniffer:
-    """Finds the media in a blob."""
+    """Finds the media in a blob, in time that grows with its length."""
 
     def __init__(self) -> None:
-        by_magic: dict[str, list] = {}
-        for magic, kind, check in FORMATS:
-            by_magic.setdefault(magic.decode("latin-1"), []).append((len(magic), kind, check))
+        by_magic: dict[str, list[int]] = {}
+        for k, (magic, *_) in enumerate(FORMATS):
+            by_magic.setdefault(magic.decode("latin-1"), []).append(k)
         self.automaton = ahocorasick.Automaton()
-        for magic, checks in by_magic.items():
-            self.automaton.add_word(magic, checks)
+        for magic, formats in by_magic.items():
+            self.automaton.add_word(magic, formats)
         self.automaton.make_automaton()
 
     def spans(self, blob: bytes) -> list[Span]:
         """Every validated medium, by start; those within another are listed too."""
+        places: dict[tuple, list[int]] = {}
+        for last, formats in self.automaton.iter(blob.decode("latin-1")):
+            for k in formats:
+                magic, kind, check, back = FORMATS[k]
+                places.setdefault((check, kind, back), []).append(last + 1 - len(magic))
         out = []
-        for last, checks in self.automaton.iter(blob.decode("latin-1")):
-            for size, kind, check in checks:
-                start = last + 1 - size
-                if (end := check(blob, start)) is not None:
-                    out.append(Span(kind, start, end))
-        return sorted(out, key=lambda s: (s.start, -s.end))
+        for (check, kind, back), starts in places.items():
+            out += [Span(kind, at - back, end) for at, end in zip(starts, check(blob).ends(starts)) if end is not None]
+        return sorted(out, key=lambda s: (s.start, -s.end, s.kind))
 
 
 def sniff(df: DataFrame, *, media: str = "media", declared: str = "mime") -> DataFrame:
@@ -174,8 +393,8 @@ def sniff(df: DataFrame, *, media: str = "media", declared: str = "mime") -> Dat
     of the new ones give way.
     """
     new = ("detected", "corrected", "carved")
-    own = df.select(*[c for c in df.columns if c not in new], F.col(media).cast("binary").alias("__blob"), F.col(declared).cast("string").alias("__type"))
-    keep = own.columns[:-2]
+    keep = [c for c in df.columns if c not in new]
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(media).cast("binary").alias("blob"), F.col(declared).cast("string").alias("type"))
     carved = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("data", T.BinaryType())]))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("data", pa.binary())]))
 
@@ -184,17 +403,17 @@ def sniff(df: DataFrame, *, media: str = "media", declared: str = "mime") -> Dat
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             detected, corrected, found = [], [], []
-            for blob, said in zip(batch.column("__blob").to_pylist(), batch.column("__type").to_pylist()):
+            for blob, said in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 spans = sniffer.spans(blob or b"")
                 whole = next((s.kind for s in spans if s.start == 0), said)
                 detected.append(whole), corrected.append(whole != said)
                 found.append([{"kind": s.kind, "start": s.start, "end": s.end, "data": blob[s.start : s.end]} for s in spans if s.start])
-            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(detected, pa.string()), pa.array(corrected), pa.array(found, kind)], names=[*keep, *new])
+            return pa.record_batch([*batch.column(0).flatten(), pa.array(detected, pa.string()), pa.array(corrected), pa.array(found, kind)], names=[*keep, *new])
 
         return step
 
-    schema = T.StructType([*(own.schema[c] for c in keep), T.StructField("detected", T.StringType()), T.StructField("corrected", T.BooleanType()), T.StructField("carved", carved)])
-    return map_texts(own, "__blob", make, schema)
+    schema = T.StructType([*own.schema["row"].dataType.fields, T.StructField("detected", T.StringType()), T.StructField("corrected", T.BooleanType()), T.StructField("carved", carved)])
+    return map_texts(own, "blob", make, schema)
 
 
 def store(payload: bytes) -> bytes:
@@ -205,8 +424,11 @@ def store(payload: bytes) -> bytes:
 
 def samples(blob: bytes, span: Span) -> bytes:
     """The samples of a validated WAV span."""
-    start, size = next((a, n) for name, a, n in _chunks(blob, span.start) if name == b"data")
-    return blob[start : start + size]
+    i = span.start + 12
+    while blob[i : i + 4] != b"data":
+        size = struct.unpack_from("<I", blob, i + 4)[0]
+        i += 8 + size + size % 2
+    return blob[i + 8 : i + 8 + struct.unpack_from("<I", blob, i + 4)[0]]
 
 
 def padded(text: str) -> tuple[int, bytes]:

@@ -110,9 +110,9 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
     rules = BASE + MORE if rules is None else rules
     new = {f"s_{r.kind}" for r in rules}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    own = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    found = find(own, "__text", rules, lambda r: F.contains("__text", F.lit(NEEDS[r.kind])) if r.kind in NEEDS else None)
-    return found.select(*keep, *(f"s_{r.kind}" for r in rules))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    found = find(own, "text", rules, lambda r: F.contains("text", F.lit(NEEDS[r.kind])) if r.kind in NEEDS else None)
+    return found.select(*(F.col(f"row.`{c}`") for c in keep), *(f"s_{r.kind}" for r in rules))
 
 
 def digest(found: DataFrame, base: list[Rule] = BASE, more: list[Rule] = MORE) -> DataFrame:

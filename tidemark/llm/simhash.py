@@ -170,7 +170,8 @@ def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "
 def drop(docs: DataFrame, classes: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The rows of ``docs`` whose id is the component_id of their class."""
     loses = F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())
-    gone = stage(classes.filter(loses).select(F.col("doc_id").alias("__gone"), F.col("tag").alias("__tag")).distinct(), "near-copies")
-    own = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__own": F.xxhash64(F.col(text).cast("string"))})
-    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__tag"))
-    return own.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__id", "__own")
+    gone = stage(classes.filter(loses).select(F.col("doc_id").alias("gone"), "tag").distinct(), "near-copies")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("own") == F.col("tag"))
+    return own.join(gone.hint("shuffle_hash"), same, "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))

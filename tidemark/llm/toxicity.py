@@ -83,7 +83,7 @@ def grams(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple
 
 
 def fit(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
-    """FTRL-proximal over the given rows, in the given order. With one class only, the bias alone says so."""
+    """FTRL-proximal over the given rows, in the given order. Nothing is learned from rows of one label only."""
     parts = [x.column(0) for x in slices(pa.record_batch([texts.cast(pa.string())], names=["text"]), "text", 1 << 20)]
     seen = np.zeros(1 << settings.bits, np.int32)
     for x in parts:
@@ -113,7 +113,7 @@ def fit(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
             bias_n += g * g
     w = weights(z, n, s.l1)
     index = np.flatnonzero(w)
-    return Model(s.bits, float(weights(np.array(bias_z), np.array(bias_n), 0.0)), index, w[index].astype(np.float32), len(labels) > 0)
+    return Model(s.bits, float(weights(np.array(bias_z), np.array(bias_n), 0.0)), index, w[index].astype(np.float32), len(np.unique(labels)) > 1)
 
 
 def _fold(doc_id, folds: int):
@@ -157,28 +157,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all unless given) with ``score`` in 0 to 1 and ``predicted`` (1 from 0.5).
 
-    A null text is empty and gets the score of the bias. Where no row was
-    learned from, every score is 0.5 and nothing is predicted: ``predicted`` is
-    0. Columns of the input that are named score or predicted give way.
+    A null text is empty and gets the score of the bias. Where nothing was
+    learned, for lack of rows of both labels, every score is 0. Columns of the input that are named score or predicted give way.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    own = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text).cast("string").alias("text"))
 
     def make():
         weight = model.dense()
         wanted = weight != 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc, feature = grams(batch.column("__text"), model.bits, wanted)
+            doc, feature = grams(batch.column(1), model.bits, wanted)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             margin = sums(weight[feature].astype(np.float64), at) + model.bias
             p = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
-            return pa.record_batch([*(batch.column(c) for c in keep), pa.array(p), pa.array(((p >= 0.5) & model.learned).astype(np.int32))], names=[*keep, "score", "predicted"])
+            if not model.learned:
+                p = np.zeros(len(p))
+            return pa.record_batch([*batch.column(0).flatten(), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
         return step
 
-    schema = T.StructType([*(own.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_texts(own, "__text", make, schema)
+    schema = T.StructType([*own.schema["row"].dataType.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return map_texts(own, "text", make, schema)
 
 
 def held_out(doc_id, fold: int = 0, folds: int = 5):
