@@ -91,7 +91,7 @@ def slow_base(rows):
     return sorted((str(i), out, len(x), sum(c[w] > 0 for w in x), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in x), 4)) for i, x, out in tokens)
 
 
-SMALL = lm.Settings(shortlist=50, steps=60, batch=512)
+SMALL = lm.Settings(shortlist=50, heads=32, group=8, endings=6, batch=512, rounds=1)
 
 
 def test_base_scores_of_documents(documents, texts):
@@ -108,22 +108,58 @@ def test_base_scores_of_edges(edges, nothing):
 
 def test_word_probabilities_sum_to_one(documents):
     model, counts = lm.fit(documents.limit(60), settings=SMALL)
-    table = 10.0 ** model.weights.table().astype(float)
-    assert np.allclose(table.sum(2), 1, atol=1e-4)
+    codes = np.arange(SMALL.heads + SMALL.endings)
+    for before in ([0, 0, 0, 0], [5, 3, 33, 1], [37, 2, 9, 9]):
+        each = model.log10(codes, np.tile(before, (len(codes), 1)))
+        assert abs((10**each).sum() - 1) < 1e-4
     words = counts.collect()
-    kinds = model.classes.of(pa.array([r.word for r in words]))
-    mass = np.zeros(SMALL.classes)
+    kinds = model.vocabulary.of(pa.array([r.word for r in words]))
+    mass = 1 / model.ending_total
     for r, k in zip(words, kinds):
         if k >= SMALL.heads:
-            mass[k] += (r.n + 1) / model.class_total[k]
-    unseen = 1 / model.class_total[SMALL.heads :]
-    assert np.allclose(mass[SMALL.heads :] + unseen, 1)
+            mass[k - SMALL.heads] += (r.n + 1) / model.ending_total[k - SMALL.heads]
+    assert np.allclose(mass, 1)
+
+
+def test_scores_are_the_sum_of_the_words_probabilities(spark, documents):
+    """Token by token, with long words and words outside the shortlist."""
+    docs = documents.limit(40).select("doc_id", "text").union(spark.createDataFrame([(10**6, "x" * 100 + " one the " + "x" * 100), (10**6 + 1, None)], "doc_id long, text string"))
+    model, counts = lm.fit(docs, settings=SMALL)
+    count = {r.word: r.n for r in counts.collect()}
+    for r in lm.score(docs.filter("doc_id >= 0"), model, counts).join(docs, "doc_id").collect():
+        distinct, code, _ = lm.tokens(pa.array([r.text]))
+        names, kinds = distinct.to_pylist(), model.vocabulary.of(distinct)
+        want = 0.0
+        for k, c in enumerate(code.tolist()):
+            before = [kinds[code[k - 1 - p]] if k - 1 - p >= 0 else 0 for p in range(SMALL.places)]
+            want += model.log10(kinds[c : c + 1], np.array([before]))[0]
+            if kinds[c] >= SMALL.heads:
+                want += math.log10((count.get(names[c], 0) + 1) / model.ending_total[kinds[c] - SMALL.heads])
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
+def test_a_repeated_sequence_is_learned():
+    """A sequence that repeats is learned."""
+    s = lm.Settings(heads=8, group=4, endings=2, places=2, dim=3, noise=2, batch=64, each=1, rate=0.05)
+    codes = np.tile([0, 1, 2, 5, 3, 6, 8, 9], 200)
+    offsets = np.array([0, len(codes)])
+    begin = lm._begin(np.bincount(codes, minlength=10)[:8], np.bincount(codes, minlength=10)[8:].astype(float), s)
+    trainer = lm.Trainer(begin, s, 3)
+
+    def loss(w):
+        model = lm.Model(lm.Vocabulary([], s), w, None, None, None, 0, 0)
+        return -model.log10(codes, lm.contexts(codes, offsets, s.places, np.arange(len(codes)))).mean()
+
+    before = loss(trainer.w)
+    for _ in range(20):
+        trainer.learn(codes, offsets)
+    assert loss(trainer.w) < 0.5 * before
 
 
 def test_the_model_beats_unigrams_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = lm.learn_and_score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
-    assert rows[0] > 0.98 * rows[1] and rows[0] - rows[1] > 0 and rows[2] > 0.9
+    assert rows[0] > 0.97 * rows[1] and rows[2] > 0.9
 
 
 def test_toxicity_on_held_out_documents(spark):
