@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
@@ -58,12 +59,21 @@ ODD = ["a<|endoftext|>b", "  x\n\n y\t", "it's we'll 12a3", "é𝄞　ñ", "x" *
 def test_special_tokens_and_odd_texts_as_the_library():
     library, coder = Tokenizer.from_file(TOKENIZER), packing.Coder(TOKENIZER)
     for _ in range(2):
-        assert [x.tolist() for x in coder.ids(ODD)] == [library.encode(x, add_special_tokens=False).ids for x in ODD]
+        assert [x.tolist() for x in coder.ids(pa.array(ODD))] == [library.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
+def test_chunks_are_forgotten_and_learned_again(texts):
+    coder = packing.Coder(TOKENIZER)
+    coder.KNOWN = 50
+    some = [t for t in list(texts.values())[:60]]
+    for k in range(0, 60, 7):
+        got = coder.ids(pa.array(["", *some[k : k + 7]]).slice(1))
+        assert [x.tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in some[k : k + 7]]
 
 
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'sa1!\x1c\x85\xa0\u3000\u200b\u0301é"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
 def test_any_texts_as_the_library(values):
-    assert [x.tolist() for x in CODER.ids(values)] == [x.ids for x in LIBRARY.encode_batch(values, add_special_tokens=False)]
+    assert [x.tolist() for x in CODER.ids(pa.array(values, pa.string()))] == [x.ids for x in LIBRARY.encode_batch(values, add_special_tokens=False)]
 
 
 def test_runs_of_millions_are_the_library_s(spark):

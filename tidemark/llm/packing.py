@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,59 +38,130 @@ PIECES = T.StructType(
 )
 
 
-#: Characters that end a word for every byte-level pre-tokenizer; x1C to x1F don't.
-_BLANK, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+#: Bytes of chunks that the library encodes as one text.
+_JOINED = 1 << 16
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each place surely isn't blank."""
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    # blanks of two and three bytes: x85, xA0, and those of the blocks 1680, 2000 and 3000
+    may = ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three >= 0xE1) & (three <= 0xE3) & ((two == 0x80) | (two == 0x81) | (two == 0x9A)))
+    return ~_blank(one) & ((one < 0x80) | ~may)
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places where every byte-level pre-tokenizer cuts: a blank after what surely isn't one, an ASCII mark after a Latin letter."""
+    if len(data) < 2:
+        return np.empty(0, np.int64)
+    blank = np.flatnonzero(_blank(data[1:]) & ~_blank(data[:-1])) + 1
+    mark = ((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))
+    low = data | 32
+    letter = (low >= 97) & (low <= 122) & (data < 128)
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    after = np.flatnonzero(mark[1:] & letter[:-1]) + 1
+    return np.sort(np.concatenate([blank[_solid(data, blank)], after]), kind="stable")
+
+
+def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes, and where each text's begin and end."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = texts.buffers()
+    offset = np.frombuffer(at, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    return np.frombuffer(data, np.uint8)[: offset[-1]] if data else np.empty(0, np.uint8), offset
 
 
 class Coder:
     """Token ids of a file of the ``tokenizers`` library.
 
     A byte-level pre-tokenizer always cuts between a character that isn't blank
-    and a blank one. So texts are cut there, and the library encodes each
-    distinct chunk once; a chunk is the same in any text. Texts that spell an
-    added token, and all texts of other kinds of files, are one chunk.
+    and a blank one, and between a letter and a mark. So texts are cut there
+    into chunks, whose ids don't depend on what is around them, and the library
+    encodes each distinct chunk once, many of them joined; the bytes of a token
+    say which chunk it is of. Chunks that don't begin with a blank and end
+    without one, texts that spell an added token, and all texts of other kinds
+    of files are encoded for themselves.
     """
 
-    CHUNK = re.compile(f"{_BLANK}*{_SOLID}+|{_BLANK}+")
-    #: Chunks that a task remembers, of at most so many characters each.
-    KNOWN, SHORT = 1 << 17, 32
+    #: Chunks that a task remembers.
+    KNOWN = 1 << 18
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         split = described.get("pre_tokenizer") or {}
-        self.chunked = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not described.get("normalizer")
         self.library = Tokenizer.from_file(path)
         self.added = [x["content"] for x in described.get("added_tokens", [])]
-        self.known: dict[str, np.ndarray] = {}
-
-    def _cut(self, text: str) -> list[str]:
-        return self.CHUNK.findall(text) if self.chunked and not any(x in text for x in self.added) else [text]
-
-    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
-        out = [self.known.get(x) for x in chunks]
-        new = [k for k, x in enumerate(out) if x is None]
-        if len(self.known) + len(new) > self.KNOWN:
-            self.known.clear()
-        for k, coded in zip(new, self.library.encode_batch([chunks[k] for k in new], add_special_tokens=False)):
-            out[k] = np.array(coded.ids, "<u4")
-            if len(chunks[k]) <= self.SHORT and len(self.known) < self.KNOWN:
-                self.known[chunks[k]] = out[k]
-        return out
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not described.get("normalizer")
+        self.chunked = plain and not any(c.isspace() for x in self.added for c in x)
+        names = self.library.get_vocab()
+        self.bytes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        for name, i in names.items():
+            self.bytes[i] = len(name)  # a character for each byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = (np.empty(0, t) for t in ("<u4", np.int64, np.int64))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many are of each text."""
+        coded = [np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *coded]), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def _spells(self, texts: pa.StringArray) -> np.ndarray:
+        """Which texts spell an added token."""
+        if not self.added:
+            return np.zeros(len(texts), bool)
+        return pc.match_substring_regex(texts, "|".join(map(re.escape, self.added))).to_numpy(zero_copy_only=False)
+
+    def _learn(self, chunks: pa.StringArray) -> None:
+        data, at = _bytes(chunks)
+        joins = np.zeros(len(chunks), bool)
+        full = np.flatnonzero(np.diff(at))
+        if self.chunked and len(full):
+            joins[full] = _blank(data[at[full]]) & _solid(data, at[full + 1])
+            joins &= ~self._spells(chunks)
+        plain, alone = (chunks.filter(pa.array(x)).to_pylist() for x in (joins, ~joins))
+        end = np.cumsum(np.diff(at)[joins])
+        cut = [0, *(np.flatnonzero(np.diff(end // _JOINED)) + 1).tolist(), len(plain)]
+        flat, _ = self._encode(["".join(plain[a:b]) for a, b in zip(cut, cut[1:])])
+        last = np.searchsorted(np.cumsum(self.bytes[flat]), end) + 1
+        more, sizes = self._encode(alone)
+        first = len(self.start)
+        self.known.update(zip(plain + alone, range(first, first + len(chunks))))
+        size = np.concatenate([np.diff(last, prepend=0), sizes])
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat, more])
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [self._cut(x) for x in texts]
-        coded = pa.array([c for x in cut for c in x], pa.string()).dictionary_encode()
-        each = self._learn(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate([np.empty(0, "<u4"), *each])
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[code]
+        texts = texts.cast(pa.string())
+        data, offset = _bytes(texts)
+        inner = _cuts(data) if self.chunked else np.empty(0, np.int64)
+        whole = np.flatnonzero(self._spells(texts)) if self.chunked else []
+        for k in whole:
+            inner = np.delete(inner, slice(np.searchsorted(inner, offset[k]), np.searchsorted(inner, offset[k + 1])))
+        cut = np.sort(np.concatenate([inner[(inner > offset[0]) & (inner < offset[-1])], offset]), kind="stable")
+        cut = cut[np.append(True, np.diff(cut) > 0)]
+        chunks = (pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int32)), texts.buffers()[2]) if len(cut) > 1 else pa.array([], pa.string())).dictionary_encode()
+        names = chunks.dictionary.to_pylist()
+        if len(self.known) > self.KNOWN:
+            self._forget()
+        new = [x not in self.known for x in names]
+        self._learn(chunks.dictionary.filter(pa.array(new, pa.bool_())))
+        code = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[chunks.indices.to_numpy(zero_copy_only=False)]
+        n, start = self.size[code], self.start[code]
         before = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat((np.cumsum(size) - size)[code] - before[:-1], n) + np.arange(before[-1])]
-        end = before[np.cumsum([0, *map(len, cut)])]
+        ids = self.flat[np.repeat(start - before[:-1], n) + np.arange(before[-1])]
+        end = before[np.searchsorted(cut, offset)]
         return [ids[a:b] for a, b in zip(end, end[1:])]
 
 
@@ -118,7 +190,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str =
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             coded = filled(batch.column(1)).dictionary_encode()
             rows = coded.indices.to_numpy(zero_copy_only=False)
-            each = [cut(x) for x in encoder.ids(coded.dictionary.to_pylist())]
+            each = [cut(x) for x in encoder.ids(coded.dictionary)]
             made = [(row, *piece) for row, code in enumerate(rows.tolist()) for piece in each[code]]
             row, *columns = ([x[k] for x in made] for k in range(5))
             arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
