@@ -83,9 +83,9 @@ class Windows:
         self.begin = np.flatnonzero(np.arange(len(doc)) + width <= self.offsets[1:][doc]) if len(doc) else np.empty(0, np.int64)
         self.doc = doc[self.begin]
 
-    def identities(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each window."""
-        return _rolled(self.word, self.width, _B1)[self.begin], _rolled(_mix(self.word ^ _B2), self.width, _B2)[self.begin]
+    def identities(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each window that begins at a place."""
+        return _rolled(self.word, self.width, _B1)[at], _rolled(_mix(self.word ^ _B2), self.width, _B2)[at]
 
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows, minimizer and identity of each run of windows that share a minimizer's occurrence."""
@@ -100,7 +100,7 @@ class Windows:
         new = np.append(True, (np.diff(place) != 0) | (np.diff(self.doc) != 0))
         first = np.flatnonzero(new)
         nth = np.arange(len(new)) - first[np.cumsum(new) - 1]
-        what = _mix(self.identities()[0] + _B1 * nth.astype(np.uint64))
+        what = _mix(_rolled(self.word, self.width, _B1)[self.begin] + _B1 * nth.astype(np.uint64))
         return first, np.diff(np.append(first, len(new))), least[first], np.add.reduceat(what, first)
 
 
@@ -252,14 +252,15 @@ def repeated_spans(docs: DataFrame, *, width: int = 20, text: str = "text", doc_
     def expand(batches):
         combiner = _Combiner()
         for batch in batches:
-            rows = [[np.empty(0, np.int64)] * len(_KEYS)]
-            for raw, doc, tag, wanted in zip(_unpack(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)):
-                w = Windows(pa.array([raw], pa.binary()).cast(pa.string()), width, seed, bits)
-                at, n = (wanted.values.field(j).to_numpy() for j in (0, 1))
+            for part in slices(batch, "packed", SLICE // 4):
+                w = Windows(pa.array(_unpack(part), pa.binary()).cast(pa.string()), width, seed, bits)
+                wanted = part.column(4)
+                row = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
+                at, n = (x.to_numpy() for x in wanted.flatten().flatten())
                 at = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h1, h2 = (x[at].view(np.int64) for x in w.identities())
-                rows.append([h1, h2, np.full(len(at), doc), np.full(len(at), tag), at, np.ones(len(at), np.int64)])
-            yield combiner.add([np.concatenate(x) for x in zip(*rows)])
+                row = np.repeat(row, n)
+                h1, h2 = (x.view(np.int64) for x in w.identities(w.offsets[row] + at))
+                yield combiner.add([h1, h2, part.column(1).to_numpy()[row], part.column(2).to_numpy()[row], at, np.ones(len(at), np.int64)])
         yield combiner.rest()
         give_back()
 
