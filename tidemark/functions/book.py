@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import GRID_WINDOW, MICROSTRUCTURE
+from tidemark.functions.names import GRID_WINDOW, OF_BOOK
 
 
 def as_maps(levels: DataFrame, by: str = "book_id") -> DataFrame:
@@ -90,7 +90,7 @@ def _sum(values: Column) -> Column:
 
 
 def add_microstructure(books: DataFrame, into: str = "features", n: int = 5) -> DataFrame:
-    """``books`` (with bids and asks) and an array of the features named in ``MICROSTRUCTURE``; zeros if a side is empty.
+    """``books`` (with bids and asks) and an array of the features named in ``OF_BOOK``; zeros if a side is empty.
 
     Each step is a projection of its own: what later steps use more than once is
     evaluated once a row.
@@ -127,7 +127,7 @@ def add_microstructure(books: DataFrame, into: str = "features", n: int = 5) ->
         significant("__vb"),
         significant("__va"),
     )
-    zeros = F.array_repeat(F.lit(0.0), len(MICROSTRUCTURE))
+    zeros = F.array_repeat(F.lit(0.0), len(OF_BOOK))
     return rows.select(*columns, F.when(two_sided(bids, asks), F.array(*values)).otherwise(zeros).alias(into))
 
 
@@ -159,3 +159,60 @@ def checked(rows: Column, width: int) -> Column:
 
 def side_value(side: Column) -> Column:
     return F.when(side == "B", 1.0).when(side == "A", 0.0).otherwise(0.5)
+
+
+#: How a book becomes a row of features: of a map of bids, one of asks, and a center where the form needs one.
+FORMS = {
+    "moving_window": lambda bids, asks, center, tick, window: moving_window(bids, asks, center, tick, window),
+    "market_depth": lambda bids, asks, center, tick, window: market_depth(bids, asks, center, tick, window),
+    "raw_top5": lambda bids, asks, center, tick, window: top_levels(bids, asks),
+    "diff_top5": lambda bids, asks, center, tick, window: top_differences(bids, asks),
+}
+
+
+def on_one_grid(snapshots: Column, form: str, *, tick: int, window: int = GRID_WINDOW, length: int | None = None) -> Column:
+    """Rows of features of a sequence of snapshots (structs with bids and asks), all on the grid of the last one.
+
+    An empty sequence, or one whose last book lacks a side, has no rows. With a
+    ``length`` there are as many: zero rows first where there are fewer, the
+    last ones where there are more.
+    """
+    last = F.try_element_at(snapshots, F.lit(-1))
+    center = anchor(mid(last["bids"], last["asks"]), tick)
+    usable = (F.size(snapshots) > 0) & two_sided(last["bids"], last["asks"])
+    width = 20 if form in ("raw_top5", "diff_top5") else 2 * window + 1
+    rows = F.transform(snapshots, lambda s: FORMS[form](s["bids"], s["asks"], center, tick, window))
+    rows = F.when(usable, rows).otherwise(F.array().cast("array<array<double>>"))
+    return rows if length is None else pad_left(rows, length, width)
+
+
+def with_queue(rows: Column, ahead: Column) -> Column:
+    """Each row with the log of the size ahead of an order at that step."""
+    return F.zip_with(rows, ahead, lambda r, a: F.concat(r, F.array(queue_feature(a))))
+
+
+def with_gaps(rows: Column, times_ns: Column) -> Column:
+    """Each row with log1p of the milliseconds since the one before, 0 for the first."""
+    gap = F.transform(times_ns, lambda t, i: F.when(i == 0, 0.0).otherwise(F.log1p(F.greatest((t - F.get(times_ns, i - 1)) / 1_000_000.0, F.lit(0.0)))))
+    return F.zip_with(rows, gap, lambda r, g: F.concat(r, F.array(g)))
+
+
+def model_window(lob: Column, orders: Column, side: Column, end: Column, length: int, widths: tuple[int, int] = (20, 12)) -> Column:
+    """The window up to index ``end`` that a model takes: book features, order features, side and a mask, zeros before the first step.
+
+    Both sequences are cut to the shorter; an index beyond is its last. The side
+    is 1, 0 or 0.5 where there is a step; the mask says where there is one. Rows
+    of other widths, or no steps at all, are errors.
+    """
+    steps = F.least(F.size(lob), F.size(orders))
+    last = F.least(F.greatest(end, F.lit(0)), steps - 1)
+    both = joined(F.slice(checked(lob, widths[0]), F.lit(1), steps), F.slice(checked(orders, widths[1]), F.lit(1), steps))
+    marked = F.transform(both, lambda r: F.concat(r, F.array(side_value(side), F.lit(1.0))))
+    return F.when(steps > 0, window_ending(marked, last, length, sum(widths) + 2)).otherwise(F.raise_error(F.lit("a window needs a step")))
+
+
+def shape(cells: Column) -> Column:
+    """(rows, least, most, even) of a sequence of rows: their number, the least and the most width, and whether all are alike."""
+    widths = F.transform(F.coalesce(cells, F.array().cast("array<array<double>>")), lambda r: F.coalesce(F.size(r), F.lit(0)))
+    low, high = F.array_min(widths), F.array_max(widths)
+    return F.struct(F.size(widths).alias("rows"), low.alias("least"), high.alias("most"), F.coalesce(low == high, F.lit(True)).alias("even"))

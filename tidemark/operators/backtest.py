@@ -64,6 +64,40 @@ def lifecycle_steps(steps: Column, first: Column, stride: int) -> Column:
     return F.when(steps - 1 >= first + stride, F.sequence(first + stride, steps - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
+def capped_steps(steps: Column, first: Column, stride: int, most: int | None) -> Column:
+    """As ``lifecycle_steps`` from the step after the first on, at most ``most`` of them, evenly spaced."""
+    from tidemark.operators.samples import spaced
+
+    if stride < 1 or (most is not None and most < 1):
+        raise ValueError("stride and the number of looks must be positive")
+    all_of = F.when(steps - 1 >= first + 1, F.sequence(first + 1, steps - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    if most is None:
+        return all_of
+    return F.when(F.size(all_of) <= most, all_of).otherwise(F.transform(spaced(F.size(all_of), most), lambda k: F.get(all_of, k)))
+
+
+def orders_in_chunks(orders: DataFrame, chunks: list[tuple[int | None, int | None]], time: str = "entry_time") -> DataFrame:
+    """``orders`` with the number of the half-open chunk that their time is in. The chunks are a literal."""
+    number = F.lit(None).cast("int")
+    for k, (start, end) in enumerate(chunks):
+        number = F.when(in_chunk(F.col(time), start, end), k).otherwise(number)
+    return orders.withColumn("chunk", number).filter(F.col("chunk").isNotNull())
+
+
+def replay_end(end: int | None, lifetime_s: float | None, windows_ms: tuple[int, ...]) -> int | None:
+    """How far a chunk's messages must be read: its end, and what an order from its last moment can live and be watched after."""
+    if end is None or lifetime_s is None:
+        return None
+    return end + int(lifetime_s * 1_000_000_000) + max(windows_ms, default=0) * 1_000_000
+
+
+def legacy_post(side: int) -> Column:
+    """The bid (0) or ask (1) of the last window captured below the fifth: the single quote of older files."""
+    from tidemark.functions.names import WINDOWS_MS
+
+    return F.coalesce(*(F.col(quoted(post_columns(w)[side])) for w in reversed(WINDOWS_MS[:4])))
+
+
 def side_cost(side: Column, price: Column, reference: Column) -> Column:
     """What a fill at ``price`` costs against a reference; null for an unknown side."""
     return F.when(side == "B", price - reference).when(side == "A", reference - price)

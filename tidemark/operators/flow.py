@@ -113,3 +113,9 @@ def chunks(points: list[int], all_points: list[int], counts: list[int]) -> list[
 def market_is_empty(size: str = "size") -> Column:
     """Aggregate: whether no book of the market has resting size."""
     return F.coalesce(F.sum(size), F.lit(0)) <= 0
+
+
+def lookback(rows: DataFrame, length: int, value: str, by: list[str] = ["instrument_id"], order: str = "bucket") -> DataFrame:
+    """``rows`` with ``history``: their value and those of the rows before them, at most ``length``, the oldest first."""
+    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - length, 0)
+    return rows.withColumn("history", F.collect_list(value).over(frame))

@@ -28,6 +28,110 @@ def summary(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def cost_breakdown(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row for each cost type of the rows that succeeded, for all or for each ``by``: count, mean and median cost; and the counts of
+    failures by reason and of the fill-adjusted cost's status, component, missing, zero, median and sum, as (kind, name, rows, mean, median, total)."""
+    keys, bps, adjusted = by or [], F.col("implementation_shortfall_bps"), F.col("fill_adjusted_toxic_cost_bps")
+    ok = F.col("metric_status") == "ok"
+    kinds = F.array(
+        F.struct(F.lit("cost_type").alias("kind"), F.when(ok, F.col("cost_type")).alias("name"), F.when(ok, bps).alias("value")),
+        F.struct(F.lit("failed").alias("kind"), F.when(~ok, F.coalesce("missing_reason", F.lit("unknown"))).alias("name"), F.lit(None).cast("double").alias("value")),
+        F.struct(F.lit("adjusted_status").alias("kind"), F.col("fill_adjusted_toxic_cost_status").alias("name"), adjusted.alias("value")),
+        F.struct(F.lit("adjusted_component").alias("kind"), F.col("fill_adjusted_toxic_cost_component").alias("name"), adjusted.alias("value")),
+        F.struct(F.lit("adjusted_sign").alias("kind"), F.when(adjusted.isNull(), "missing").when(adjusted > 0, "positive").when(adjusted < 0, "negative").otherwise("zero").alias("name"), adjusted.alias("value")),
+    )
+    each = results.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.*").filter(F.col("name").isNotNull())
+    return each.groupBy(*keys, "kind", "name").agg(F.count("*").alias("rows"), F.avg("value").alias("mean"), F.sum("value").alias("total"))
+
+
+def wide(breakdown: DataFrame, by: list[str], names: dict[str, list[str]]) -> DataFrame:
+    """The counts of a breakdown as one row with a column ``<kind>_<name>_count`` for each of the given names."""
+    columns = [F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("name") == n), F.col("rows"))), F.lit(0)).alias(f"{k}_{n}_count") for k, v in names.items() for n in v]
+    return breakdown.groupBy(*by).agg(*columns)
+
+
+def feasible(limits: dict[str, tuple[float | None, float | None]], columns: list[str]) -> Column:
+    """Whether each named column is within its limits (least, most); a limit of None, or a column that isn't there, doesn't count, a null fails."""
+    held = F.lit(True)
+    for name, (least, most) in limits.items():
+        if name in columns:
+            held = held & (F.lit(True) if least is None else F.col(name) >= least) & (F.lit(True) if most is None else F.col(name) <= most)
+    return F.coalesce(held, F.lit(False))
+
+
+def objective(columns: list[str], wanted: list[str]) -> str:
+    """The first of the wanted columns that is there; without any, an error."""
+    for name in wanted:
+        if name in columns:
+            return name
+    raise ValueError(f"none of {', '.join(wanted)} is there")
+
+
+def ranked_min(rows: DataFrame, value: str, by: list[str] = [], into: str = "rank") -> DataFrame:
+    """``rows`` with the rank of a value, equal ones alike, the least first and nulls last. Without ``by`` the window is over settings."""
+    return rows.withColumn(into, F.rank().over(Window.partitionBy(*by).orderBy(F.asc_nulls_last(value))))
+
+
+def described(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, median, deviation, least, most and count of a value for each group."""
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+
+
+def mean_over(rows: DataFrame, group: str, axis: str, value: str) -> DataFrame:
+    """The mean over groups of a value at each point of an axis, and how many groups have it."""
+    each = rows.groupBy(group, axis).agg(F.avg(value).alias("__v"))
+    return each.groupBy(axis).agg(F.avg("__v").alias("mean"), F.count("__v").alias("groups"))
+
+
+def first_rows(parts: list[DataFrame], order: str) -> DataFrame:
+    """The first row of each part, by name, in order."""
+    out = parts[0].limit(1)
+    for part in parts[1:]:
+        out = out.unionByName(part.limit(1), allowMissingColumns=True)
+    return out.orderBy(order)
+
+
+def rolled_up(rows: DataFrame, by: list[str], value: str, keep: list[str], order: str) -> DataFrame:
+    """Mean, deviation and count of a value for each group, and the first of other columns by ``order``; NaN counts as missing."""
+    known = F.nanvl(value, F.lit(None))
+    return rows.groupBy(*by).agg(F.avg(known).alias("mean"), F.stddev_samp(known).alias("std"), F.count(known).alias("n"), *(F.min_by(c, order).alias(c) for c in keep))
+
+
+def pivoted(rows: DataFrame, row: str, column: str, value: str, names: list) -> DataFrame:
+    """A row for each ``row`` with a column for each name, and the mean over them."""
+    out = rows.groupBy(row).pivot(column, names).agg(F.avg(value))
+    known = F.filter(F.array(*(F.col(f"`{n}`") for n in names)), lambda x: x.isNotNull())
+    return out.withColumn("row_mean", F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)))
+
+
+def setting_of(rows: DataFrame, settings: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` with the first setting of their keys; a row without one is an error."""
+    first = best_by(settings, keys, [F.col(order)]).withColumn("__there", F.lit(True))
+    out = rows.join(first, keys, "left")
+    some = next(c for c in settings.columns if c not in keys)
+    missing = F.raise_error(F.concat(F.lit("no setting for "), F.to_json(F.struct(*keys)))).cast(settings.schema[some].dataType)
+    return out.withColumn(some, F.when(F.col("__there"), F.col(some)).otherwise(missing)).drop("__there")
+
+
+def cached(wanted: DataFrame, cache: DataFrame, keys: list[str], compute) -> DataFrame:
+    """Rows of the wanted keys: those of the cache, and what ``compute`` makes of the keys that it lacks, each once."""
+    missing = wanted.select(*keys).distinct().join(cache.select(*keys), keys, "left_anti")
+    return cache.join(wanted.select(*keys), keys, "left_semi").unionByName(compute(missing))
+
+
+def normalized_weights(rows: DataFrame, weight: str, by: list[str] = []) -> DataFrame:
+    """``rows`` with finite positive weights that sum to one in each group."""
+    usable = rows.filter((F.col(weight) > 0) & ~F.isnan(weight) & (F.col(weight) != float("inf")))
+    whole = usable.groupBy(*by).agg(F.sum(weight).alias("__w"))
+    joined = usable.join(whole, by) if by else usable.crossJoin(F.broadcast(whole))
+    return joined.withColumn(weight, F.col(weight) / F.col("__w")).drop("__w")
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Aggregate: the mean under weights of the values that are known."""
+    return F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))
+
+
 def time_weighted(results: DataFrame, horizon_ms: Column, value: str = "implementation_shortfall_bps", by: str | None = None) -> DataFrame:
     """Mean with weights 1 / max(horizon, 0.001 ms), of one sum over all rows; for each ``by``, its part of the weights and mean under them."""
     rows = results.withColumn("__w", F.lit(1.0) / F.greatest(horizon_ms, F.lit(0.001))).filter(F.col("__w").isNotNull() & F.col(value).isNotNull())
@@ -77,15 +181,34 @@ def against_baseline(metrics: DataFrame, by: list[str], axis: str, value: str, b
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 
 
-def poisson_bootstrap(rows: DataFrame, value: str, uniform: Column, trials: int) -> DataFrame:
-    """(trial, mean): resamples as Poisson weights of a uniform number for each row and ``trial``.
+def poisson_weights(rows: DataFrame, uniform: Column, trials: int) -> DataFrame:
+    """``rows`` once for each ``trial`` with their number of copies in it, where there are any.
 
-    Resampling n of n rows gives each row about a Poisson number of copies; the
-    weights need no join and no count of rows, and sums are partial on each task.
+    Resampling n of n rows gives each row about a Poisson number of copies, which
+    a uniform number of row and trial tells; no join, no count of rows.
     """
     each = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("__u", uniform)
-    weight = sum(F.when(F.col("__u") >= p, 1.0).otherwise(0.0) for p in POISSON)
-    return each.groupBy("trial").agg((F.sum(F.col(value) * weight) / F.sum(F.when(F.col(value).isNotNull(), weight))).alias("mean"))
+    return each.withColumn("copies", sum(F.when(F.col("__u") >= p, 1.0).otherwise(0.0) for p in POISSON)).drop("__u").filter("copies > 0")
+
+
+def poisson_bootstrap(rows: DataFrame, value: str, uniform: Column, trials: int) -> DataFrame:
+    """(trial, mean): resamples as Poisson weights of a uniform number for each row and ``trial``; sums are partial on each task."""
+    each = poisson_weights(rows, uniform, trials)
+    return each.groupBy("trial").agg((F.sum(F.col(value) * F.col("copies")) / F.sum(F.when(F.col(value).isNotNull(), F.col("copies")))).alias("mean"))
+
+
+def bootstrap_metrics(results: DataFrame, uniform: Column, trials: int, horizon_ms: Column, least_ms: float = 0.001) -> DataFrame:
+    """A row for each trial: mean and median shortfall, its time-weighted mean, the mean toxic cost and the mean fill-adjusted cost."""
+    each = poisson_weights(results, uniform, trials)
+    bps, copies = F.when(F.col("metric_status") == "ok", F.col("implementation_shortfall_bps")), F.col("copies")
+    toxic = F.when(F.col("cost_type") == "toxic_cost", bps)
+    return each.groupBy("trial").agg(
+        weighted_mean(bps, copies).alias("mean_is_bps"),
+        F.percentile(bps, 0.5, copies.cast("long")).alias("median_is_bps"),
+        weighted_mean(bps, copies / F.greatest(horizon_ms, F.lit(least_ms))).alias("time_weighted_mean_is_bps"),
+        weighted_mean(toxic, copies).alias("toxic_cost_mean_bps"),
+        weighted_mean(F.col("fill_adjusted_toxic_cost_bps"), copies).alias("fill_adjusted_toxic_cost_mean_bps"),
+    )
 
 
 def interval(trials: DataFrame, value: str = "mean", low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -94,17 +217,24 @@ def interval(trials: DataFrame, value: str = "mean", low: float = 0.025, high: f
     return trials.agg(F.avg(value).alias("estimate"), q.alias("q")).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def sign_flip(differences: DataFrame, value: str = "difference") -> DataFrame:
-    """One row (n, observed, p_value): the two-sided exact sign-flip test of a mean, with one added to both counts.
+#: More pairs than this are not tested exactly: 2 ** n sign vectors.
+MOST_PAIRS = 24
+
 
-    All 2 ** n sign vectors are evaluated, for at most 20 paired differences.
+def sign_flip(differences: DataFrame, value: str = "difference", by: list[str] = [], alternative: str = "two-sided") -> DataFrame:
+    """(by, n, observed, p_value): the exact sign-flip test of each group's mean, with one added to both counts.
+
+    All 2 ** n sign vectors are evaluated, in rows of 2 ** 8; more than
+    ``MOST_PAIRS`` pairs are an error. alternative: two-sided, greater or less.
     """
-    values = differences.filter(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(value)).alias("x")).filter(F.size("x").between(1, 20))
-    signs = values.select("x", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 20) - 1)).alias("s")).filter(F.expr("s < shiftleft(1, size(x))"))
-    flipped = F.aggregate(F.transform("x", lambda v, i: F.when(F.expr("s").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
-    observed = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    tested = signs.select(F.size("x").alias("n"), (observed / F.size("x")).alias("observed"), (F.abs(flipped) >= F.abs(observed) - 1e-12).alias("as_far"))
-    return tested.groupBy("n", "observed").agg(((F.count_if("as_far") + 1) / (F.count("*") + 1)).alias("p_value"))
+    values = differences.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("x")).filter(F.size("x") > 0)
+    size = F.when(F.size("x") <= MOST_PAIRS, F.size("x")).otherwise(F.raise_error(F.lit(f"more than {MOST_PAIRS} pairs")).cast("int"))
+    values = values.withColumn("n", size).withColumn("observed", F.aggregate("x", F.lit(0.0), lambda a, v: a + v))
+    signs = values.withColumn("s", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1)))
+    flipped = F.aggregate(F.transform("x", lambda v, i: F.when(F.col("s").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0, -v).otherwise(v)), F.lit(0.0), lambda a, v: a + v)
+    far = {"two-sided": F.abs(flipped) >= F.abs("observed") - 1e-12, "greater": flipped >= F.col("observed") - 1e-12, "less": flipped <= F.col("observed") + 1e-12}[alternative]
+    tested = signs.select(*by, "n", (F.col("observed") / F.col("n")).alias("observed"), far.alias("as_far"))
+    return tested.groupBy(*by, "n", "observed").agg(((F.count_if("as_far") + 1) / (F.count("*") + 1)).alias("p_value"))
 
 
 def holm(tests: DataFrame, p: str = "p_value", keys: list[str] = ["name"]) -> DataFrame:
@@ -154,6 +284,14 @@ def pairwise(rows: DataFrame, unit: str, model: str, value: str) -> DataFrame:
     return both.groupBy("model_a", "model_b").agg(F.count("*").alias("n"), F.avg(F.col("__a") - F.col("__b")).alias("mean_difference"), F.count_if(F.col("__a") > F.col("__b")).alias("wins"))
 
 
+def pairwise_tests(rows: DataFrame, unit: str, model: str, value: str) -> DataFrame:
+    """``pairwise`` with the exact sign-flip p-value of each pair of models and that adjusted over all pairs."""
+    a = rows.select(unit, F.col(model).alias("model_a"), F.col(value).alias("__a"))
+    b = rows.select(unit, F.col(model).alias("model_b"), F.col(value).alias("__b"))
+    differences = a.join(b, unit).filter("model_a < model_b").withColumn("difference", F.col("__a") - F.col("__b"))
+    return holm(sign_flip(differences, by=["model_a", "model_b"]), keys=["model_a", "model_b"])
+
+
 def flattened(results: DataFrame, struct: str = "decision") -> DataFrame:
     """The fields of a struct as columns of their own, with its name before theirs."""
     fields = results.schema[struct].dataType.names

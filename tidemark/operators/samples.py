@@ -167,3 +167,68 @@ def prepare(orders: DataFrame, *, lookback: int, bins: int, percentile: float =
         rows = manifest(part, lookback=lookback, censor_s=horizon)
         parts[name] = random_cap(rows, most, seed) if most and name != "test" else rows
     return {"horizon_s": horizon, "cuts": quantile_cuts(parts["train"], bins), "parts": parts}
+
+
+def end_index(policy: str, steps: Column, lookback: int) -> Column:
+    """The step that a snapshot is taken at: ``entry``, ``latest`` or ``final``, or ``index:n`` held within the steps."""
+    if policy == "entry":
+        return F.least(F.lit(lookback - 1), F.greatest(steps - 1, F.lit(0)))
+    if policy in ("latest", "final"):
+        return steps - 1
+    if policy.startswith("index:"):
+        return F.least(F.greatest(F.lit(int(policy[6:])), F.lit(0)), steps - 1)
+    raise ValueError(f"no snapshot policy {policy!r}")
+
+
+def clipped_length(seen: Column, said: Column) -> Column:
+    """The steps that a sequence has: what it says, if that is positive and no more than there are."""
+    number = said.try_cast("int")
+    return F.when(number > 0, F.least(seen, number)).otherwise(seen)
+
+
+def increases(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Rows whose value is above that of the row before them, with that one as ``before``."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn("before", before).filter(F.col(value) > F.col("before"))
+
+
+def require_falling(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``rows``, or an error where a value grows within a group: remaining time can't."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
+    grows = F.raise_error(F.concat(F.lit(f"{value} grows within "), F.to_json(F.struct(*by)))).cast(rows.schema[value].dataType)
+    return rows.withColumn(value, F.when(F.col(value) > before, grows).otherwise(F.col(value)))
+
+
+def keep_orders(manifest: DataFrame, wanted: DataFrame, key: str = "order_id") -> DataFrame:
+    """Manifest rows of the wanted orders (or source rows), each once."""
+    return manifest.join(wanted.select(key), key, "left_semi")
+
+
+def static_normalizer(rows: DataFrame, cells: str, least: float = 1e-6) -> DataFrame:
+    """(feature, mean, std) of the features of flat rows; a deviation below ``least`` counts as 1."""
+    each = rows.select(F.posexplode(cells).alias("feature", "x"))
+    out = each.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return out.withColumn("std", F.when(F.col("std") < least, 1.0).otherwise(F.col("std")))
+
+
+def histogram_edges(low: float, high: float, bins: int) -> list[float]:
+    """Evenly spaced edges of a histogram; a single value has a unit around it."""
+    low, high = (low - 0.5, high + 0.5) if low == high else (low, high)
+    return [low + k * (high - low) / bins for k in range(bins + 1)]
+
+
+def digitized(value: Column, edges: list[float]) -> Column:
+    """The bin of a value by growing edges, each of which belongs to the bin below it: -1 up to the first."""
+    return sum((value > float(e)).cast("int") for e in edges) - 1
+
+
+def pad_right(values: Column, length: int) -> Column:
+    """The first ``length`` values, NaN after the last where there are fewer."""
+    return F.concat(F.slice(values, 1, length), F.array_repeat(F.lit(float("nan")), F.greatest(F.lit(length) - F.size(values), F.lit(0))))
+
+
+def bin_seconds(rows: DataFrame, index: str, grid: list[float], clip: bool = True) -> DataFrame:
+    """``rows`` with the seconds of a bin of the time grid; an index beyond it is the nearest, or null without ``clip``. The grid is a literal."""
+    at = F.least(F.greatest(F.col(index), F.lit(0)), F.lit(len(grid) - 1)) if clip else F.col(index)
+    seconds = F.array(*(F.lit(float(x)) for x in grid))
+    return rows.withColumn("seconds", F.when(at >= 0, F.get(seconds, at.cast("int"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
-from tidemark.functions.names import MICROSTRUCTURE
+from tidemark.functions.names import OF_BOOK
 from tidemark.operators import asof, flow
 from tidemark.plans import adapters
 from tidemark.plans.registry import query, rounded
@@ -97,12 +97,12 @@ def moving_window(spark, sf_dir):
     return out.filter("value <> 0").select("book_id", (F.col("p") - 20).alias("step"), "value")
 
 
-@query(f"""WITH {_CENTER}, s AS (SELECT unnest([-20, -5, -1, 0, 1, 5, 20]) AS step) SELECT book_id, step, coalesce(sum(CASE WHEN step > 0 AND side = 'A' AND price > center AND price <= center + step THEN size
+@query(f"""WITH {_CENTER}, s AS (SELECT CAST(unnest(range(-20, 21)) AS INTEGER) AS step) SELECT book_id, step, coalesce(sum(CASE WHEN step > 0 AND side = 'A' AND price > center AND price <= center + step THEN size
  WHEN step < 0 AND side = 'B' AND price < center AND price >= center + step THEN -size END), 0.0)::DOUBLE AS value FROM c CROSS JOIN s JOIN px USING (book_id) GROUP BY book_id, step""")
 def market_depth(spark, sf_dir):
     maps, bids, asks = _centered(spark, sf_dir)
     out = maps.select("book_id", F.posexplode(book.market_depth(bids, asks, F.col("center"), 1)).alias("p", "value"))
-    return out.withColumn("step", F.col("p") - 20).filter(F.col("step").isin(-20, -5, -1, 0, 1, 5, 20)).select("book_id", "step", F.abs("value").alias("size"), "value").drop("size")
+    return out.select("book_id", (F.col("p") - 20).alias("step"), (F.col("value") + F.lit(0.0)).alias("value"))
 
 
 _MS = f"""{_MAPS}, t AS (SELECT book_id, bids[1:5] AS b, asks[1:5] AS a, bids[1].p AS bb, asks[1].p AS ba, bids[1].s AS bt, asks[1].s AS at_ FROM maps WHERE len(bids) > 0 AND len(asks) > 0),
@@ -111,13 +111,13 @@ _MS = f"""{_MAPS}, t AS (SELECT book_id, bids[1:5] AS b, asks[1:5] AS a, bids[1]
  list_concat(list_transform(b, lambda x: x.s), list_transform(a, lambda x: x.s)) AS v FROM t)"""
 
 
-@query(f"""WITH {_MS} SELECT book_id, round(ln(1 + greatest((ba - bb) / mid, 0)), 6) AS spread_log, round((bt - at_) / (bt + at_), 6) AS imbalance_top, round((db - da) / (db + da), 6) AS imbalance_depth,
- round((wb - wa) / (wb + wa), 6) AS imbalance_weighted, round(ln(1 + wb + wa), 6) AS weighted_volume_log, round((bt + at_) / (db + da), 6) AS top_concentration,
+@query(f"""WITH {_MS} SELECT book_id, round(ln(1 + greatest((ba - bb) / mid, 0)), 6) AS spread_relative, round((bt - at_) / (bt + at_), 6) AS imbalance_tob, round((db - da) / (db + da), 6) AS depth_imbalance,
+ round((wb - wa) / (wb + wa), 6) AS weighted_imbalance, round(ln(1 + wb + wa), 6) AS total_weighted_volume, round((bt + at_) / (db + da), 6) AS tob_concentration,
  round(sqrt(list_var_pop(v)) / list_avg(v), 6) AS volume_cv, round(((bb * at_ + ba * bt) / (bt + at_) - mid) / mid, 6) AS microprice_offset,
- len(list_filter(b, lambda x: x.s >= 0.1 * (db + da)))::DOUBLE AS significant_bids, len(list_filter(a, lambda x: x.s >= 0.1 * (db + da)))::DOUBLE AS significant_asks FROM u""")
+ len(list_filter(b, lambda x: x.s >= 0.1 * (db + da)))::DOUBLE AS significant_bid_levels, len(list_filter(a, lambda x: x.s >= 0.1 * (db + da)))::DOUBLE AS significant_ask_levels FROM u""")
 def toxicity_features(spark, sf_dir):
     out = book.add_microstructure(_maps(spark, sf_dir).filter(book.two_sided(F.col("bids"), F.col("asks"))), "f")
-    return out.select("book_id", *(rounded(F.col("f")[k]).alias(n) for k, n in enumerate(MICROSTRUCTURE)))
+    return out.select("book_id", *(rounded(F.col("f")[k]).alias(n) for k, n in enumerate(OF_BOOK)))
 
 
 _GAPS = "g AS (SELECT *, coalesce(ts_event - lag(ts_event) OVER (PARTITION BY instrument_id ORDER BY ts_event, seq), 0) // 1000 AS gap_us FROM v_ticks)"
@@ -235,3 +235,31 @@ def time_censor(spark, sf_dir):
     orders = adapters.orders(spark, sf_dir).withColumn("e", F.col("entry_time") + (F.round(F.col("duration_s") * 1_000_000).cast("long")) * 1000)
     end, late = flow.time_censor(F.col("entry_time"), F.col("e"), 10_000_000_000)
     return orders.select("order_id", end.alias("end_time"), late.alias("censored"))
+
+
+_SEQ_LAST = f"""{_PX}, sq AS (SELECT DISTINCT book_id, book_id // 4 AS seq FROM px), lb AS (SELECT seq, max(book_id) AS book_id FROM sq GROUP BY seq),
+ ct AS (SELECT lb.seq, CAST(round_even((max(CASE WHEN side = 'B' THEN price END) + min(CASE WHEN side = 'A' THEN price END)) / 2.0::DOUBLE, 0) AS BIGINT) AS center FROM lb JOIN px USING (book_id) GROUP BY lb.seq
+ HAVING count(*) FILTER (side = 'B') > 0 AND count(*) FILTER (side = 'A') > 0)"""
+
+
+def _snapshot_sequences(spark, sf_dir):
+    """Sequences of the books of four neighbouring keys, in order."""
+    snapshots = _maps(spark, sf_dir).select(F.floor(F.col("book_id") / 4).alias("seq"), F.struct("book_id", "bids", "asks").alias("s"))
+    return snapshots.groupBy("seq").agg(F.array_sort(F.collect_list("s"), lambda x, y: x["book_id"].cast("long").cast("int") - y["book_id"].cast("int")).alias("snapshots"))
+
+
+@query(f"""WITH {_SEQ_LAST}, n AS (SELECT book_id, seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY book_id) - 1 AS INTEGER) AS step FROM sq)
+ SELECT seq, step, CAST(price - center AS INTEGER) AS offset, sum(CASE WHEN side = 'A' THEN size ELSE -size END) AS value FROM n JOIN ct USING (seq) JOIN px USING (book_id)
+ WHERE abs(price - center) <= 20 GROUP BY ALL HAVING sum(CASE WHEN side = 'A' THEN size ELSE -size END) <> 0""")
+def sequence_on_one_grid(spark, sf_dir):
+    rows = _snapshot_sequences(spark, sf_dir).select("seq", F.posexplode(book.on_one_grid(F.col("snapshots"), "moving_window", tick=1)).alias("step", "cells"))
+    return rows.select("seq", "step", F.posexplode("cells").alias("p", "value")).filter("value <> 0").select("seq", "step", (F.col("p") - 20).alias("offset"), "value")
+
+
+@query(f"WITH {_SEQ_LAST}, n AS (SELECT seq, count(*) AS steps FROM sq GROUP BY seq) SELECT n.seq, 6 AS rows, 41 AS least, 41 AS most, TRUE AS even, CAST(CASE WHEN center IS NULL THEN 0 ELSE steps END AS INTEGER) AS filled FROM n LEFT JOIN ct USING (seq)")
+def sequence_shape(spark, sf_dir):
+    """Sequences padded to six rows, and how many of the rows come from books."""
+    snapshots = F.col("snapshots")
+    padded = book.on_one_grid(snapshots, "market_depth", tick=1, length=6)
+    bare = book.on_one_grid(snapshots, "market_depth", tick=1)
+    return _snapshot_sequences(spark, sf_dir).select("seq", book.shape(padded).alias("s"), F.size(bare).alias("filled")).select("seq", "s.*", "filled")
