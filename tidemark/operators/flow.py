@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import running
+
 
 def in_order(by: list[str], *order: str) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
@@ -17,27 +19,26 @@ def signed_size(action: Column, size: Column) -> Column:
 
 def resting(ticks: DataFrame, by: list[str] = ["instrument_id"]) -> DataFrame:
     """``ticks`` with the running resting size of their book."""
-    running = F.sum(signed_size(F.col("action"), F.col("size"))).over(in_order(by, "ts_event", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    return ticks.withColumn("resting", running)
+    return running.running(ticks, by, ["ts_event", "seq"], {"resting": signed_size(F.col("action"), F.col("size"))})
 
 
 def empty_points(ticks: DataFrame, by: list[str] = ["instrument_id"]) -> DataFrame:
     """Messages that leave a book without resting size that had some before."""
-    before = F.lag("resting").over(in_order(by, "ts_event", "seq"))
-    return resting(ticks, by).withColumn("before", before).filter("before > 0 and resting <= 0").drop("before")
+    size = signed_size(F.col("action"), F.col("size"))  # what rested before a message is what rests after it, less its own
+    return resting(ticks, by).filter((F.col("resting") <= 0) & (F.col("resting") - size > 0))
 
 
 def gaps(ticks: DataFrame, by: list[str] = ["instrument_id"]) -> DataFrame:
     """``ticks`` with the microseconds since the last message and log1p of the milliseconds; 0 for the first."""
-    gap = F.coalesce(F.col("ts_event") - F.lag("ts_event").over(in_order(by, "ts_event", "seq")), F.lit(0).cast("long"))
-    out = ticks.withColumn("gap_us", F.floor(gap / 1000))
+    out = running.lagged(ticks, by, ["ts_event", "seq"], {"__before": "ts_event"})
+    gap = F.coalesce(F.col("ts_event") - F.col("__before"), F.lit(0).cast("long"))
+    out = out.withColumn("gap_us", F.floor(gap / 1000)).drop("__before")
     return out.withColumn("gap_log_ms", F.log1p(F.greatest(F.col("gap_us") / 1000.0, F.lit(0.0))))
 
 
 def count_buckets(ticks: DataFrame, every: int, by: list[str] = ["instrument_id"]) -> DataFrame:
     """One row for each full run of ``every`` messages: its last message and what it held."""
-    number = F.row_number().over(in_order(by, "ts_event", "seq"))
-    numbered = ticks.withColumn("bucket", F.floor((number - 1) / every))
+    numbered = running.numbered(ticks, by, ["ts_event", "seq"], "bucket").withColumn("bucket", F.floor(F.col("bucket") / every))
     out = numbered.groupBy(*by, "bucket").agg(F.count("*").alias("messages"), F.max("ts_event").alias("ts_event"), F.max_by("price", F.struct("ts_event", "seq")).alias("price"), F.count_if(F.col("action") == "T").alias("trades"), F.sum("size").alias("volume"))
     return out.filter(F.col("messages") == every)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import CENSORED, FAVORABLE_FILL, TOXIC_FILL, post_columns, quoted
 from tidemark.operators import markout
+from tidemark.operators.running import quantiles
 
 
 def label(orders: DataFrame, window_ms: int | None) -> DataFrame:
@@ -72,7 +73,7 @@ def split_days(orders: DataFrame, cuts: DataFrame, day: str = "day") -> DataFram
 
 def horizon(durations: DataFrame, percentile: float = 95.0, value: str = "duration_s") -> DataFrame:
     """One row: the linear percentile of the fills' durations."""
-    return durations.agg(F.percentile(value, F.lit(percentile / 100)).alias("horizon_s"))
+    return quantiles(durations, [], value, [percentile / 100]).select(F.col("q")[0].alias("horizon_s"))
 
 
 def recensor(duration: Column, event: Column, limit: Column) -> tuple[Column, Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import STABLE_FRACTION, WINDOWS_MS, post_columns, quoted
+from tidemark.operators.running import quantiles
+from tidemark.storage import stage
 
 
 def side_sign(side: Column) -> Column:
@@ -38,15 +40,16 @@ def markouts(orders: DataFrame, windows: Sequence[int] = WINDOWS_MS, *, base: st
 
 def winsorize(long: DataFrame, value: str = "markout_bps", by: str = "window_ms", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``value`` held between two quantiles of its group. One row for each group is joined back."""
-    bounds = long.groupBy(by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    return long.join(bounds, by).withColumn(value, F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
+    bounds = quantiles(long, [by], value, [low, high]).select(by, F.col("q").alias("__q"))
+    return long.join(F.broadcast(bounds), by).withColumn(value, F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
 
 
 def statistics(long: DataFrame, value: str = "markout_bps", by: str = "window_ms") -> DataFrame:
     """Count, moments, quantiles and the share below zero for each group; values that aren't finite don't count."""
-    x = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
-    q = F.percentile(x, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = long.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.alias("q"), F.avg(F.when(x < 0, 1.0).when(x >= 0, 0.0)).alias("toxic_rate"))
+    long = long.withColumn("__x", F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value)))
+    x = F.col("__x")
+    q = quantiles(long, [by], "__x", [0.05, 0.25, 0.5, 0.75, 0.95]).select(by, "q")
+    out = long.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg(F.when(x < 0, 1.0).when(x >= 0, 0.0)).alias("toxic_rate")).join(F.broadcast(q), by, "left")
     error = F.col("std") / F.sqrt("n")
     return out.select(by, "n", "mean", "std", error.alias("se"), F.try_divide(F.col("mean"), error).alias("tstat"), *(F.col("q")[k].alias(name) for k, name in enumerate(("p05", "p25", "median", "p75", "p95"))), "toxic_rate")
 
@@ -55,8 +58,9 @@ def settled_window(stats: DataFrame, fraction: float = STABLE_FRACTION) -> DataF
     """One row: the first window whose mean has the long-run sign and ``fraction`` of its size.
 
     The long run is the largest window. No window is chosen if there is none, or
-    if the long-run mean is about zero.
+    if the long-run mean is about zero. The statistics, a row for each window, are staged: they are read twice.
     """
+    stats = stage(stats, "window-statistics")
     last = stats.agg(F.max_by("mean", "window_ms").alias("long_run_mean"))
     near = (F.abs("mean") >= F.abs("long_run_mean") * fraction) & (F.signum("mean") == F.signum("long_run_mean")) & (F.abs("long_run_mean") >= 1e-12)
     return stats.crossJoin(F.broadcast(last)).agg(F.min(F.when(near, F.col("window_ms"))).alias("selected_window_ms"), F.first("long_run_mean").alias("long_run_mean"))

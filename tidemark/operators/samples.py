@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import quantiles
+
 
 def spaced(size: Column, most: int) -> Column:
     """At most ``most`` indices from 0 to size - 1, evenly spaced, the ends included.
@@ -118,8 +120,8 @@ def quantile_cuts(samples: DataFrame, bins: int, duration: str = "remaining_s",
     if limits[0] is None:
         return []
     used = samples.filter(~((F.col(event) == 0) & (F.col(duration) >= limits[1])))
-    found = used.agg(F.percentile(duration, F.array(*(F.lit(k / (bins - 1)) for k in range(bins))))).first()[0]
-    return finish_cuts(list(found or [limits[0]] * bins), limits[0], limits[1])
+    found = quantiles(used, [], duration, [k / (bins - 1) for k in range(bins)]).first()
+    return finish_cuts(list(found["q"]) if found else [limits[0]] * bins, limits[0], limits[1])
 
 
 def discretize(duration: Column, event: Column, cuts: list[float]) -> tuple[Column, Column]:
@@ -158,9 +160,10 @@ def prepare(orders: DataFrame, *, lookback: int, bins: int, percentile: float =
     all but the test part are capped at ``most`` samples an order.
     """
     train = orders.filter("dataset_split = 'train'")
-    horizon = train.filter("event_type > 0").agg(F.percentile("duration_s", F.lit(percentile / 100))).first()[0]
-    if horizon is None:
+    found = quantiles(train.filter("event_type > 0"), [], "duration_s", [percentile / 100]).first()
+    if found is None:
         raise ValueError("no fills in the training part")
+    horizon = found["q"][0]
     parts = {}
     for name in ("train", "val", "test"):
         part = subsample_orders(orders.filter(F.col("dataset_split") == name), fraction, seed) if fraction < 1 else orders.filter(F.col("dataset_split") == name)

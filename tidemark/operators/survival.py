@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import running
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -43,31 +45,57 @@ def nll(samples: DataFrame, bins: int, eps: float = 1e-7) -> DataFrame:
     return samples.withColumn("nll", -F.log(F.greatest(F.when(F.col("d") > 0, at_event).otherwise(alive), F.lit(eps))))
 
 
-def comparable(samples: DataFrame, event: int, groups: list[str], salts: int = 8) -> DataFrame:
-    """Pairs (i, j) with an event of i before y_bin of j, of other orders, in the same group.
+def _each_bin(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
+    """(groups, order_id, bin, f): the incidence of a sample at each bin before its own."""
+    rows = samples.select(*groups, "order_id", "y_bin", F.posexplode(f"cif_{event}").alias("bin", "f"))
+    return rows.filter(F.col("bin") < F.col("y_bin")).drop("y_bin")
+
+
+def _anchors(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
+    return samples.filter(F.col("d") == event).select(*groups, F.col("sample").alias("i"), "order_id", F.col("y_bin").alias("bin"), F.element_at(f"cif_{event}", F.col("y_bin") + 1).alias("f"))
 
-    The anchors are dealt over ``salts`` parts and the others repeated for each,
-    so that a large group isn't one task's work. Only narrow columns are paired:
-    j's incidence at i's time is looked up once.
-    """
-    salt = F.pmod(F.xxhash64("sample"), F.lit(salts))
-    anchors = samples.filter(F.col("d") == event).select(*groups, salt.alias("__s"), F.col("sample").alias("i"), F.col("order_id").alias("order_i"), F.col("y_bin").alias("y_i"), F.element_at(f"cif_{event}", F.col("y_bin") + 1).alias("f_i"))
-    others = samples.select(*groups, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"), F.col("order_id").alias("order_j"), F.col("y_bin").alias("y_j"), F.col(f"cif_{event}").alias("cif_j"))
-    pairs = anchors.join(others, [*groups, "__s"]).filter((F.col("y_j") > F.col("y_i")) & (F.col("order_i") != F.col("order_j")))
-    return pairs.select(*groups, "i", "order_i", "f_i", F.element_at("cif_j", F.col("y_i") + 1).alias("f_j"))
+
+def _own_pairs(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
+    """(i, f, g) of the pairs within an order, which don't count: of an order's few samples of the same group only."""
+    others = _each_bin(samples, event, groups).withColumnRenamed("f", "g")
+    return _anchors(samples, event, groups).join(others, [*groups, "order_id", "bin"]).select("i", "f", "g")
 
 
 def rank_loss(samples: DataFrame, event: int, sigma: float, groups: list[str]) -> DataFrame:
-    """One row: for each sample the sum of exp(-(F_i - F_j) / sigma) over its pairs, as the mean of order means over all orders."""
-    summed = comparable(samples, event, groups).groupBy("i").agg(F.sum(F.exp(-(F.col("f_i") - F.col("f_j")) / sigma)).alias("loss"))
-    every = samples.select(F.col("sample").alias("i"), "order_id").join(summed, "i", "left").fillna(0.0, ["loss"])
+    """One row: for each sample the sum of exp(-(F_i - F_j) / sigma) over its pairs, as the mean of order means over all orders.
+
+    A pair is an event of i and a j of another order and the same group that
+    has nothing up to i's bin. The sum factorises: exp(-F_i / sigma) times the
+    sum of exp(F_j / sigma) over all j of the bin, less those of the own order.
+    """
+    lifted = F.sum(F.exp(F.col("f") / sigma)).alias("s")
+    whole = _each_bin(samples, event, groups).groupBy(*groups, "bin").agg(lifted)
+    own = _own_pairs(samples, event, groups).groupBy("i").agg(F.sum(F.exp((F.col("g") - F.col("f")) / sigma)).alias("own"))
+    anchors = _anchors(samples, event, groups).join(F.broadcast(whole), [*groups, "bin"]).select("i", (F.exp(-F.col("f") / sigma) * F.col("s")).alias("all"))
+    loss = anchors.join(own, "i", "left").select("i", (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("loss"))
+    every = samples.select(F.col("sample").alias("i"), "order_id").join(loss, "i", "left").fillna(0.0, ["loss"])
     return order_mean(every, "loss")
 
 
 def concordance(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
-    """One row: the share of pairs whose anchor has the higher incidence at its time, ties half."""
-    right = F.when(F.col("f_i") > F.col("f_j"), 1.0).when(F.col("f_i") == F.col("f_j"), 0.5).otherwise(0.0)
-    return comparable(samples, event, groups).agg(F.avg(right).alias("concordance"), F.count("*").alias("pairs"))
+    """One row: the share of pairs whose anchor has the higher incidence at its time, ties half.
+
+    Of each group and bin the incidences are counted in order, so an anchor's
+    number of lower and equal others is a difference of two running counts.
+    """
+    others = _each_bin(samples, event, groups).groupBy(*groups, "bin", "f").agg(F.count("*").alias("others"), F.lit(0).cast("long").alias("anchors"))
+    anchors = _anchors(samples, event, groups).groupBy(*groups, "bin", "f").agg(F.lit(0).cast("long").alias("others"), F.count("*").alias("anchors"))
+    both = others.unionByName(anchors).groupBy(*groups, "bin", "f").agg(F.sum("others").alias("others"), F.sum("anchors").alias("anchors"))
+    ranked = running.running(both, [*groups, "bin"], ["f"], {"upto": F.col("others")})
+    whole = others.groupBy(*groups, "bin").agg(F.sum("others").alias("all"))
+    found = ranked.filter("anchors > 0").join(F.broadcast(whole), [*groups, "bin"])
+    right = F.col("anchors") * (F.col("upto") - F.col("others") + F.col("others") / 2.0)
+    counted = found.agg(F.coalesce(F.sum(right), F.lit(0.0)).alias("right"), F.coalesce(F.sum(F.col("anchors") * F.col("all")), F.lit(0)).alias("pairs"))
+    own = _own_pairs(samples, event, groups).agg(
+        F.coalesce(F.sum(F.when(F.col("f") > F.col("g"), 1.0).when(F.col("f") == F.col("g"), 0.5).otherwise(0.0)), F.lit(0.0)).alias("own_right"), F.count("*").alias("own_pairs")
+    )
+    pairs = F.col("pairs") - F.col("own_pairs")
+    return counted.crossJoin(F.broadcast(own)).select(F.try_divide(F.col("right") - F.col("own_right"), pairs).alias("concordance"), pairs.alias("pairs"))
 
 
 def brier(samples: DataFrame, event: int) -> DataFrame:
@@ -81,9 +109,12 @@ def uninformed_brier(samples: DataFrame, train: DataFrame, event: int, bins: int
     """(bin, incidence, brier) of the incidence that the training part has at each bin, for everybody."""
     grid = train.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     come = F.when((F.col("d") == event) & (F.col("y_bin") <= F.col("bin")), 1.0).otherwise(0.0)
-    curve = train.crossJoin(F.broadcast(grid)).groupBy("bin").agg(F.avg(come).alias("incidence"))
-    each = samples.crossJoin(F.broadcast(curve))  # bins rows
-    return each.groupBy("bin", "incidence").agg(F.avg(F.pow(come - F.col("incidence"), 2)).alias("brier"))
+    def counted(rows: DataFrame) -> DataFrame:  # a row for each bin and outcome
+        return rows.groupBy("y_bin", "d").agg(F.count("*").alias("n")).crossJoin(F.broadcast(grid)).withColumn("y", come)
+
+    curve = counted(train).groupBy("bin").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("incidence"))
+    each = counted(samples).join(F.broadcast(curve), "bin")
+    return each.groupBy("bin", "incidence").agg((F.sum(F.pow(F.col("y") - F.col("incidence"), 2) * F.col("n")) / F.sum("n")).alias("brier"))
 
 
 def integrated(curve: DataFrame, at: str, value: str, end: float) -> DataFrame:
@@ -93,31 +124,36 @@ def integrated(curve: DataFrame, at: str, value: str, end: float) -> DataFrame:
     return curve.withColumn("__a", area).agg((F.sum("__a") / end).alias("ibs"))
 
 
-def _ranked(scores: DataFrame, score: str, positive: str, weight: str | None) -> DataFrame:
-    """Distinct scores, the highest first, with weights of positives and negatives so far. A row for each distinct score."""
+def _ranked(scores: DataFrame, score: str, positive: str, weight: str | None, by: list[str] = []) -> DataFrame:
+    """Distinct scores, the highest first, with the weights of positives and negatives up to each and those of it alone."""
     w = F.col(weight) if weight else F.lit(1.0)
-    each = scores.groupBy(score).agg(F.sum(F.when(F.col(positive) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(positive) == 1, 0.0).otherwise(w)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    out = each.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
-    whole = each.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return out.crossJoin(F.broadcast(whole))
-
-
-def precision_recall(scores: DataFrame, score: str, positive: str, weight: str | None = None) -> DataFrame:
-    """One row: the area under the precision-recall curve by trapezoids, from recall 0 and precision 1, and the step sum (average precision); null without both classes."""
-    order = Window.orderBy(F.desc(score))
-    r = _ranked(scores, score, positive, weight).filter("all_p > 0 and all_n > 0").withColumns({"recall": F.col("tp") / F.col("all_p"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    dr = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    r = r.withColumns({"area": dr * (F.col("precision") + F.coalesce(F.lag("precision").over(order), F.lit(1.0))) / 2, "step": dr * F.col("precision")})
-    return r.agg(F.sum("area").alias("pr_auc"), F.sum("step").alias("average_precision"))
-
-
-def roc(scores: DataFrame, score: str, positive: str, weight: str | None = None) -> DataFrame:
-    """One row: the area under the ROC curve; null without both classes."""
-    order = Window.orderBy(F.desc(score))
-    r = _ranked(scores, score, positive, weight).filter("all_p > 0 and all_n > 0").withColumns({"t": F.col("tp") / F.col("all_p"), "f": F.col("fp") / F.col("all_n")})
-    area = (F.col("f") - F.coalesce(F.lag("f").over(order), F.lit(0.0))) * (F.col("t") + F.coalesce(F.lag("t").over(order), F.lit(0.0))) / 2
-    return r.withColumn("a", area).agg(F.sum("a").alias("roc_auc"))
+    each = scores.select(*by, (-F.col(score)).alias("__down"), F.when(F.col(positive) == 1, w).otherwise(0.0).alias("__p"), F.when(F.col(positive) == 1, 0.0).otherwise(w).alias("__n"))
+    each = each.groupBy(*by, "__down").agg(F.sum("__p").alias("p"), F.sum("__n").alias("n"))
+    out = running.running(each, by, ["__down"], {"tp": F.col("p"), "fp": F.col("n")})
+    whole = scores.groupBy(*by).agg(F.sum(F.when(F.col(positive) == 1, w).otherwise(0.0)).alias("all_p"), F.sum(F.when(F.col(positive) == 1, 0.0).otherwise(w)).alias("all_n"))
+    out = out.join(F.broadcast(whole), by) if by else out.crossJoin(F.broadcast(whole))
+    return out.filter("all_p > 0 and all_n > 0")
+
+
+def _one_row(areas: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each group, null where it lacks a class."""
+    return scores.select(*by).distinct().join(F.broadcast(areas), by, "left") if by else areas
+
+
+def precision_recall(scores: DataFrame, score: str, positive: str, weight: str | None = None, by: list[str] = []) -> DataFrame:
+    """One row (for each ``by``): the area under the precision-recall curve by trapezoids, from recall 0 and precision 1, and the step sum (average precision); null without both classes."""
+    r = _ranked(scores, score, positive, weight, by)
+    before = F.col("tp") - F.col("p") + F.col("fp") - F.col("n")
+    precision, last = F.col("tp") / (F.col("tp") + F.col("fp")), F.when(before > 0, (F.col("tp") - F.col("p")) / before).otherwise(1.0)
+    recalled = F.col("p") / F.col("all_p")
+    return _one_row(r.groupBy(*by).agg(F.sum(recalled * (precision + last) / 2).alias("pr_auc"), F.sum(recalled * precision).alias("average_precision")), scores, by)
+
+
+def roc(scores: DataFrame, score: str, positive: str, weight: str | None = None, by: list[str] = []) -> DataFrame:
+    """One row (for each ``by``): the area under the ROC curve; null without both classes."""
+    r = _ranked(scores, score, positive, weight, by)
+    area = F.col("n") / F.col("all_n") * (2 * F.col("tp") - F.col("p")) / F.col("all_p") / 2
+    return _one_row(r.groupBy(*by).agg(F.sum(area).alias("roc_auc")), scores, by)
 
 
 def censoring_survival(samples: DataFrame) -> DataFrame:

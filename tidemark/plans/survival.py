@@ -189,13 +189,9 @@ _CLASSES = f"""{_ENDS}, sc AS (SELECT class, round(CASE class WHEN 0 THEN least(
 
 @query(f"WITH {_CLASSES}, {_RANK.format('class,', 'PARTITION BY class')} SELECT class, round(sum(dr * pc), 6) AS average_precision, round(sum(df * (r + r0) / 2), 6) AS roc_auc FROM st GROUP BY class")
 def ovr_average_precision(spark, sf_dir):
-    scores = survival.class_scores(_cifs(spark, sf_dir)).withColumn("score", F.round("score", 9)).cache()
-    parts = []
-    for k in range(3):  # the three outcomes
-        one = scores.filter(F.col("class") == k)
-        both = survival.precision_recall(one, "score", "positive").crossJoin(survival.roc(one, "score", "positive"))
-        parts.append(both.select(F.lit(k).alias("class"), rounded("average_precision").alias("average_precision"), rounded("roc_auc").alias("roc_auc")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scores = survival.class_scores(_cifs(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    both = survival.precision_recall(scores, "score", "positive", by=["class"]).join(survival.roc(scores, "score", "positive", by=["class"]), "class")
+    return both.select("class", rounded("average_precision").alias("average_precision"), rounded("roc_auc").alias("roc_auc"))
 
 
 @query(f"WITH {_FINAL.replace('event = 2 AND', 'd > 0 AND event = 2 AND')}, {_RANK.format('', '')} SELECT round(sum(dr * pc), 6) AS average_precision FROM st")

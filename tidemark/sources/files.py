@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.running import numbered
+from tidemark.storage import stage
+
 MESSAGES = T.StructType(
     [
         T.StructField("seq", T.LongType()),
@@ -91,8 +94,8 @@ def not_done(settings: DataFrame, done: DataFrame, key: str = "key") -> DataFram
 
 def row_slice(rows: DataFrame, order: str, *, offset: int = 0, limit: int | None = None, fraction: float = 1.0, seed: int = 0) -> DataFrame:
     """Rows after ``offset``, at most ``limit``, then a seeded sample, in order. ``order`` numbers rows uniquely."""
-    out = rows.orderBy(order).offset(offset)
-    out = out.limit(limit) if limit is not None else out
+    out = numbered(rows, [], [order], "__number").filter(F.col("__number") >= offset)
+    out = (out if limit is None else out.filter(F.col("__number") < offset + limit)).drop("__number")
     if fraction < 1:
         out = out.filter(F.pmod(F.xxhash64(F.lit(seed), order), F.lit(1_000_000)) < int(fraction * 1_000_000))
     return out.orderBy(order)
