@@ -87,10 +87,10 @@ def concordance(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
     anchors = _anchors(samples, event, groups).groupBy(*groups, "bin", "f").agg(F.lit(0).cast("long").alias("others"), F.count("*").alias("anchors"))
     both = others.unionByName(anchors).groupBy(*groups, "bin", "f").agg(F.sum("others").alias("others"), F.sum("anchors").alias("anchors"))
     ranked = running.running(both, [*groups, "bin"], ["f"], {"upto": F.col("others")})
-    whole = others.groupBy(*groups, "bin").agg(F.sum("others").alias("all"))
+    whole = others.groupBy(*groups, "bin").agg(F.sum("others").alias("__all"))
     found = ranked.filter("anchors > 0").join(F.broadcast(whole), [*groups, "bin"])
     right = F.col("anchors") * (F.col("upto") - F.col("others") + F.col("others") / 2.0)
-    counted = found.agg(F.coalesce(F.sum(right), F.lit(0.0)).alias("right"), F.coalesce(F.sum(F.col("anchors") * F.col("all")), F.lit(0)).alias("pairs"))
+    counted = found.agg(F.coalesce(F.sum(right), F.lit(0.0)).alias("right"), F.coalesce(F.sum(F.col("anchors") * F.col("__all")), F.lit(0)).alias("pairs"))
     own = _own_pairs(samples, event, groups).agg(
         F.coalesce(F.sum(F.when(F.col("f") > F.col("g"), 1.0).when(F.col("f") == F.col("g"), 0.5).otherwise(0.0)), F.lit(0.0)).alias("own_right"), F.count("*").alias("own_pairs")
     )
@@ -98,25 +98,80 @@ def concordance(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
     return counted.crossJoin(F.broadcast(own)).select(F.try_divide(F.col("right") - F.col("own_right"), pairs).alias("concordance"), pairs.alias("pairs"))
 
 
-def brier(samples: DataFrame, event: int) -> DataFrame:
-    """(bin, brier): squared error of the incidence against whether the event has come."""
-    each = samples.select("d", "y_bin", F.posexplode(f"cif_{event}").alias("bin", "p"))
+def brier(samples: DataFrame, event: int, weight: str | None = None) -> DataFrame:
+    """(bin, brier): squared error, under weights if given, of the incidence against whether the event has come."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    each = samples.select("d", "y_bin", w.alias("__w"), F.posexplode(f"cif_{event}").alias("bin", "p"))
     y = F.when((F.col("d") == event) & (F.col("y_bin") <= F.col("bin")), 1.0).otherwise(0.0)
-    return each.groupBy("bin").agg(F.avg(F.pow(y - F.col("p"), 2)).alias("brier"))
+    return each.groupBy("bin").agg((F.sum(F.pow(y - F.col("p"), 2) * F.col("__w")) / F.sum("__w")).alias("brier"))
 
 
-def uninformed_brier(samples: DataFrame, train: DataFrame, event: int, bins: int) -> DataFrame:
+def uninformed_brier(samples: DataFrame, train: DataFrame, event: int, bins: int, weight: str | None = None) -> DataFrame:
     """(bin, incidence, brier) of the incidence that the training part has at each bin, for everybody."""
     grid = train.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     come = F.when((F.col("d") == event) & (F.col("y_bin") <= F.col("bin")), 1.0).otherwise(0.0)
+    w = F.col(weight) if weight else F.lit(1.0)
+
     def counted(rows: DataFrame) -> DataFrame:  # a row for each bin and outcome
-        return rows.groupBy("y_bin", "d").agg(F.count("*").alias("n")).crossJoin(F.broadcast(grid)).withColumn("y", come)
+        return rows.groupBy("y_bin", "d").agg(F.sum(w).alias("n")).crossJoin(F.broadcast(grid)).withColumn("y", come)
 
     curve = counted(train).groupBy("bin").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("incidence"))
     each = counted(samples).join(F.broadcast(curve), "bin")
     return each.groupBy("bin", "incidence").agg((F.sum(F.pow(F.col("y") - F.col("incidence"), 2) * F.col("n")) / F.sum("n")).alias("brier"))
 
 
+def integrated_span(curve: DataFrame, at: str, value: str) -> DataFrame:
+    """One row: the trapezoid of the curve between its first and last points, over what lies between them; null for one point."""
+    before = Window.orderBy(at)  # a row for each bin
+    area = (F.col(value) + F.lag(value).over(before)) / 2 * (F.col(at) - F.lag(at).over(before))
+    return curve.withColumn("__a", area).agg(F.try_divide(F.sum("__a"), F.max(at) - F.min(at)).alias("ibs"))
+
+
+def one_versus_rest(scores: DataFrame) -> DataFrame:
+    """One row: average precision and ROC area over the classes of ``class_scores``, plain and by how often each class is true."""
+    areas = precision_recall(scores, "score", "positive", by=["class"]).join(roc(scores, "score", "positive", by=["class"]), "class")
+    true = scores.groupBy("class").agg(F.sum("positive").alias("n"))
+    both = areas.join(true, "class").filter(F.col("roc_auc").isNotNull())  # a row for each class
+
+    def under(value: str):
+        return F.try_divide(F.sum(F.col(value) * F.col("n")), F.sum("n"))
+
+    return both.agg(F.avg("average_precision").alias("macro_ap"), under("average_precision").alias("weighted_ap"), F.avg("roc_auc").alias("macro_roc"), under("roc_auc").alias("weighted_roc"))
+
+
+def uno_concordance(samples: DataFrame, survival: DataFrame, event: int) -> DataFrame:
+    """One row: concordance of the last incidence, each event weighted by the square of the inverse censoring survival at its bin.
+
+    As in ``concordance``, others are counted in the order of their incidence for
+    each bin that an event can have; bins are few, samples aren't paired.
+    """
+    last = F.element_at(f"cif_{event}", -1)
+    rows = samples.select("d", "y_bin", last.alias("f"))
+    weight = F.when(F.col("survival") > 0, 1 / F.pow("survival", 2))
+    anchors = rows.filter(F.col("d") == event).join(F.broadcast(survival.select("y_bin", weight.alias("w"))), "y_bin").filter(F.col("w").isNotNull())
+    anchors = anchors.groupBy(F.col("y_bin").alias("bin"), "f").agg(F.sum("w").alias("w"), F.lit(0).cast("long").alias("others"))
+    others = rows.filter("y_bin > 0").select(F.explode(F.sequence(F.lit(0), F.col("y_bin") - 1)).alias("bin"), "f")
+    others = others.groupBy("bin", "f").agg(F.lit(0.0).alias("w"), F.count("*").alias("others"))
+    both = others.unionByName(anchors).groupBy("bin", "f").agg(F.sum("w").alias("w"), F.sum("others").alias("others"))
+    ranked = running.running(both, ["bin"], ["f"], {"upto": F.col("others")}).filter("w > 0")
+    whole = others.groupBy("bin").agg(F.sum("others").alias("__all"))
+    found = ranked.join(F.broadcast(whole), "bin")
+    return found.agg(F.try_divide(F.sum(F.col("w") * (F.col("upto") - F.col("others") / 2.0)), F.sum(F.col("w") * F.col("__all"))).alias("concordance"))
+
+
+def calibration(samples: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, alive, mean_survival): of samples by their predicted survival at the last bin, how many are without an event."""
+    alive = F.least(F.greatest(1.0 - F.element_at("cif_1", -1) - F.element_at("cif_2", -1), F.lit(0.0)), F.lit(1.0))
+    rows = samples.select((F.col("d") == 0).cast("double").alias("y"), alive.alias("s")).withColumn("bucket", F.least(F.floor(F.col("s") * buckets), F.lit(buckets - 1)).cast("int"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("alive"), F.avg("s").alias("mean_survival"))
+
+
+def median_error(samples: DataFrame) -> DataFrame:
+    """(n, mae): over samples with an event, the bins between it and the first at which half of all events are due, or the end."""
+    due = F.size(F.filter(F.zip_with("cif_1", "cif_2", lambda a, b: a + b), lambda x: x < 0.5))
+    return samples.filter("d > 0").agg(F.count("*").alias("n"), F.avg(F.abs(due - F.col("y_bin"))).alias("mae"))
+
+
 def integrated(curve: DataFrame, at: str, value: str, end: float) -> DataFrame:
     """One row: the trapezoid of the curve from (0, 0), over the end."""
     before = Window.orderBy(at)  # a row for each bin
@@ -221,18 +276,19 @@ def censoring_diagnostics(samples: DataFrame) -> DataFrame:
     return rows.groupBy("censored").agg(F.count("*").alias("n"), F.avg("s").alias("mean_survival"), F.avg((F.col("s") > 0.5).cast("double")).alias("share_over_half"))
 
 
-def permuted(rows: DataFrame, column: str, key: str, seed: int, chunks: int = 64) -> DataFrame:
-    """``rows`` with one column's values dealt anew among the rows of each of ``chunks`` hash chunks, for permutation importance."""
-    keyed = rows.withColumn("__c", F.pmod(F.xxhash64(key), F.lit(chunks)))
-    own = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__c").orderBy(F.xxhash64(key), key)))
-    other = keyed.select("__c", F.col(column).alias("__v"), F.row_number().over(Window.partitionBy("__c").orderBy(F.xxhash64(F.lit(seed), key), key)).alias("__n"))
-    return own.join(other, ["__c", "__n"]).withColumn(column, F.col("__v")).drop("__c", "__n", "__v")
+def permuted(rows: DataFrame, column: str, key: str, seed: int) -> DataFrame:
+    """``rows`` with one column's values dealt anew among all of them, by a seeded hash of a unique key."""
+    text = F.col(key).cast("string")
+    own = running.numbered(rows.withColumn("__h", F.md5(text.cast("binary"))), [], ["__h", key], "__n").drop("__h", column)
+    dealt = rows.select(F.col(column), F.col(key).alias("__k"), F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary")).alias("__h"))
+    other = running.numbered(dealt, [], ["__h", "__k"], "__n").drop("__h", "__k")
+    return own.join(other, "__n").drop("__n")
 
 
 def validation_metrics(samples: DataFrame, event: int, bins: int, groups: list[str]) -> DataFrame:
     """One row for an event: concordance, integrated Brier score, PR and ROC areas, and the number of its events."""
     curve = brier(samples, event).withColumn("at", F.col("bin") + 1.0)
-    final = samples.select(F.element_at(f"cif_{event}", -1).alias("score"), (F.col("d") == event).cast("int").alias("positive"))
+    final = samples.select(F.round(F.element_at(f"cif_{event}", -1), 9).alias("score"), (F.col("d") == event).cast("int").alias("positive"))
     parts = (concordance(samples, event, groups).select("concordance"), integrated(curve, "at", "brier", float(bins)), precision_recall(final, "score", "positive").select("pr_auc"), roc(final, "score", "positive"))
     out = samples.agg(F.count_if(F.col("d") == event).alias("events")).withColumn("event", F.lit(event))
     for part in parts:  # one row each

@@ -1,4 +1,4 @@
-"""Replays over messages made from the driver's events. No SQL expresses them; tests hold them to golden cases."""
+"""Replays over messages made from the driver's events. Where SQL doesn't express one, tests hold it to golden cases and to a second implementation."""
 
 from __future__ import annotations
 
@@ -35,12 +35,24 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: What the books of ``messages`` hold at each price after each message: a modification leaves 3 of an order of 6.
+_BOOKS = """mg AS (SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_event, event_id // 4 AS run, CASE WHEN event_id % 4 < 2 THEN event_id ELSE event_id - 2 END AS order_id FROM events),
+ md AS (SELECT seq, ts_event, CAST(run % 5 AS INTEGER) AS instrument_id, CAST((run // 5) % 2 AS INTEGER) AS publisher_id, CASE WHEN (run // 10) % 2 = 0 THEN 'B' ELSE 'A' END AS side,
+ CASE WHEN (run // 10) % 2 = 0 THEN 9999 - (order_id * 7 // 4) % 9 ELSE 10001 + (order_id * 7 // 4) % 9 END AS price, CASE WHEN seq % 4 < 2 THEN 5 + order_id % 4 WHEN seq % 4 = 2 THEN -(5 + order_id % 4) ELSE -3 END AS delta FROM mg),
+ lv AS (SELECT DISTINCT instrument_id, publisher_id, side AS lside, price AS lprice FROM md),
+ bk AS (SELECT seq, ts_event, instrument_id, publisher_id, lside, lprice, sum(CASE WHEN side = lside AND price = lprice THEN delta ELSE 0 END) OVER (PARTITION BY instrument_id, publisher_id, lside, lprice ORDER BY ts_event, seq) AS size FROM md JOIN lv USING (instrument_id, publisher_id)),
+ qt AS (SELECT instrument_id, publisher_id, seq, ts_event, max(lprice) FILTER (lside = 'B' AND size > 0) AS bid_px, CAST(arg_max(size, lprice) FILTER (lside = 'B' AND size > 0) AS BIGINT) AS bid_sz, min(lprice) FILTER (lside = 'A' AND size > 0) AS ask_px,
+ CAST(arg_min(size, lprice) FILTER (lside = 'A' AND size > 0) AS BIGINT) AS ask_sz FROM bk GROUP BY instrument_id, publisher_id, seq, ts_event)"""
+
+
+@query(f"WITH {_BOOKS} SELECT *, NULL::VARCHAR AS error FROM qt")
 def book_replay_fifo(spark, sf_dir):
     return replay.quotes(messages(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_BOOKS}, la AS (SELECT instrument_id, publisher_id, arg_max(bid_px, seq) AS bp, arg_max(bid_sz, seq) AS bs, arg_max(ask_px, seq) AS ap, arg_max(ask_sz, seq) AS az FROM qt GROUP BY ALL),
+ be AS (SELECT instrument_id, max(bp) AS bid, min(ap) AS ask FROM la GROUP BY instrument_id)
+ SELECT instrument_id, bid, ask, CAST(sum(bs) FILTER (bp = bid) AS BIGINT) AS bid_size, CAST(sum(az) FILTER (ap = ask) AS BIGINT) AS ask_size FROM la JOIN be USING (instrument_id) GROUP BY instrument_id, bid, ask""")
 def aggregated_last_quotes(spark, sf_dir):
     return replay.aggregated_quotes(replay.quotes(messages(spark, sf_dir)))
 

@@ -245,24 +245,111 @@ def censoring_diagnostics(spark, sf_dir):
     return out.select("censored", "n", rounded("mean_survival").alias("mean_survival"), rounded("share_over_half").alias("share_over_half"))
 
 
-@query()
-def validation_bundle(spark, sf_dir):
+_BOTH = f"""{_PMF}, ca AS (SELECT sample, event, order_id, update_idx, y_bin, d, list(cif ORDER BY bin) AS c FROM cf GROUP BY ALL),
+ pr AS (SELECT i.event, i.order_id, i.c[i.y_bin + 1] AS f_i, j.c[i.y_bin + 1] AS f_j FROM ca i JOIN ca j ON i.event = j.event AND i.update_idx = j.update_idx AND i.d = i.event AND j.y_bin > i.y_bin AND i.order_id <> j.order_id),
+ cc AS (SELECT event, avg(CASE WHEN f_i > f_j THEN 1.0 WHEN f_i = f_j THEN 0.5 ELSE 0.0 END) AS concordance FROM pr GROUP BY event),
+ bb AS (SELECT event, bin, avg(pow(CASE WHEN d = event AND y_bin <= bin THEN 1.0 ELSE 0.0 END - cif, 2)) AS brier FROM cf GROUP BY event, bin),
+ ib AS (SELECT event, sum((brier + b0) / 2) / {T} AS ibs FROM (SELECT event, brier, coalesce(lag(brier) OVER (PARTITION BY event ORDER BY bin), 0) AS b0 FROM bb) GROUP BY event),
+ sc AS (SELECT event AS class, round(cif, 9) AS score, CASE WHEN d = event THEN 1 ELSE 0 END AS positive FROM cf WHERE bin = {T - 1}), {_RANK.format('class,', 'PARTITION BY class')},
+ ar AS (SELECT class AS event, sum(dr * (pc + pc0) / 2) AS pr_auc, sum(df * (r + r0) / 2) AS roc_auc FROM st GROUP BY class), ev AS (SELECT d AS event, count(*) AS events FROM v_pred WHERE d > 0 GROUP BY d),
+ vb AS (SELECT ev.event, events, concordance, ibs, pr_auc, roc_auc FROM ev JOIN cc USING (event) JOIN ib USING (event) JOIN ar USING (event))"""
+_METRICS = ("concordance", "ibs", "pr_auc", "roc_auc")
+
+
+def _bundle(spark, sf_dir):
     rows = _cifs(spark, sf_dir)
     return survival.validation_metrics(rows, 1, T, ["update_idx"]).unionByName(survival.validation_metrics(rows, 2, T, ["update_idx"]))
 
 
-@query()
+@query(f"WITH {_BOTH} SELECT event, events, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM vb")
+def validation_bundle(spark, sf_dir):
+    return _bundle(spark, sf_dir).select("event", "events", *(rounded(m).alias(m) for m in _METRICS))
+
+
+@query(f"WITH {_BOTH} SELECT round(avg(concordance), 6) AS macro, round(sum(concordance * events) / sum(events), 6) AS weighted FROM vb")
+def ctd_combined(spark, sf_dir):
+    out = survival.weighted_over_events(_bundle(spark, sf_dir), "concordance")
+    return out.select(rounded("macro").alias("macro"), rounded("weighted").alias("weighted"))
+
+
+@query(f"""WITH {_CLASSES}, {_RANK.format('class,', 'PARTITION BY class')}, m AS (SELECT class, sum(dr * pc) AS ap, sum(df * (r + r0) / 2) AS roc FROM st GROUP BY class), w AS (SELECT d AS class, count(*) AS n FROM v_pred GROUP BY d)
+ SELECT round(avg(ap), 6) AS macro_ap, round(sum(ap * n) / sum(n), 6) AS weighted_ap, round(avg(roc), 6) AS macro_roc, round(sum(roc * n) / sum(n), 6) AS weighted_roc FROM m JOIN w USING (class)""")
+def ovr_means(spark, sf_dir):
+    rows = _cifs(spark, sf_dir)
+    scores = survival.class_scores(rows).withColumn("score", F.round("score", 9))
+    out = survival.one_versus_rest(scores)
+    return out.select(*(rounded(c).alias(c) for c in out.columns))
+
+
+_WEIGHT = "(1.0 + sample % 3)"
+
+
+@query(f"""WITH {_PMF} SELECT bin, round(sum({_WEIGHT} * pow(CASE WHEN d = 1 AND y_bin <= bin THEN 1.0 ELSE 0.0 END - cif, 2)) / sum({_WEIGHT}), 6) AS brier FROM cf WHERE event = 1 GROUP BY bin""")
+def weighted_brier(spark, sf_dir):
+    rows = _cifs(spark, sf_dir).withColumn("w", 1.0 + F.col("sample") % 3)
+    return survival.brier(rows, 1, "w").select("bin", rounded("brier").alias("brier"))
+
+
+@query(f"""WITH g AS (SELECT CAST(unnest(range(0, {T})) AS INTEGER) AS bin), y AS (SELECT bin, order_id % 2 = 0 AS train, {_WEIGHT} AS w, CASE WHEN d = 1 AND y_bin <= bin THEN 1.0 ELSE 0.0 END AS y FROM v_pred, g),
+ c AS (SELECT bin, sum(w * y) / sum(w) AS incidence FROM y WHERE train GROUP BY bin) SELECT bin, round(incidence, 6) AS incidence, round(sum(w * pow(y - incidence, 2)) / sum(w), 6) AS brier FROM y JOIN c USING (bin) WHERE NOT train GROUP BY bin, incidence""")
+def weighted_uninformed_brier(spark, sf_dir):
+    rows = adapters.predictions(spark, sf_dir).withColumn("w", 1.0 + F.col("sample") % 3)
+    out = survival.uninformed_brier(rows.filter("order_id % 2 <> 0"), rows.filter("order_id % 2 = 0"), 1, T, "w")
+    return out.select("bin", rounded("incidence").alias("incidence"), rounded("brier").alias("brier"))
+
+
+@query(f"WITH {_BRIER} SELECT round(sum((brier + b0) / 2) / {T - 1}, 6) AS ibs FROM (SELECT bin, brier, lag(brier) OVER (ORDER BY bin) AS b0 FROM br) WHERE b0 IS NOT NULL")
+def ibs_static(spark, sf_dir):
+    return survival.integrated_span(survival.brier(_cifs(spark, sf_dir), 1), "bin", "brier").select(rounded("ibs").alias("ibs"))
+
+
+@query(f"WITH {_PAIRS.replace('i.update_idx = j.update_idx AND ', '')}, s AS (SELECT i, sum(exp(-(f_i - f_j) / 0.5)) AS loss FROM pr GROUP BY i) SELECT round(avg(m), 4) AS loss FROM (SELECT avg(coalesce(loss, 0)) AS m FROM c1 LEFT JOIN s ON s.i = c1.sample GROUP BY order_id)")
+def rank_loss_static(spark, sf_dir):
+    """All samples are comparable, whatever their update."""
+    return survival.rank_loss(_cifs(spark, sf_dir).withColumn("whole", F.lit(0)), 2, 0.5, ["whole"]).select(rounded("loss", 4).alias("loss"))
+
+
+@query(f"WITH {_PAIRS.replace('i.update_idx = j.update_idx AND ', '')} SELECT round(avg(CASE WHEN f_i > f_j THEN 1.0 WHEN f_i = f_j THEN 0.5 ELSE 0.0 END), 6) AS concordance, count(*) AS pairs FROM pr")
+def ctd_static(spark, sf_dir):
+    return survival.concordance(_cifs(spark, sf_dir).withColumn("whole", F.lit(0)), 2, ["whole"]).select(rounded("concordance").alias("concordance"), "pairs")
+
+
+@query(f"""WITH {_PMF}, {_KM}, a AS (SELECT sample, y_bin, d, list(cif ORDER BY bin) AS c FROM cf WHERE event = 1 GROUP BY ALL), w AS (SELECT a.*, 1 / pow(survival, 2) AS w FROM a JOIN km USING (y_bin) WHERE d = 1 AND survival > 0),
+ p AS (SELECT w.w, w.c[{T}] AS f_i, a.c[{T}] AS f_j FROM w JOIN a ON a.y_bin > w.y_bin) SELECT round(sum(w * CASE WHEN f_i > f_j THEN 1.0 WHEN f_i = f_j THEN 0.5 ELSE 0.0 END) / sum(w), 6) AS concordance FROM p""")
+def uno_concordance(spark, sf_dir):
+    rows = _cifs(spark, sf_dir)
+    return survival.uno_concordance(rows, survival.censoring_survival(rows), 1).select(rounded("concordance").alias("concordance"))
+
+
+@query(f"""WITH {_ENDS}, s AS (SELECT least(greatest(1 - c1 - c2, 0), 1) AS s, d FROM fc) SELECT CAST(least(floor(s * 5), 4) AS INTEGER) AS bucket, count(*) AS n, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 6) AS alive, round(avg(s), 6) AS mean_survival FROM s GROUP BY 1""")
+def d_calibration(spark, sf_dir):
+    out = survival.calibration(_cifs(spark, sf_dir), 5)
+    return out.select("bucket", "n", rounded("alive").alias("alive"), rounded("mean_survival").alias("mean_survival"))
+
+
+@query(f"""WITH {_PMF}, m AS (SELECT sample, any_value(y_bin) AS y_bin, any_value(d) AS d, least(sum(CASE WHEN all_cif < 0.5 THEN 1 ELSE 0 END), {T}) AS med FROM (SELECT sample, y_bin, d, bin, sum(cif) AS all_cif FROM cf GROUP BY ALL) GROUP BY sample)
+ SELECT count(*) AS n, round(avg(abs(med - y_bin)), 6) AS mae FROM m WHERE d > 0""")
+def median_absolute_error(spark, sf_dir):
+    return survival.median_error(_cifs(spark, sf_dir)).select("n", rounded("mae").alias("mae"))
+
+
+_SHUFFLED = "sh AS (SELECT a.sample, a.positive, b.score FROM (SELECT sample, positive, row_number() OVER (ORDER BY md5(sample::VARCHAR), sample) AS n FROM s0) a JOIN (SELECT score, row_number() OVER (ORDER BY md5('7:' || sample), sample) AS n FROM s0) b USING (n))"
+
+
+@query(f"""WITH {_FINAL.replace('sc AS', 's0 AS')}, {_SHUFFLED}, sc AS (SELECT 0 AS class, score, positive FROM s0 UNION ALL SELECT 1, score, positive FROM sh), {_RANK.format('class,', 'PARTITION BY class')}, r AS (SELECT class, sum(df * (r + r0) / 2) AS a FROM st GROUP BY class)
+ SELECT 'cif_2' AS feature, round(max(a) FILTER (class = 0) - max(a) FILTER (class = 1), 6) AS importance FROM r""")
 def permutation_importance(spark, sf_dir):
     """The drop of the toxic ROC area when its scores are dealt anew."""
-    scores = _cifs(spark, sf_dir).select("sample", F.element_at("cif_2", -1).alias("score"), (F.col("d") == 2).cast("int").alias("positive"))
+    scores = _cifs(spark, sf_dir).select("sample", F.round(F.element_at("cif_2", -1), 9).alias("score"), (F.col("d") == 2).cast("int").alias("positive"))
     base = survival.roc(scores, "score", "positive").withColumnRenamed("roc_auc", "base")
     mixed = survival.roc(survival.permuted(scores, "score", "sample", 7), "score", "positive").withColumnRenamed("roc_auc", "mixed")
-    return base.crossJoin(F.broadcast(mixed)).select(F.lit("cif_2").alias("feature"), (F.col("base") - F.col("mixed")).alias("importance"))
+    return base.crossJoin(F.broadcast(mixed)).select(F.lit("cif_2").alias("feature"), rounded(F.col("base") - F.col("mixed")).alias("importance"))
 
 
-@query()
+@query(f"""WITH {_WIN}, z AS (SELECT order_id, sum(x) * 0.01 AS z FROM win GROUP BY order_id), e AS (SELECT order_id, j, exp(z * (j % 3) - z * 2) AS e FROM z, (SELECT unnest(range(0, {2 * T})) AS j))
+ SELECT order_id, round(sum(e) FILTER (j >= {T}) / sum(e), 6) AS toxic FROM e GROUP BY order_id""")
 def model_scoring_hook(spark, sf_dir):
     """Windows scored by a model in Arrow batches, then turned into incidences."""
     windows = _windows(spark, sf_dir).withColumn("flat", F.flatten("window"))
     scored = backtest.score_with(windows, lambda rows: [[sum(r) * 0.01 * (k % 3) for k in range(2 * T)] for r in rows], "flat", T)
-    return survival.with_cifs(scored, T).select("order_id", F.element_at("cif_2", -1).alias("toxic"))
+    return survival.with_cifs(scored, T).select("order_id", rounded(F.element_at("cif_2", -1)).alias("toxic"))
