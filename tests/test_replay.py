@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,150 @@ def test_tracked_orders_fill_when_all_that_was_ahead_is_gone(spark):
     assert rows["A"].entry_time == 105 and rows["A"].post_trade[0][2] == 13
 
 
+def random_feed(seed, n=400):
+    """Books of two publishers that fill and empty again and again."""
+    draw, rows, t, order = random.Random(seed), [], 0, 0
+    held = {1: {}, 2: {}}
+    emptying = {1: False, 2: False}
+    for k in range(n):
+        t += draw.randint(0, 3) * 1_000_000
+        p = draw.choice((1, 2))
+        mine = held[p]
+        emptying[p] = bool(mine) if draw.random() < 0.15 else emptying[p] and bool(mine)
+        if mine and (emptying[p] or draw.random() < 0.4):
+            o = draw.choice(sorted(mine))
+            side, price, size = mine[o]
+            if draw.random() < 0.25 and not emptying[p]:
+                new = draw.randint(1, 9)
+                rows.append((k, t, 1, p, o, "M", side, price, new, 0))
+                mine[o] = side, price, new
+            else:
+                gone = size if emptying[p] or draw.random() < 0.6 else draw.randint(1, size)
+                rows.append((k, t, 1, p, o, "C", side, price, gone, 0))
+                mine[o] = side, price, size - gone
+                if gone == size:
+                    del mine[o]
+        else:
+            order += 1
+            side = draw.choice("BA")
+            mine[order] = side, 100 + (-1 if side == "B" else 1) * draw.randint(1, 4), draw.randint(1, 9)
+            rows.append((k, t, 1, p, order, "A", *mine[order], 0))
+    return rows, t
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chunks_change_no_result(spark, seed):
+    rows, end = random_feed(seed)
+    feed = spark.createDataFrame(rows, MESSAGES).repartition(3)
+    draw = random.Random(seed)
+    due = spark.createDataFrame([(1, p, draw.randint(0, end)) for p in (1, 2) for _ in range(30)], "instrument_id int, publisher_id int, ts_event long")
+    settings = dict(horizon_ns=20_000_000, windows=(1, 5))
+    whole = sorted(map(str, replay.track(feed, due, **settings).collect()))
+    chunked, starts = replay.chunked(feed, 25)
+    assert starts.count() > 6 and chunked.count() == len(rows)
+    first = chunked.groupBy("publisher_id", "chunk").agg(F.min_by("action", F.struct("ts_event", "seq")).alias("a")).collect()
+    assert {r.a for r in first} == {"A"}
+    for each in (25, 70):
+        assert sorted(map(str, replay.track(feed, due, rows_each=each, **settings).collect())) == whole
+    assert len({r.split("status_reason=")[1].split(",")[0] for r in whole}) == 3
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_chunks_change_no_backtest(spark, seed):
+    rows, end = random_feed(seed)
+    feed = spark.createDataFrame(rows, MESSAGES).repartition(3)
+    draw = random.Random(seed)
+    orders = []
+    for k in range(80):
+        t = draw.randint(0, end)
+        orders.append((1, draw.choice((1, 2)), 1000 + k, t, draw.choice("BA"), 100 + draw.randint(-3, 3), t + draw.randint(0, 30) * 1_000_000, t + draw.randint(0, 20) * 1_000_000 if k % 3 else None))
+    frame_of = spark.createDataFrame(orders, "instrument_id int, publisher_id int, order_id long, entry_time long, side string, price long, deadline long, cancel_time long")
+    settings = dict(latency_ns=1_500_000, windows=(1, 4), patience_ns=5_000_000)
+    whole = sorted(map(str, replay.backtest(feed, frame_of, **settings).collect()))
+    assert len(whole) == 80 and len({r.split("status_reason=")[1].split(",")[0] for r in whole}) >= 4
+    for each in (25, 60):
+        assert sorted(map(str, replay.backtest(feed, frame_of, rows_each=each, **settings).collect())) == whole
+
+
+def test_a_policy_submits_skips_and_cancels_by_features(spark):
+    feed = frame(spark, ROWS)
+    books = replay.snapshots(feed, 2)
+    orders = spark.createDataFrame(
+        [(1, 1, 70, 90, "B", 9, 400), (1, 1, 71, 102, "B", 9, 400), (1, 1, 72, 125, "B", 9, 400), (1, 1, 73, 142, "B", 9, 400)],
+        "instrument_id int, publisher_id int, order_id long, entry_time long, side string, price long, deadline long",
+    )
+    size = {"bid_size": book_size("bids")}
+    got = {r.order_id: r for r in replay.policy_backtest(feed, orders, books, size, F.col("bid_size") >= 5, F.col("bid_size") > 2, latency_ns=3).collect()}
+    assert (got[70].status_reason, got[70].reason) == ("SKIPPED", "no_features")  # before the first snapshot
+    assert got[71].status_reason == "CANCELED" and got[71].end_time == 123 and got[71].submit_time == 105  # 2 rest at 120
+    assert (got[72].status_reason, got[72].reason) == ("SKIPPED", "policy") and got[73].reason == "policy"
+    held = replay.policy_backtest(feed, orders, books, size, F.lit(True), F.lit(True), latency_ns=3, stride=2, most=1)
+    assert {(r.status_reason, r.reason): r.orders for r in replay.counters(held).collect()} == {("SKIPPED", "no_features"): 1, ("CENSORED_END", "submit"): 3}
+    labelled = orders.withColumn("known", F.when(F.col("order_id") == 70, F.struct(F.lit(9.0).alias("bid_size"))))
+    seen = {r.order_id: (r.source, r.bid_size) for r in replay.observed(labelled, books, size, label="known").collect()}
+    assert seen == {70: ("label", 9.0), 71: ("live", 5.0), 72: ("live", 2.0), 73: ("live", 2.0)}
+
+
+def book_size(side):
+    return F.aggregate(F.map_values(side), F.lit(0.0), lambda a, x: a + x)
+
+
+def test_resting_follows_every_order(spark):
+    rows, _ = random_feed(5)
+    books, want = {1: Book(), 2: Book()}, {}
+    for k, t, _, p, o, a, s, price, size, flags in rows:
+        books[p].apply(a, s, price, size, o, flags)
+        want[k] = sum(sum(x.values()) for side in books[p].sides.values() for x in side.values())
+    assert {r.seq: r.resting for r in replay.resting(spark.createDataFrame(rows, MESSAGES)).collect()} == want
+
+
+def test_sessions_end_open_orders_and_place_pending_ones(spark):
+    from datetime import date, time
+
+    day = date(2025, 3, 3)
+    base, close = schedule.nanoseconds(day, time(15, 59)), schedule.nanoseconds(day, time(16))
+    feed = frame(spark, [(base + t, *x) for t, *x in ROWS] + [(close + 10**9, "C", "B", 10, 2, 3)])
+    due = spark.createDataFrame([(1, 1, base + 105), (1, 1, base + 10**9)], "instrument_id int, publisher_id int, ts_event long")
+    got = {(r.entry_time - base, r.side): r for r in replay.track(feed, due, horizon_ns=10**15, windows=(60_000,), sessions=True).collect()}
+    assert got[105, "B"].status_reason == "CENSORED_END" and got[105, "B"].end_time == close
+    assert got[105, "A"].status_reason == "FILLED" and got[105, "A"].post_trade == []
+    assert got[10**9, "B"].status_reason == "CENSORED_END" and got[10**9, "B"].end_time == close and len(got) == 4
+    open_end = {(r.entry_time - base, r.side): r for r in replay.track(feed, due, horizon_ns=10**15, windows=(60_000,)).collect()}
+    assert open_end[105, "B"].status_reason == "FILLED" and open_end[105, "B"].end_time == close + 10**9
+    assert schedule.session_end(date(2025, 11, 28)) == schedule.nanoseconds(date(2025, 11, 28), time(13))
+    late = spark.createDataFrame([(schedule.nanoseconds(date(2025, 11, 28), time(11)),), (close + 5,)], "t long").select(schedule.next_session_end(F.col("t"))).collect()
+    assert [r[0] for r in late] == [schedule.session_end(date(2025, 11, 28)), schedule.session_end(date(2025, 3, 4))]
+
+
+def test_orders_carry_their_own_queue_through_the_snapshots(spark):
+    feed = frame(spark, ROWS)
+    due = spark.createDataFrame([(1, 1, 105)], "instrument_id int, publisher_id int, ts_event long")
+    books = replay.snapshots(feed, 2)
+    assert [(r.number, r.ts_event) for r in books.orderBy("number").collect()] == [(1, 101), (2, 120), (3, 141)]
+    tracked = replay.track(feed, due, horizon_ns=1000, windows=(0,), every=2)
+    rows = {r.side: r for r in tracked.collect()}
+    # the snapshot of a message is taken before the message reaches the queue
+    assert rows["B"].history == [1, 1] and rows["B"].steps == [[2, 7], [3, 2]] and rows["A"].steps == [[2, 5]]
+    got = {r.side: r for r in replay.order_sequences(tracked, books, "raw_top5", tick=1).collect()}
+    assert len(got["B"].book_sequence) == 3 and len(got["B"].order_sequence[0]) == 12
+    assert [round(math.expm1(x[-1])) for x in got["B"].order_sequence] == [7, 7, 2]
+    assert [x[10] for x in got["B"].order_sequence] == [0.0, math.log1p(19 / 1e6), math.log1p(21 / 1e6)]
+    assert got["A"].book_sequence[1][:4] == [12.0, 5.0, 10.0, 2.0]
+
+
+def test_schedule_values_are_fixed():
+    """Uniform floats cut to whole nanoseconds, drawn by a seed of the day."""
+    import hashlib
+    from datetime import date
+
+    day = date(2025, 3, 3)
+    start, end = schedule.nanoseconds(day, schedule.OPEN), schedule.nanoseconds(day, schedule.LAST_ENTRY)
+    seed = int.from_bytes(hashlib.sha256(f"4718|2025-03-03|{start}|{end}|9".encode()).digest()[:8], "big")
+    draw = random.Random(seed)
+    assert schedule.entry_times(day, 9) == sorted(int(draw.uniform(start, end)) for _ in range(5))
+    assert schedule.in_chunk_times([1, 5, 9], 2, 9) == [5]
+
+
 def test_the_horizon_censors_only_what_lasts_longer(spark):
     due = spark.createDataFrame([(1, 1, 105)], "instrument_id int, publisher_id int, ts_event long")
     one = {r.side: r for r in replay.track(frame(spark, ROWS), due, horizon_ns=45, windows=(0,)).collect()}

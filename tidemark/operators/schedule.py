@@ -30,6 +30,11 @@ def entry_times(day: date, samples: int, seed: int = 4718) -> list[int]:
     return sorted(int(draw.uniform(start, end)) for _ in range(n))
 
 
+def local_day(ts_ns: Column) -> Column:
+    """The exchange's day of a time in nanoseconds since the epoch (UTC)."""
+    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.floor(ts_ns / 1000)), NEW_YORK))
+
+
 def in_session(ts_ns: Column) -> Column:
     """Whether a time in nanoseconds since the epoch (UTC) is within the session."""
     local = F.from_utc_timestamp(F.timestamp_micros(F.floor(ts_ns / 1000)), NEW_YORK)
