@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, packing, pii, shingles, toxicity
-from tidemark.storage import read, stage
+from tidemark.storage import discard, read, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,7 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (name, function) in enumerate(STAGES, 1):
-        docs = function(spark, docs, sf_dir)
+        before, docs = docs, function(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = stage(docs, f"pipeline-{name}")
+            discard(before)  # nothing reads the stage before any more
     return docs

@@ -273,6 +273,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.sql("select * from quotes order by seq").collect() == batch
 
 
+def test_a_stream_goes_on_after_a_restart_with_the_books_that_it_had(spark, tmp_path):
+    from tidemark.streaming.books import stream_quotes
+
+    rows = frame(spark, ROWS)
+
+    def run():
+        stream = spark.readStream.schema(MESSAGES).parquet(str(tmp_path / "in"))
+        out = stream_quotes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    for part in ("seq < 3", "seq between 3 and 5", "seq > 5"):
+        rows.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
+        run()  # a new query each time, from the checkpoint of the one before
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect() == replay.quotes(rows).orderBy("seq").collect()
+
+
 def test_flow_in_event_time_windows(spark, tmp_path):
     from tidemark.streaming.books import windowed_flow
 

@@ -56,9 +56,9 @@ def _anchors(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
 
 
 def _own_pairs(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
-    """(i, f, g) of the pairs within an order, which don't count: of an order's few samples of the same group only."""
-    others = _each_bin(samples, event, groups).withColumnRenamed("f", "g")
-    return _anchors(samples, event, groups).join(others, [*groups, "order_id", "bin"]).select("i", "f", "g")
+    """(i, f, __g) of the pairs within an order, which don't count: of an order's few samples of the same group only."""
+    others = _each_bin(samples, event, groups).withColumnRenamed("f", "__g")
+    return _anchors(samples, event, groups).join(others, [*groups, "order_id", "bin"]).select("i", "f", "__g")
 
 
 def rank_loss(samples: DataFrame, event: int, sigma: float, groups: list[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def rank_loss(samples: DataFrame, event: int, sigma: float, groups: list[str]) -
     """
     lifted = F.sum(F.exp(F.col("f") / sigma)).alias("s")
     whole = _each_bin(samples, event, groups).groupBy(*groups, "bin").agg(lifted)
-    own = _own_pairs(samples, event, groups).groupBy("i").agg(F.sum(F.exp((F.col("g") - F.col("f")) / sigma)).alias("own"))
+    own = _own_pairs(samples, event, groups).groupBy("i").agg(F.sum(F.exp((F.col("__g") - F.col("f")) / sigma)).alias("own"))
     anchors = _anchors(samples, event, groups).join(F.broadcast(whole), [*groups, "bin"]).select("i", (F.exp(-F.col("f") / sigma) * F.col("s")).alias("all"))
     loss = anchors.join(own, "i", "left").select("i", (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("loss"))
     every = samples.select(F.col("sample").alias("i"), "order_id").join(loss, "i", "left").fillna(0.0, ["loss"])
@@ -92,7 +92,7 @@ def concordance(samples: DataFrame, event: int, groups: list[str]) -> DataFrame:
     right = F.col("anchors") * (F.col("upto") - F.col("others") + F.col("others") / 2.0)
     counted = found.agg(F.coalesce(F.sum(right), F.lit(0.0)).alias("right"), F.coalesce(F.sum(F.col("anchors") * F.col("__all")), F.lit(0)).alias("pairs"))
     own = _own_pairs(samples, event, groups).agg(
-        F.coalesce(F.sum(F.when(F.col("f") > F.col("g"), 1.0).when(F.col("f") == F.col("g"), 0.5).otherwise(0.0)), F.lit(0.0)).alias("own_right"), F.count("*").alias("own_pairs")
+        F.coalesce(F.sum(F.when(F.col("f") > F.col("__g"), 1.0).when(F.col("f") == F.col("__g"), 0.5).otherwise(0.0)), F.lit(0.0)).alias("own_right"), F.count("*").alias("own_pairs")
     )
     pairs = F.col("pairs") - F.col("own_pairs")
     return counted.crossJoin(F.broadcast(own)).select(F.try_divide(F.col("right") - F.col("own_right"), pairs).alias("concordance"), pairs.alias("pairs"))

@@ -57,17 +57,71 @@ def aggregated_last_quotes(spark, sf_dir):
     return replay.aggregated_quotes(replay.quotes(messages(spark, sf_dir)))
 
 
+@query(f"WITH {_BOOKS} SELECT seq, instrument_id, publisher_id, CAST(sum(delta) OVER (PARTITION BY instrument_id, publisher_id ORDER BY ts_event, seq) AS BIGINT) AS resting FROM md")
+def resting_of_orders(spark, sf_dir):
+    return replay.resting(messages(spark, sf_dir)).select("seq", "instrument_id", "publisher_id", "resting")
+
+
+def _due(spark, rows):
+    """The schedule of each day and book. Days are few."""
+    days = [r.day for r in rows.select(schedule.local_day(F.col("ts_event")).alias("day")).distinct().orderBy("day").collect()]
+    times = spark.createDataFrame([(t,) for day in days for t in schedule.entry_times(day, SAMPLES)], "ts_event long")
+    return rows.select("instrument_id", "publisher_id").distinct().crossJoin(F.broadcast(times))
+
+
 @query()
 def virtual_order_tracking(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    days = [r.day for r in rows.select(F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col("ts_event") / 1000)), schedule.NEW_YORK)).alias("day")).distinct().orderBy("day").collect()]
-    times = spark.createDataFrame([(t,) for day in days for t in schedule.entry_times(day, SAMPLES)], "ts_event long")
-    due = rows.select("instrument_id", "publisher_id").distinct().crossJoin(F.broadcast(times))
-    return replay.track(rows, due, horizon_ns=48 * 60 * _MINUTE, windows=(60_000, 600_000))
+    return replay.track(rows, _due(spark, rows), horizon_ns=48 * 60 * _MINUTE, windows=(60_000, 600_000))
+
+
+@query()
+def session_tracking(spark, sf_dir):
+    """Orders that end with their session at the latest."""
+    rows = messages(spark, sf_dir)
+    return replay.track(rows, _due(spark, rows), horizon_ns=48 * 60 * _MINUTE, windows=(60_000, 600_000), sessions=True)
+
+
+@query()
+def tracking_in_chunks(spark, sf_dir):
+    """The orders of ``virtual_order_tracking`` from a replay in chunks."""
+    rows = messages(spark, sf_dir)
+    return replay.track(rows, _due(spark, rows), horizon_ns=48 * 60 * _MINUTE, windows=(60_000, 600_000), rows_each=2_000)
+
+
+@query()
+def snapshot_books(spark, sf_dir):
+    return replay.snapshots(messages(spark, sf_dir), 15)
+
+
+@query()
+def order_feature_steps(spark, sf_dir):
+    """Feature rows of each order's history and life, a row for each step."""
+    rows = messages(spark, sf_dir)
+    tracked = replay.track(rows, _due(spark, rows), horizon_ns=6 * 60 * _MINUTE, windows=(60_000,), every=15, lookback=20)
+    full = replay.order_sequences(tracked, replay.snapshots(rows, 15), "raw_top5", tick=1)
+    return full.select("instrument_id", "publisher_id", "entry_time", "side", F.posexplode("order_sequence").alias("step", "features"))
+
+
+def _best_sizes():
+    b, a = F.col("bids"), F.col("asks")
+    return {"bid_size": F.try_element_at(b, F.array_max(F.map_keys(b))), "ask_size": F.try_element_at(a, F.array_min(F.map_keys(a)))}
+
+
+@query()
+def policy_backtest_outcomes(spark, sf_dir):
+    """Every added order under a policy: submitted if its side's best size is no less than the other, held while it is over half."""
+    rows = messages(spark, sf_dir)
+    same, other = (F.when(F.col("side") == "B", F.col(x)).otherwise(F.col(y)) for x, y in (("bid_size", "ask_size"), ("ask_size", "bid_size")))
+    done = replay.policy_backtest(rows, _orders(rows), replay.snapshots(rows, 15), _best_sizes(), same >= other, F.col("bid_size") * 2 > F.col("ask_size"), latency_ns=5_000_000, stride=4, windows=(60_000,), patience_ns=_MINUTE)
+    return replay.counters(done)
+
+
+def _orders(rows):
+    return rows.filter("action = 'A'").select("instrument_id", "publisher_id", "order_id", F.col("ts_event").alias("entry_time"), "side", "price", (F.col("ts_event") + 24 * 60 * _MINUTE).alias("deadline"))
 
 
 @query()
 def raw_backtest_latency(spark, sf_dir):
     rows = messages(spark, sf_dir)
-    orders = rows.filter("action = 'A'").select("instrument_id", "publisher_id", "order_id", F.col("ts_event").alias("entry_time"), "side", "price", (F.col("ts_event") + 24 * 60 * _MINUTE).alias("deadline"))
-    return replay.backtest(rows, orders, latency_ns=5_000_000)
+    return replay.backtest(rows, _orders(rows), latency_ns=5_000_000)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.running import numbered
-from tidemark.storage import stage
+from tidemark.storage import filesystem
 
 MESSAGES = T.StructType(
     [
@@ -60,9 +62,34 @@ def latency_of(path: Column) -> Column:
 
 
 def read_summaries(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """CSV summaries with the latency of their file; files without one are left out."""
-    rows = spark.read.schema(schema).csv(pattern, header=True)
-    return rows.withColumn("latency_ms", latency_of(F.input_file_name())).filter(F.col("latency_ms").isNotNull())
+    """CSV summaries with the latency of their file, which must be in its name."""
+    paths = [path for _, path in by_latency(spark, pattern)]
+    rows = spark.read.schema(schema).csv(paths, header=True)
+    return rows.withColumn("latency_ms", latency_of(F.input_file_name()))
+
+
+def by_latency(spark: SparkSession, pattern: str) -> list[tuple[float, str]]:
+    """(milliseconds, path) of the files of a pattern, sorted by the latency in their names; none, or a name without one, is an error."""
+    files, where = filesystem(spark, pattern)
+    paths = sorted(x.getPath().toString() for x in files.globStatus(where) or [])
+    if not paths:
+        raise FileNotFoundError(pattern)
+    found = []
+    for path in paths:
+        known = re.search(r"latency_([0-9]+(?:p[0-9]+)?)ms", path.rpartition("/")[2])
+        if not known:
+            raise ValueError(f"no latency in the name of {path}")
+        found.append((float(known[1].replace("p", ".")), path))
+    return sorted(found)
+
+
+def read_raw_results(spark: SparkSession, pattern: str) -> DataFrame:
+    """Raw results of each latency as one table, by column name, with ``latency_ms``."""
+    parts = [spark.read.parquet(path).withColumn("latency_ms", F.lit(ms)) for ms, path in by_latency(spark, pattern)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_configs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -84,7 +111,9 @@ def write_splits(rows: DataFrame, path: str, by: str = "dataset_split") -> None:
 
 
 def setting_key(threshold: Column, horizon: Column) -> Column:
-    return F.concat_ws("|", F.format_string("%.12g", threshold), horizon.cast("string"))
+    """Twelve digits of the threshold, without zeros at their end, and the horizon."""
+    digits = F.regexp_replace(F.format_string("%.12g", threshold), r"\.?0+(e[+-][0-9]+)?$", "$1")
+    return F.concat_ws("|", digits, horizon.cast("string"))
 
 
 def not_done(settings: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
@@ -143,3 +172,68 @@ def split_cache(spark: SparkSession, path: str, build) -> dict:
     made = build()
     spark.createDataFrame([(made["split_points"], made["messages_between_splits"], made["total_messages"])], schema).coalesce(1).write.mode("overwrite").json(path)
     return made
+
+
+def write_flushed(rows: DataFrame, path: str, rows_each: int = 100_000) -> None:
+    """Parquet files of at most ``rows_each`` rows, never over existing data."""
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", rows_each).parquet(path)
+
+
+def merge_chunks(spark: SparkSession, paths: Sequence[str], target: str) -> None:
+    """The chunks' files as one table, columns that some lack as null, in the order of the chunks; then the chunks go."""
+    parts = [spark.read.parquet(p).withColumn("chunk", F.lit(k)) for k, p in enumerate(paths)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    out.write.mode("errorifexists").partitionBy("chunk").parquet(target)
+    for path in paths:
+        files, where = filesystem(spark, path)
+        files.delete(where, True)
+
+
+def merge_counted(spark: SparkSession, paths: Sequence[str], target: str, by: str = "event_type") -> list[dict[int, int]]:
+    """Append files to one table one after the other; the counts of ``by`` in it after each of them."""
+    running: dict = {}
+    out = []
+    for path in paths:
+        rows = spark.read.parquet(path)
+        rows.write.mode("append").parquet(target)
+        for r in rows.groupBy(by).count().collect():  # a row for each kind
+            running[r[by]] = running.get(r[by], 0) + r["count"]
+        out.append(dict(running))
+    return out
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place and move it there at once: it is never half written."""
+    files, where = filesystem(spark, path)
+    _, beside = filesystem(spark, f"{path}.tmp")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    files.delete(where, False)
+    if not files.rename(beside, where):
+        raise OSError(f"can't move {beside.toString()} to {path}")
+
+
+def write_settings(results: DataFrame, path: str) -> None:
+    """A result row for each setting as CSV, at once: what ``not_done`` resumes from. Settings are few."""
+    frame = results.toPandas()
+    replace_file(results.sparkSession, path, frame.to_csv(index=False))
+
+
+def write_samples(parts: dict[str, DataFrame], path: str, metadata: dict) -> None:
+    """A folder for each part, and ``metadata.json`` with the numbers of their rows, written last: a folder without it isn't whole."""
+    spark, counts = next(iter(parts.values())).sparkSession, {}
+    for name, rows in parts.items():
+        rows.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/{name}")
+        counts[name] = spark.read.parquet(f"{path}/{name}").count()
+    replace_file(spark, f"{path}/metadata.json", json.dumps(metadata | {"rows": counts}, sort_keys=True))
+
+
+def write_report(results: DataFrame, summary: DataFrame, raw_path: str, summary_path: str) -> None:
+    """All results as Parquet and their summary, a few rows, as CSV."""
+    results.write.mode("overwrite").parquet(raw_path)
+    replace_file(results.sparkSession, summary_path, summary.toPandas().to_csv(index=False))

@@ -20,9 +20,11 @@ _staged: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; where none is named one is set, and removed when the driver ends."""
+    """The shared folder of this session; where none is named on one machine one is set, and removed when the driver ends. A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"{FALLBACK}/tidemark-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -40,9 +42,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path in it, through Spark: whatever store it is in."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = filesystem(spark, path)
+    files.delete(where, True)
     _staged.discard(path)
 
 
