@@ -73,6 +73,29 @@ def test_flushed_files_settings_reports_and_samples(spark, tmp_path):
     assert json.loads((tmp_path / "set" / "metadata.json").read_text()) == {"lookback": 5, "rows": {"train": 3, "val": 2}}
 
 
+def test_split_analysis_is_what_the_cache_keeps(spark):
+    from tidemark.operators import flow
+
+    rows = [(k, k * 10, 1, "A" if k % 4 == 0 else "C" if k % 4 == 2 else "T", 5) for k in range(16)]
+    ticks = spark.createDataFrame(rows, "seq long, ts_event long, instrument_id int, action string, size long")
+    got = flow.split_analysis(ticks, 3)
+    assert got == {"split_points": [60, 100], "messages_between_splits": [6, 4, 6], "total_messages": 16}
+    assert flow.split_analysis(ticks.limit(0), 3) == {"split_points": [], "messages_between_splits": [0], "total_messages": 0}
+
+
+def test_days_without_fills_label_nothing(spark):
+    from tidemark.functions.names import WINDOWS_MS, post_columns
+    from tidemark.operators import labels
+
+    base = "select id as order_id, date_add(date'2025-01-01', cast(id % 3 as int)) as day, if(id % 2 = 0, 'B', 'A') as side, 100L as price, 1.0D as duration_s, 99L as best_bid_at_entry, 101L as best_ask_at_entry, 99L as best_bid_at_execution, 101L as best_ask_at_execution"
+    posts = ", ".join(f"98L as `{c}`" for w in WINDOWS_MS for c in post_columns(w))
+    rows = spark.sql(f"{base}, {posts}, 98L as best_bid_at_post_trade, 100L as best_ask_at_post_trade, if(id < 9, 'FILLED', 'CENSORED_END') as status_reason from range(12)")
+    assert labels.label_calibrated(rows.withColumn("status_reason", F.lit("CENSORED_END"))).count() == 0
+    assert labels.label_calibrated(rows.filter("id is null" if "id" in rows.columns else "order_id < 0")).count() == 0
+    done = labels.label_calibrated(rows)
+    assert done.count() == 12 and {r.dataset_split for r in done.collect()} == {"train", "val", "test"}
+
+
 def test_names_and_grids():
     assert len(MICROSTRUCTURE) == 12 and OF_BOOK[-1] == "significant_ask_levels" and MICROSTRUCTURE[10:] == ("time_delta_ms", "queue_position")
     grid = latency_grid()

@@ -59,6 +59,39 @@ def first_cancel(decided: DataFrame, evaluations: DataFrame, hold: Column, by: s
     return out.withColumn("reference_end_idx", F.when(gone, F.col("__at"))).withColumn("decision_action", F.when(gone, "cancel").otherwise(F.col("decision_action"))).drop("__at")
 
 
+def lifecycle_diagnostics(decided: DataFrame, evaluations: DataFrame, hold: Column, by: str = "order_id", step: str = "end_idx") -> DataFrame:
+    """``first_cancel`` with what led to it: looks up to the cancel, or all of them, the last of these, and whether a skipped order was never looked at."""
+    marked = evaluations.select(by, step, (~hold).alias("__stop"))
+    first = marked.filter("__stop").groupBy(by).agg(F.min(step).alias("__until"))
+    seen = marked.join(first, by, "left").filter(F.col("__until").isNull() | (F.col(step) <= F.col("__until")))
+    counted = seen.groupBy(by).agg(F.count("*").alias("looks"), F.max(step).alias("last_look"))
+    out = first_cancel(decided, evaluations, hold, by, step).join(counted, by, "left")
+    skipped = F.col("decision_action") == "skip"
+    return out.withColumns({"looks": F.when(skipped, 0).otherwise(F.coalesce("looks", F.lit(0))), "last_look": F.when(~skipped, F.col("last_look"))})
+
+
+def run(orders: DataFrame, act: Column, window_ms: int, *, evaluations: DataFrame | None = None, hold: Column | None = None, later_bid: str, later_ask: str, calibration: DataFrame | None = None) -> DataFrame:
+    """All of a backtest on labelled orders: decide at entry, cancel at later looks, then the costs of every order.
+
+    calibration: fills, other than the orders, whose settled window is used in place of ``window_ms``.
+    """
+    from tidemark.operators import markout
+
+    decided = decide(orders, act)
+    if evaluations is not None and hold is not None:
+        decided = lifecycle_diagnostics(decided, evaluations, hold)
+    found = markout.analyze(calibration)[1] if calibration is not None else None
+    used = found or window_ms
+    return shortfall(decided, used, later_bid=later_bid, later_ask=later_ask).withColumn("selected_window_ms", F.lit(used))
+
+
+def strategies(orders: DataFrame, rules: dict[str, Column], window_ms: int, **quotes: str) -> DataFrame:
+    """The costs of all orders under each rule, with its name as ``strategy``: the orders are read once for all rules."""
+    names = F.array(*(F.struct(F.lit(n).alias("strategy"), F.coalesce(rule, F.lit(False)).alias("__act")) for n, rule in rules.items()))
+    each = orders.withColumn("__r", F.explode(names)).withColumns({"strategy": F.col("__r.strategy"), "__act": F.col("__r.__act")}).drop("__r")
+    return shortfall(decide(each, F.col("__act")).drop("__act"), window_ms, **quotes)
+
+
 def lifecycle_steps(steps: Column, first: Column, stride: int) -> Column:
     """Indices after the first at which an order is looked at again."""
     return F.when(steps - 1 >= first + stride, F.sequence(first + stride, steps - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))

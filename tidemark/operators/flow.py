@@ -120,3 +120,21 @@ def lookback(rows: DataFrame, length: int, value: str, by: list[str] = ["instrum
     """``rows`` with ``history``: their value and those of the rows before them, at most ``length``, the oldest first."""
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - length, 0)
     return rows.withColumn("history", F.collect_list(value).over(frame))
+
+
+def split_analysis(ticks: DataFrame, n: int, by: list[str] = ["instrument_id"]) -> dict:
+    """What ``sources.files.split_cache`` keeps: at most n - 1 of the points that leave a book empty, the messages between them, and all messages.
+
+    The points are chosen on the driver; the messages are counted where they are.
+    """
+    points = sorted(r["ts_event"] for r in empty_points(ticks, by).select("ts_event").distinct().collect())
+    counts = {r["segment"]: r["count"] for r in segments(ticks, points).groupBy("segment").count().collect()}
+    each = [counts.get(k, 0) for k in range(len(points) + 1)]
+    chosen = select_points(points, each, n)
+    return {"split_points": chosen, "messages_between_splits": [c for _, _, c in chunks(chosen, points, each)], "total_messages": sum(each)}
+
+
+def reaching(orders: DataFrame, messages: DataFrame, by: list[str], *, ahead: str = "ids_ahead", start: str = "entry_time", end: str = "end_time") -> DataFrame:
+    """Messages of the orders that are ahead of a virtual one, from after its start to its end; the join is on the order's id."""
+    each = orders.withColumn("order_id", F.explode(ahead)).drop(ahead)
+    return each.join(messages, [*by, "order_id"]).filter((F.col("ts_event") > F.col(start)) & (F.col("ts_event") <= F.col(end)))

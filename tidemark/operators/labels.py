@@ -41,6 +41,19 @@ def label(orders: DataFrame, window_ms: int | None) -> DataFrame:
     return out.withColumns({"event_type": event, "labeling_valid": valid})
 
 
+def label_calibrated(orders: DataFrame, select: markout.Selector = markout.settled_window, day: str = "day") -> DataFrame:
+    """``label`` with the window that the fills of the training days settle at, and dataset_split.
+
+    Where no window is found the single quotes after the trade are used; without
+    three days or without fills in the training days nothing is labelled: no rows.
+    """
+    split = split_days(orders, day_cuts(orders, day=day), day)
+    train = split.filter("dataset_split = 'train' AND status_reason = 'FILLED'")
+    if train.isEmpty():
+        return label(split, None).limit(0)
+    return label(split, markout.analyze(train, select)[1])
+
+
 def day_cuts(orders: DataFrame, train: float = 0.70, validation: float = 0.85, day: str = "day") -> DataFrame:
     """One row (train_last, validation_last): the days that the parts end with.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,10 @@ from tidemark.operators.running import quantiles
 from tidemark.storage import stage
 
 
+#: From the statistics of the windows to one row (selected_window_ms, long_run_mean): what users of their own rule write.
+Selector = Callable[[DataFrame], DataFrame]
+
+
 def side_sign(side: Column) -> Column:
     """1 for a buyer, -1 for a seller, else null."""
     return F.when(side == "B", 1).when(side == "A", -1)
@@ -64,3 +68,11 @@ def settled_window(stats: DataFrame, fraction: float = STABLE_FRACTION) -> DataF
     last = stats.agg(F.max_by("mean", "window_ms").alias("long_run_mean"))
     near = (F.abs("mean") >= F.abs("long_run_mean") * fraction) & (F.signum("mean") == F.signum("long_run_mean")) & (F.abs("long_run_mean") >= 1e-12)
     return stats.crossJoin(F.broadcast(last)).agg(F.min(F.when(near, F.col("window_ms"))).alias("selected_window_ms"), F.first("long_run_mean").alias("long_run_mean"))
+
+
+def analyze(orders: DataFrame, select: Selector = settled_window, *, winsorized: bool = True) -> tuple[DataFrame, int | None]:
+    """The statistics of the fills' markouts, staged, and the window that the selector picks from them; none without fills."""
+    long = markouts(orders.filter("status_reason = 'FILLED'"))
+    stats = stage(statistics(winsorize(long) if winsorized else long), "window-statistics")
+    chosen = select(stats).first()
+    return stats, chosen["selected_window_ms"] if chosen else None

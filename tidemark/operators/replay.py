@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import book
 from tidemark.functions.fifo import Book, Invalid, Queue
-from tidemark.functions.names import GRID_WINDOW, WINDOWS_MS
+from tidemark.functions.names import GRID_WINDOW, WINDOWS_MS, post_columns
 from tidemark.operators import asof, running, schedule
 from tidemark.storage import stage
 
@@ -318,6 +318,16 @@ def track(messages: DataFrame, due: DataFrame, *, horizon_ns: int, windows: tupl
     return _stream(both, TRACKED, lambda key: _Tracker(key, horizon_ns, windows, every, lookback))
 
 
+def serialized(tracked: DataFrame, base: int = 0) -> DataFrame:
+    """``tracked`` as the rows of a data file: a number for each order, one unit, and whether it was filled, with a column for the quotes of each window."""
+    numbered = running.numbered(tracked, [], [*_KEY, "entry_time", "side"], "order_id").withColumn("order_id", F.col("order_id") + base)
+    quotes = {}
+    for w in WINDOWS_MS:
+        found = F.get(F.filter("post_trade", lambda x, w=w: x[0] == w), F.lit(0))
+        quotes |= {name: found[k] for k, name in enumerate(post_columns(w), 1)}
+    return numbered.withColumns({"volume": F.lit(1), "event": (F.col("status_reason") == "FILLED").cast("int"), **quotes}).drop("post_trade")
+
+
 def order_sequences(tracked: DataFrame, books: DataFrame, form: str, *, tick: int, window: int = GRID_WINDOW) -> DataFrame:
     """``tracked`` with ``book_sequence`` and ``order_sequence``: rows of features of the snapshots before an order and while it is open.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import quantiles
+from tidemark.operators.running import numbered, quantiles
 
 
 def spaced(size: Column, most: int) -> Column:
@@ -235,3 +235,10 @@ def bin_seconds(rows: DataFrame, index: str, grid: list[float], clip: bool = Tru
     at = F.least(F.greatest(F.col(index), F.lit(0)), F.lit(len(grid) - 1)) if clip else F.col(index)
     seconds = F.array(*(F.lit(float(x)) for x in grid))
     return rows.withColumn("seconds", F.when(at >= 0, F.get(seconds, at.cast("int"))))
+
+
+def sample_orders(orders: DataFrame, fraction: float, seed: int, by: str = "order_id") -> DataFrame:
+    """Exactly the whole part of a fraction of the orders, one at least, drawn by a seeded hash of their unique id."""
+    text = F.concat(F.lit(f"{seed}:"), F.col(by).cast("string"))
+    ranked = numbered(orders.withColumn("__h", F.md5(text.cast("binary"))), [], ["__h", by], "__n")
+    return ranked.filter(F.col("__n") < max(1, int(orders.count() * fraction))).drop("__h", "__n")

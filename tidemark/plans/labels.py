@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import WINDOWS_MS, post_columns
 from tidemark.operators import labels, markout
+from tidemark.operators.running import quantiles
 from tidemark.plans import adapters
 from tidemark.plans.registry import query, rounded
+from tidemark.sources import files
 from tidemark.storage import read
 
 _DROP = " AND ".join(f'"{c}" IS NOT NULL' for w in WINDOWS_MS for c in post_columns(w))
@@ -34,7 +36,8 @@ def _rounded_stats(stats: DataFrame) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity < 24")
 def scan_project_filter(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")) & (F.col("l_quantity") < 24))
+    wanted = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate", "l_quantity", "not_there"]
+    lines = files.read_columns(spark, f"{sf_dir}/lineitem.parquet", wanted).filter((F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")) & (F.col("l_quantity") < 24))
     return lines.select("l_orderkey", "l_linenumber", rounded(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("revenue"))
 
 
@@ -47,6 +50,16 @@ def union_by_name(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation")
+def files_by_name(spark, sf_dir):
+    return files.read_union(spark, [f"{sf_dir}/{t}.parquet" for t in ("region", "nation")])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 700 OFFSET 150")
+def orders_slice(spark, sf_dir):
+    return files.row_slice(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", offset=150, limit=700)
+
+
 @query("SELECT status_reason, count(*) AS rows, round(count(*) * 1.0 / sum(count(*)) OVER (), 8) AS share FROM v_orders GROUP BY status_reason")
 def event_distribution(spark, sf_dir):
     counts = adapters.orders(spark, sf_dir).groupBy("status_reason").agg(F.count("*").alias("rows"))
@@ -57,17 +70,19 @@ def event_distribution(spark, sf_dir):
 @query("""SELECT count(*) AS n, round(avg(duration_s), 6) AS mean, round(stddev_samp(duration_s), 6) AS std, min(duration_s) AS low, max(duration_s) AS high,
  round(quantile_cont(duration_s, 0.25), 6) AS p25, round(quantile_cont(duration_s, 0.5), 6) AS p50, round(quantile_cont(duration_s, 0.75), 6) AS p75, round(quantile_cont(duration_s, 0.99), 6) AS p99 FROM v_orders""")
 def duration_describe(spark, sf_dir):
-    d = "duration_s"
-    q = F.percentile(d, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75, 0.99))))
-    out = adapters.orders(spark, sf_dir).agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("low"), F.max(d).alias("high"), q.alias("q"))
+    d, rows = "duration_s", adapters.orders(spark, sf_dir)
+    out = rows.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.min(d).alias("low"), F.max(d).alias("high"))
+    out = out.crossJoin(F.broadcast(quantiles(rows, [], d, [0.25, 0.5, 0.75, 0.99]).select("q")))
     return out.select("n", rounded("mean").alias("mean"), rounded("std").alias("std"), "low", "high", *(rounded(F.col("q")[k]).alias(p) for k, p in enumerate(("p25", "p50", "p75", "p99"))))
 
 
 @query("""SELECT ticker, count(*) AS rows, count(*) FILTER (status_reason = 'FILLED') AS fills, round(avg(CASE WHEN status_reason = 'FILLED' THEN 1.0 ELSE 0.0 END), 8) AS fill_rate,
  round(quantile_cont(duration_s, 0.5), 6) AS median_duration FROM v_orders GROUP BY ticker""")
 def ticker_fill_rate(spark, sf_dir):
-    filled = F.col("status_reason") == "FILLED"
-    return adapters.orders(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("rows"), F.count_if(filled).alias("fills"), rounded(F.avg(filled.cast("double")), 8).alias("fill_rate"), rounded(F.percentile("duration_s", 0.5)).alias("median_duration"))
+    filled, rows = F.col("status_reason") == "FILLED", adapters.orders(spark, sf_dir)
+    counts = rows.groupBy("ticker").agg(F.count("*").alias("rows"), F.count_if(filled).alias("fills"), rounded(F.avg(filled.cast("double")), 8).alias("fill_rate"))
+    middle = quantiles(rows, ["ticker"], "duration_s", [0.5]).select("ticker", rounded(F.col("q")[0]).alias("median_duration"))
+    return counts.join(F.broadcast(middle), "ticker")
 
 
 @query("""SELECT status_reason, count(*) AS rows, count(*) FILTER (best_bid_at_entry IS NULL) AS no_entry, count(*) FILTER (best_bid_at_execution IS NULL) AS no_execution,
@@ -171,3 +186,14 @@ def recensor(spark, sf_dir):
  WHEN duration_s > 15 AND duration_s <= 60 THEN '15-60' END AS lead, count(*) AS rows FROM v_orders GROUP BY 1""")
 def lead_time_bins(spark, sf_dir):
     return adapters.orders(spark, sf_dir).groupBy(labels.lead_time(F.col("duration_s")).alias("lead")).agg(F.count("*").alias("rows"))
+
+
+_TRAIN = f"{CUTS_SQL}, tr AS (SELECT v_orders.* FROM v_orders, cuts WHERE day <= train_last)"
+_CHOSEN = " ".join(f'WHEN {w} THEN ("{post_columns(w)[0]}" + "{post_columns(w)[1]}") / 2.0::DOUBLE' for w in WINDOWS_MS)
+
+
+@query(f"""WITH {_TRAIN}, {_LONG.replace('v_orders', 'tr')}, {_WINSOR}, {_SELECT}, {LABELLED_SQL.replace(f'({_B} + {_A}) / 2.0::DOUBLE AS post FROM v_orders', f'CASE selected_window_ms {_CHOSEN} END AS post FROM v_orders, chosen')}
+ SELECT order_id, event_type, labeling_valid, CASE WHEN day <= train_last THEN 'train' WHEN day <= validation_last THEN 'val' ELSE 'test' END AS dataset_split FROM lab, cuts""")
+def label_calibrated(spark, sf_dir):
+    orders = adapters.orders(spark, sf_dir).withColumns({c: F.lit(None).cast("long") for c in ("best_bid_at_post_trade", "best_ask_at_post_trade")})
+    return labels.label_calibrated(orders).select("order_id", "event_type", "labeling_valid", "dataset_split")

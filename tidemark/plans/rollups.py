@@ -8,7 +8,7 @@ from tidemark.functions import book, coerce
 from tidemark.functions.names import MICROSTRUCTURE, WINDOWS_MS, latency_grid, post_columns, suffix
 from tidemark.operators import backtest, reports, samples, schedule
 from tidemark.plans import adapters
-from tidemark.plans.backtests import _COST, _GRID, _OK, _costs, _grid
+from tidemark.plans.backtests import _A, _B, _COST, _DEC, _GRID, _LIFE, _OK, _RULE, WINDOW, _costs, _grid, _scored
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.survival import _MAN, _SEQ, _LOOK, _sequences
 from tidemark.storage import read
@@ -272,3 +272,41 @@ def pairwise_tests(spark, sf_dir):
     rows = adapters.orders(spark, sf_dir).groupBy("ticker", (F.col("order_id") % 4).cast("int").alias("model")).agg(rounded(F.avg("duration_s")).alias("v"))
     out = reports.pairwise_tests(rows, "ticker", "model", "v")
     return out.select("model_a", "model_b", "n", rounded("observed", 5).alias("observed"), rounded("p_value").alias("p_value"), rounded("holm_p").alias("holm_p"))
+
+
+@query(f"""WITH {_LIFE}, n AS (SELECT order_id, count(*) AS looks, max(end_idx) AS last_look FROM ev LEFT JOIN cx USING (order_id) WHERE cstep IS NULL OR end_idx <= cstep GROUP BY order_id)
+ SELECT lf.order_id, decision_action, reference_end_idx, CASE WHEN decision_action = 'skip' THEN 0 ELSE coalesce(looks, 0) END AS looks, CASE WHEN decision_action <> 'skip' THEN last_look END AS last_look FROM lf LEFT JOIN n USING (order_id)""")
+def lifecycle_looks(spark, sf_dir):
+    k = F.col("order_id")
+    scored = _scored(spark, sf_dir)
+    looks = scored.select("order_id", F.explode(backtest.lifecycle_steps((k % 9 + 2).cast("int"), F.lit(0), 2)).alias("end_idx"))
+    out = backtest.lifecycle_diagnostics(backtest.decide(scored, backtest.Threshold(0.5, 0.3)()), looks, (k * 53 + F.col("end_idx") * 17) % 100 <= 80)
+    return out.select("order_id", "decision_action", "reference_end_idx", "looks", "last_look")
+
+
+@query(f"""WITH {_DEC}, r AS (SELECT dc.*, s.strategy, CASE s.strategy WHEN 'always' THEN TRUE WHEN 'threshold' THEN {_RULE} ELSE toxic <= 0.4 END AS acts FROM dc, (SELECT unnest(['always', 'threshold', 'toxic']) AS strategy) s),
+ c AS (SELECT *, acts AND status_reason = 'FILLED' AS filled, ({_B} + {_A}) / 2.0::DOUBLE AS post, CASE WHEN side = 'B' THEN best_ask_at_execution - best_ask_at_entry ELSE best_bid_at_entry - best_bid_at_execution END AS missed, CASE WHEN side = 'B' THEN best_ask_at_entry ELSE best_bid_at_entry END AS basis FROM r),
+ x AS (SELECT *, CASE WHEN filled THEN CASE WHEN side = 'B' THEN price - post ELSE post - price END / post ELSE missed / basis::DOUBLE END * 10000 AS bps FROM c)
+ SELECT strategy, count(*) AS orders, count(*) FILTER (acts) AS submitted, count(*) FILTER (filled) AS filled, round(avg(bps), 5) AS mean_bps FROM x GROUP BY strategy""")
+def strategy_sweep(spark, sf_dir):
+    rules = {"always": backtest.always(), "threshold": backtest.Threshold(0.5, 0.3)(), "toxic": backtest.ToxicCif(0.4)()}
+    costs = backtest.strategies(_scored(spark, sf_dir), rules, WINDOW, later_bid="best_bid_at_execution", later_ask="best_ask_at_execution")
+    out = reports.summary(costs, ["strategy"])
+    return out.select("strategy", "orders", "submitted", "filled", rounded("mean_bps", 5).alias("mean_bps"))
+
+
+@query("""WITH n AS (SELECT order_id, row_number() OVER (ORDER BY md5('7:' || order_id), order_id) AS n, count(*) OVER () AS c FROM v_orders) SELECT order_id FROM n WHERE n <= greatest(1, CAST(floor(c * 0.1) AS BIGINT))""")
+def sampled_orders(spark, sf_dir):
+    return samples.sample_orders(adapters.orders(spark, sf_dir).select("order_id"), 0.1, 7)
+
+
+@query("""WITH m AS (SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_event, CASE WHEN event_id % 4 < 2 THEN event_id ELSE event_id - 2 END AS order_id, event_id % 4 AS k FROM events),
+ v AS (SELECT order_id AS virtual, ts_event AS entry_time, ts_event + 36000000000000 AS end_time, unnest([order_id - 1, order_id]) AS ahead FROM m WHERE k = 1)
+ SELECT virtual, order_id, seq FROM v JOIN m ON m.order_id = v.ahead AND m.ts_event > entry_time AND m.ts_event <= end_time""")
+def messages_ahead(spark, sf_dir):
+    from tidemark.operators import flow
+    from tidemark.plans.replays import messages
+
+    rows = messages(spark, sf_dir)
+    virtual = rows.filter("action = 'A' AND order_id % 4 = 1").select("instrument_id", "publisher_id", F.col("order_id").alias("virtual"), F.col("ts_event").alias("entry_time"), (F.col("ts_event") + 36_000_000_000_000).alias("end_time"), F.array(F.col("order_id") - 1, F.col("order_id")).alias("ids_ahead"))
+    return flow.reaching(virtual, rows, ["instrument_id", "publisher_id"]).select("virtual", "order_id", "seq")
