@@ -54,17 +54,27 @@ def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ~_blank(one) & ((one < 0x80) | ~may)
 
 
+#: Kinds of bytes: blanks, ASCII marks, ASCII letters, and the lead of the Latin letters of two bytes.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, *range(9, 14)]] = 1
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 3
+_KIND[0xC3] = 4
+
+
 def _cuts(data: np.ndarray) -> np.ndarray:
-    """Places where every byte-level pre-tokenizer cuts: a blank after what surely isn't one, an ASCII mark after a Latin letter."""
+    """Where every byte-level pre-tokenizer cuts, as flags: a blank after what surely isn't one, an ASCII mark after a Latin letter."""
+    out = np.zeros(len(data) + 1, bool)
     if len(data) < 2:
-        return np.empty(0, np.int64)
-    blank = np.flatnonzero(_blank(data[1:]) & ~_blank(data[:-1])) + 1
-    mark = ((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))
-    low = data | 32
-    letter = (low >= 97) & (low <= 122) & (data < 128)
-    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    after = np.flatnonzero(mark[1:] & letter[:-1]) + 1
-    return np.sort(np.concatenate([blank[_solid(data, blank)], after]), kind="stable")
+        return out
+    kind = _KIND[data]
+    blank, letter = kind == 1, kind == 3
+    second = np.flatnonzero(kind[:-1] == 4) + 1
+    letter[second[(data[second] >= 0x80) & (data[second] != 0x97) & (data[second] != 0xB7)]] = True
+    out[1:-1] = (kind[1:] == 2) & letter[:-1]
+    at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    out[at[_solid(data, at)]] = True
+    return out
 
 
 def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +155,12 @@ class Coder:
         """The ids of each text."""
         texts = texts.cast(pa.string())
         data, offset = _bytes(texts)
-        inner = _cuts(data) if self.chunked else np.empty(0, np.int64)
-        whole = np.flatnonzero(self._spells(texts)) if self.chunked else []
-        for k in whole:
-            inner = np.delete(inner, slice(np.searchsorted(inner, offset[k]), np.searchsorted(inner, offset[k + 1])))
-        cut = np.sort(np.concatenate([inner[(inner > offset[0]) & (inner < offset[-1])], offset]), kind="stable")
-        cut = cut[np.append(True, np.diff(cut) > 0)]
+        flags = _cuts(data) if self.chunked else np.zeros(len(data) + 1, bool)
+        for k in np.flatnonzero(self._spells(texts)) if self.chunked else ():
+            flags[offset[k] : offset[k + 1]] = False
+        flags[: offset[0]] = False
+        flags[offset] = True
+        cut = np.flatnonzero(flags)
         chunks = (pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int32)), texts.buffers()[2]) if len(cut) > 1 else pa.array([], pa.string())).dictionary_encode()
         names = chunks.dictionary.to_pylist()
         if len(self.known) > self.KNOWN:

@@ -12,13 +12,26 @@ from tidemark.functions.names import WINDOWS_MS, post_columns
 from tidemark.storage import read
 
 
+def _quiet(spark: SparkSession) -> SparkSession:
+    """A session beside the user's, with its settings, in which constraints aren't propagated; the user's where its folder can't be shared."""
+    beside, folder = spark.newSession(), "spark.checkpoint.dir"
+    if beside.conf.get(folder, None) != spark.conf.get(folder, None):
+        return spark
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    beside.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return beside
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled-order shape from ``orders``.
 
     Its 36 columns are expressions over the same few, and Catalyst would derive
     every combination of them as constraints; stored columns have no such cost.
+    So the table is of a session of its own, and the user's stays as it is.
     """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    spark = _quiet(spark)
     k = F.col("o_orderkey")
     price = F.round(F.col("o_totalprice") * 100).cast("long") + 100_000
 

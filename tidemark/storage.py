@@ -11,6 +11,7 @@ import atexit
 import os
 import shutil
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = f"{FALLBACK}/tidemark-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        path = _own_dir()
     return path.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = f"{FALLBACK}/tidemark-{os.getpid()}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
