@@ -170,6 +170,17 @@ def book_size(side):
     return F.aggregate(F.map_values(side), F.lit(0.0), lambda a, x: a + x)
 
 
+def test_levels_and_sizes_are_those_of_the_orders():
+    for seed in range(6):
+        rows, _ = random_feed(seed, 600)
+        books = {1: Book(), 2: Book()}
+        for _, _, _, p, o, a, s, price, size, flags in rows:
+            b = books[p]
+            b.apply(a, s, price, size, o, flags)
+            for side in "BA":
+                assert b.prices[side] == sorted(b.sides[side]) and b.totals[side] == {k: sum(x.values()) for k, x in b.sides[side].items()}
+
+
 def test_resting_follows_every_order(spark):
     rows, _ = random_feed(5)
     books, want = {1: Book(), 2: Book()}, {}

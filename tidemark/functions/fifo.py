@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 #: The flag of top-of-book messages and the price that stands for none.
@@ -13,23 +14,33 @@ class Invalid(Exception):
     """A message that doesn't fit the book; the book stays as it was."""
 
 
+def _both(kind) -> dict:
+    return field(default_factory=lambda: {"B": kind(), "A": kind()})
+
+
 @dataclass
 class Book:
-    """sides: price to (order id to size, in order of priority). Top-of-book orders have no id and aren't looked up."""
+    """sides: price to (order id to size, in order of priority). Top-of-book orders have no id and aren't looked up.
+
+    The prices of a side are kept in order and the size of each level is kept, so
+    that the best quotes after a message cost no look at the other levels.
+    """
 
-    sides: dict[str, dict[int, dict]] = field(default_factory=lambda: {"B": {}, "A": {}})
+    sides: dict[str, dict[int, dict]] = _both(dict)
+    prices: dict[str, list[int]] = _both(list)
+    totals: dict[str, dict[int, int]] = _both(dict)
     placed: dict[int, tuple[str, int]] = field(default_factory=dict)
 
     def apply(self, action: str, side: str, price: int, size: int, order_id: int, flags: int = 0) -> None:
         if action in "TFN":
             return
         if action == "R":
-            self.sides["B"].clear(), self.sides["A"].clear(), self.placed.clear()
+            self._clear("B"), self._clear("A"), self.placed.clear()
             return
         if side not in ("A", "B"):
             raise Invalid(f"side {side}")
         if flags & F_TOB and price == UNDEF_PRICE:
-            self.sides[side].clear()
+            self._clear(side)
         elif action == "A":
             self._add(side, price, size, order_id, flags)
         elif action == "C":
@@ -39,14 +50,32 @@ class Book:
         else:
             raise Invalid(f"action {action}")
 
+    def _clear(self, side: str) -> None:
+        self.sides[side].clear(), self.prices[side].clear(), self.totals[side].clear()
+
+    def _put(self, side: str, price: int, order_id: int | None, size: int) -> None:
+        level = self.sides[side].get(price)
+        if level is None:
+            level = self.sides[side][price] = {}
+            self.totals[side][price] = 0
+            insort(self.prices[side], price)
+        level[order_id] = size
+        self.totals[side][price] += size
+
+    def _take(self, side: str, price: int, level: dict, order_id: int) -> None:
+        self.totals[side][price] -= level.pop(order_id)
+        if not level:
+            del self.sides[side][price], self.totals[side][price]
+            del self.prices[side][bisect_left(self.prices[side], price)]
+
     def _add(self, side: str, price: int, size: int, order_id: int, flags: int) -> None:
         if flags & F_TOB:
-            self.sides[side].clear()
-            self.sides[side][price] = {None: size}
+            self._clear(side)
+            self._put(side, price, None, size)
             return
         if order_id in self.placed:
             raise Invalid(f"order {order_id} is there")
-        self.sides[side].setdefault(price, {})[order_id] = size
+        self._put(side, price, order_id, size)
         self.placed[order_id] = side, price
 
     def _where(self, order_id: int) -> tuple[str, int, dict]:
@@ -56,16 +85,12 @@ class Book:
             raise Invalid(f"no order {order_id}")
         return side, price, level
 
-    def _take(self, side: str, price: int, level: dict, order_id: int) -> None:
-        del level[order_id]
-        if not level:
-            del self.sides[side][price]
-
     def _cancel(self, size: int, order_id: int) -> None:
         side, price, level = self._where(order_id)
         if size > level[order_id]:
             raise Invalid(f"order {order_id} has less than {size}")
         level[order_id] -= size
+        self.totals[side][price] -= size
         if not level[order_id]:
             self._take(side, price, level, order_id)
             del self.placed[order_id]
@@ -78,15 +103,16 @@ class Book:
         if was != side:
             raise Invalid(f"order {order_id} changed its side")
         if at == price and size <= level[order_id]:
+            self.totals[side][price] += size - level[order_id]
             level[order_id] = size
             return
         self._take(was, at, level, order_id)
-        self.sides[side].setdefault(price, {})[order_id] = size
+        self._put(side, price, order_id, size)
         self.placed[order_id] = side, price
 
     def best(self, side: str) -> int | None:
-        prices = self.sides[side]
-        return (max(prices) if side == "B" else min(prices)) if prices else None
+        prices = self.prices[side]
+        return prices[-1 if side == "B" else 0] if prices else None
 
     def quotes(self) -> tuple:
         """Best bid, its size, best ask, its size."""
@@ -94,7 +120,7 @@ class Book:
         return bid, self.size("B", bid), ask, self.size("A", ask)
 
     def size(self, side: str, price: int | None) -> int | None:
-        return None if price is None else sum(self.sides[side].get(price, {}).values())
+        return None if price is None else self.totals[side].get(price, 0)
 
     def ahead(self, side: str, price: int) -> dict:
         """Orders that rest at a price, each with its size."""
@@ -112,7 +138,7 @@ class Book:
 
     def snapshot(self, levels: int) -> list[tuple]:
         """(bid, size, orders, ask, size, orders) of each level, None where a side has fewer."""
-        bids, asks = sorted(self.sides["B"], reverse=True)[:levels], sorted(self.sides["A"])[:levels]
+        bids, asks = self.prices["B"][::-1][:levels], self.prices["A"][:levels]
 
         def side(name: str, prices: list[int], k: int) -> tuple:
             return (prices[k], self.size(name, prices[k]), len([x for x in self.sides[name][prices[k]] if x is not None])) if k < len(prices) else (None, None, None)
