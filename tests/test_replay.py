@@ -301,6 +301,31 @@ def test_a_stream_goes_on_after_a_restart_with_the_books_that_it_had(spark, tmp_
     assert spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect() == replay.quotes(rows).orderBy("seq").collect()
 
 
+def test_streamed_orders_end_as_in_the_batch(spark, tmp_path):
+    from tidemark.streaming.books import stream_track
+
+    rows, end = random_feed(7, 200)
+    feed = spark.createDataFrame(rows, MESSAGES)
+    due = spark.createDataFrame([(1, p, t) for p in (1, 2) for t in range(0, end, 12_000_000)], "instrument_id int, publisher_id int, ts_event long")
+    settings = dict(horizon_ns=20_000_000, windows=(1,))
+
+    def run():
+        read = spark.readStream
+        stream = stream_track(read.schema(MESSAGES).parquet(str(tmp_path / "in")), read.schema(due.schema).parquet(str(tmp_path / "due")), **settings)
+        out = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    half = rows[100][1]
+    for a, b in ((0, half), (half, end + 1)):
+        feed.filter(f"ts_event >= {a} and ts_event < {b}").write.mode("append").parquet(str(tmp_path / "in"))
+        due.filter(f"ts_event >= {a} and ts_event < {b}").write.mode("append").parquet(str(tmp_path / "due"))
+        run()
+    got = {str(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    whole = {str(r): r for r in replay.track(feed, due, **settings).collect()}
+    assert len(got) > 20 and got <= set(whole)
+    assert all(r.status_reason == "CENSORED_END" or not r.post_trade for k, r in whole.items() if k not in got)
+
+
 def test_flow_in_event_time_windows(spark, tmp_path):
     from tidemark.streaming.books import windowed_flow
 

@@ -139,7 +139,7 @@ def aggregated_quotes(books: DataFrame) -> DataFrame:
 
 
 def _side(book: Book, side: str) -> list[list[int]]:
-    return [[p, book.size(side, p)] for p in sorted(book.sides[side])]
+    return [[p, book.size(side, p)] for p in book.prices[side]]
 
 
 class _Snapshots:
