@@ -57,5 +57,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {"op1_bm25_decontamination": op1_bm25_decontamination, "op2_signature_media": op2_signature_media, "op4_karmarkar_karp_shards": op4_karmarkar_karp_shards, "op3_covering_simhash": op3_covering_simhash, "op5_trigram_secrets": op5_trigram_secrets, "op6_checked_pii": op6_checked_pii, "op7_log_bilinear_lm": op7_log_bilinear_lm, "op8_debruijn_substrings": op8_debruijn_substrings, "op9_ftrl_toxicity": op9_ftrl_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bm25_decontamination,
+        op2_signature_media,
+        op3_covering_simhash,
+        op4_karmarkar_karp_shards,
+        op5_trigram_secrets,
+        op6_checked_pii,
+        op7_log_bilinear_lm,
+        op8_debruijn_substrings,
+        op9_ftrl_toxicity,
+        op10_best_fit_packing,
+    )
+}
 SQL: dict[str, str] = {"op5_trigram_secrets": oracles.SECRETS, "op6_checked_pii": oracles.PERSONAL, "op8_debruijn_substrings": oracles.REPEATS}
