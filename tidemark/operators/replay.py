@@ -286,7 +286,11 @@ class _Tracker:
         return self._close(self.last)
 
 
-TRACKED = "instrument_id int, publisher_id int, entry_time long, side string, price long, queue_ahead long, status_reason string, end_time long, duration_s double, best_bid_at_entry long, best_ask_at_entry long, best_bid_at_execution long, best_ask_at_execution long, post_trade array<array<long>>, history array<long>, steps array<array<long>>"
+TRACKED = (
+    "instrument_id int, publisher_id int, entry_time long, side string, price long, queue_ahead long, status_reason string, end_time long, "
+    "duration_s double, best_bid_at_entry long, best_ask_at_entry long, best_bid_at_execution long, best_ask_at_execution long, "
+    "post_trade array<array<long>>, history array<long>, steps array<array<long>>"
+)
 
 
 def track(messages: DataFrame, due: DataFrame, *, horizon_ns: int, windows: tuple[int, ...] = WINDOWS_MS, sessions: bool = False, every: int = 0, lookback: int = 500, rows_each: int | None = None) -> DataFrame:
@@ -456,7 +460,10 @@ class _Backtest:
         return out + [self._row(o, "NOT_REACHED", None) for o in self.waiting]
 
 
-BACKTEST = "instrument_id int, publisher_id int, order_id long, side string, status_reason string, submit_time long, end_time long, fill_price long, bid_at_submit long, ask_at_submit long, bid_at_end long, ask_at_end long, post_trade array<array<long>>"
+BACKTEST = (
+    "instrument_id int, publisher_id int, order_id long, side string, status_reason string, submit_time long, end_time long, fill_price long, "
+    "bid_at_submit long, ask_at_submit long, bid_at_end long, ask_at_end long, post_trade array<array<long>>"
+)
 
 
 def backtest(messages: DataFrame, orders: DataFrame, *, latency_ns: int, windows: tuple[int, ...] = (), patience_ns: int = 0, rows_each: int | None = None) -> DataFrame:
