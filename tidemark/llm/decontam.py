@@ -40,7 +40,7 @@ from tidemark.storage import discard, stage
 
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 _EDGE = ".,;:!?\"'()[]{}|*_-«»“”„¿¡…"
-_STEP = 4096
+_STEP = 1024
 #: Blocks of a group.
 _GROUP = 16
 

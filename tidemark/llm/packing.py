@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.text import filled, map_texts
+from tidemark.llm.text import filled, handing_back, map_texts
 from tidemark.storage import stage
 
 PIECES = T.StructType(
@@ -99,7 +99,7 @@ class Coder:
     """
 
     #: Chunks that a task remembers.
-    KNOWN = 1 << 18
+    KNOWN = 1 << 17
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -307,7 +307,7 @@ def pack(cut: DataFrame, *, capacity: int = 1024) -> DataFrame:
             yield pa.record_batch([*batch.columns[:5], pa.array(first[at] + rank - rank0[at]), pa.array(offset[at])], names=[*PIECES.names, "sequence_id", "offset"])
 
     schema = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema) if runs else spark.createDataFrame([], schema)
+    return ranked.mapInArrow(handing_back(place), schema) if runs else spark.createDataFrame([], schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import simhash
 from tidemark.llm.components import components
-from tidemark.llm.text import map_texts
+from tidemark.llm.text import handing_back, map_texts
 from tidemark.storage import discard, settle, stage
 
 #: The least similarity, as a fraction.
@@ -110,7 +110,7 @@ def _rarity(given: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(held.keys(), pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
     schema = "part int, {} binary".format
-    table = given.select("hashes").mapInArrow(count, schema("counts")).repartition(_PARTS, "part").mapInArrow(add, schema("levels")).toArrow()
+    table = given.select("hashes").mapInArrow(handing_back(count), schema("counts")).repartition(_PARTS, "part").mapInArrow(handing_back(add), schema("levels")).toArrow()
     out = np.zeros((_PARTS, size), np.uint8)
     for part, levels in zip(table["part"].to_pylist(), table["levels"].to_pylist()):
         out[part] = np.frombuffer(levels, np.uint8)
@@ -133,7 +133,7 @@ def _prefixes(given: DataFrame, rarity) -> DataFrame:
             count = [len(x) for x in keys[1:]]
             yield pa.record_batch([pa.array(x) for x in (np.concatenate(keys), np.concatenate(places), np.repeat(sizes, count), np.repeat(batch.column(0).to_numpy(), count))], names=["key", "place", "n", "fp"])
 
-    return given.mapInArrow(run, "key long, place long, n long, fp long")
+    return given.mapInArrow(handing_back(run), "key long, place long, n long, fp long")
 
 
 def _groups(batches, columns: int, keys: int):
@@ -185,7 +185,7 @@ def _met(rows: DataFrame) -> DataFrame:
             lead = [c[-1:] for c in first]
             last = [c[-1:] for c in x]
 
-    return rows.repartition("key").sortWithinPartitions("key", "place", "n", "fp").mapInArrow(run, _MET)
+    return rows.repartition("key").sortWithinPartitions("key", "place", "n", "fp").mapInArrow(handing_back(run), _MET)
 
 
 def signature(h: np.ndarray) -> bytes:
@@ -216,10 +216,10 @@ def _possible(pairs: DataFrame, given: DataFrame) -> DataFrame:
             keep = pa.array((OVER + UNDER) * d <= (UNDER - OVER) * (n + m))
             yield pa.record_batch([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
-    signed = given.select("fp", "hashes").mapInArrow(sign, "fp long, n long, bits binary").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    signed = given.select("fp", "hashes").mapInArrow(handing_back(sign), "fp long, n long, bits binary").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     a, b = (signed.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
     joined = pairs.join(a.hint("shuffle_merge"), "a").join(b.hint("shuffle_merge"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-    return stage(joined.mapInArrow(run, _PAIR), "possible")
+    return stage(joined.mapInArrow(handing_back(run), _PAIR), "possible")
 
 
 def _confirm(pairs: DataFrame, given: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _confirm(pairs: DataFrame, given: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(there[batch.column(0).to_numpy() & (_BITS - 1)]))
 
     whole = given.select("fp", "hashes")
-    wanted = stage(whole.mapInArrow(some, whole.schema).join(named.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "met-sets")
+    wanted = stage(whole.mapInArrow(handing_back(some), whole.schema).join(named.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), "met-sets")
 
     def run(batches):
         for batch in batches:
@@ -251,7 +251,7 @@ def _confirm(pairs: DataFrame, given: DataFrame) -> DataFrame:
     a = wanted.select(F.col("fp").alias("a"), F.col("hashes").alias("x"))
     b = wanted.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
     joined = pairs.join(a.hint("shuffle_merge"), "a").join(b.hint("shuffle_merge"), "b").select("a", "b", "x", "y")
-    out = stage(joined.mapInArrow(run, _PAIR), "confirmed")
+    out = stage(joined.mapInArrow(handing_back(run), _PAIR), "confirmed")
     for old in (wanted, named, pairs):
         discard(old)
     return out
@@ -304,7 +304,7 @@ def links(given: DataFrame, *, radius: int = 4) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other")
     cells = block.select("key", other, "block", "place", "n", "fp", "root").withColumn("cell", F.least("block", "other") * (1 << 31) + F.greatest("block", "other"))
     dealt = cells.select("key", "cell", "block", "place", "n", "fp", "root").repartition("key", "cell").sortWithinPartitions("key", "cell", "block", "place", "n", "fp")
-    rest = stage(dealt.mapInArrow(_cross, _PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    rest = stage(dealt.mapInArrow(handing_back(_cross), _PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     settle(given)
     two = _confirm(rest, given)
     for old in (met, pairs, star, rooted, rest):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import components
-from tidemark.llm.text import map_texts
+from tidemark.llm.text import handing_back, map_texts
 from tidemark.storage import discard, stage
 
 BITS = 64
@@ -120,7 +120,7 @@ def links(distinct: DataFrame, *, radius: int = 4, crowd: int = 512) -> DataFram
     while True:
         level += 1
         met = stage(_crowded(rows), "crowded")
-        found = stage(met.filter(F.col("count") <= crowd).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(pairs, edge).distinct(), "links")
+        found = stage(met.filter(F.col("count") <= crowd).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(handing_back(pairs), edge).distinct(), "links")
         out = found if out is None else out.union(found)
         large = met.filter(F.col("count") > crowd)
         if large.isEmpty():

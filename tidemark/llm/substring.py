@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.text import bounded_batches, encode, filled, give_back, hashes, map_texts, owner, slices, words
+from tidemark.llm.text import bounded_batches, encode, filled, give_back, handing_back, hashes, map_texts, owner, slices, words
 from tidemark.storage import discard, settle, stage
 
 #: Words of the k-mers that minimizers are taken from.
@@ -192,7 +192,7 @@ def _met(rows: DataFrame, branches: bool) -> DataFrame:
                 lead = lead if at[-1] < 0 else [x[at[-1]] for x in new]
             last = [x[-1:] for x in new]
 
-    return rows.repartition("k1").sortWithinPartitions(*_KEYS[:5]).mapInArrow(run, PIECES)
+    return rows.repartition("k1").sortWithinPartitions(*_KEYS[:5]).mapInArrow(handing_back(run), PIECES)
 
 
 def _own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -325,9 +325,8 @@ def _removed(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id: s
                 place = [np.where(own, x, part.column(j).to_numpy()[row] if j else at) for x, j in zip(source, (1, 2, 0))]
                 proofs = pa.StructArray.from_arrays([pa.array(own), *map(pa.array, place), pa.array(n), pa.array(digests, pa.binary())], _PROOF.names)
                 yield pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), proofs)], names=schema.names)
-        give_back()
 
-    return _joined(_own(docs, text, doc_id), wanted, "left").mapInArrow(run, schema)
+    return _joined(_own(docs, text, doc_id), wanted, "left").mapInArrow(handing_back(run), schema)
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 20, text: str = "text", doc_id: str = "doc_id", with_text: bool = True, bits: tuple[int, ...] = (64, 64, 64)) -> DataFrame:
