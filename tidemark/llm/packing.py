@@ -99,7 +99,7 @@ class Coder:
     """
 
     #: Chunks that a task remembers.
-    KNOWN = 1 << 17
+    KNOWN = 1 << 18
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
