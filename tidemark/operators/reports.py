@@ -182,13 +182,13 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 
 def poisson_weights(rows: DataFrame, uniform: Column, trials: int) -> DataFrame:
-    """``rows`` once for each ``trial`` with their number of copies in it, where there are any.
+    """``rows`` once for each ``trial`` with their number of ``copies`` in it.
 
     Resampling n of n rows gives each row about a Poisson number of copies, which
     a uniform number of row and trial tells; no join, no count of rows.
     """
     each = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("__u", uniform)
-    return each.withColumn("copies", sum(F.when(F.col("__u") >= p, 1.0).otherwise(0.0) for p in POISSON)).drop("__u").filter("copies > 0")
+    return each.withColumn("copies", sum(F.when(F.col("__u") >= p, 1.0).otherwise(0.0) for p in POISSON)).drop("__u")
 
 
 def poisson_bootstrap(rows: DataFrame, value: str, uniform: Column, trials: int) -> DataFrame:
@@ -199,7 +199,7 @@ def poisson_bootstrap(rows: DataFrame, value: str, uniform: Column, trials: int)
 
 def bootstrap_metrics(results: DataFrame, uniform: Column, trials: int, horizon_ms: Column, least_ms: float = 0.001) -> DataFrame:
     """A row for each trial: mean and median shortfall, its time-weighted mean, the mean toxic cost and the mean fill-adjusted cost."""
-    each = poisson_weights(results, uniform, trials)
+    each = poisson_weights(results, uniform, trials).filter("copies > 0")
     bps, copies = F.when(F.col("metric_status") == "ok", F.col("implementation_shortfall_bps")), F.col("copies")
     toxic = F.when(F.col("cost_type") == "toxic_cost", bps)
     return each.groupBy("trial").agg(

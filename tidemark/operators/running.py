@@ -79,7 +79,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, probabilities: list[fl
     known = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = known.groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
     upto = running(counts, by, ["__x"], {"__upto": F.col("__n")})
-    whole = known.groupBy(*by).agg(F.count("*").alias("n"))
+    whole = upto.groupBy(*by).agg(F.max("__upto").alias("n"))
     both = upto.join(F.broadcast(whole), by) if by else upto.crossJoin(F.broadcast(whole))  # a row for each group
     picks = []
     for k, p in enumerate(probabilities):
