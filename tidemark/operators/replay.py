@@ -11,20 +11,24 @@ chunks changes no result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
-from tidemark.functions.fifo import Book, Invalid, Queue
+from tidemark.functions.fifo import Book, Invalid, Queue, Queues
 from tidemark.functions.names import GRID_WINDOW, WINDOWS_MS, post_columns
 from tidemark.operators import asof, running, schedule
 from tidemark.storage import stage
 
 MESSAGE = ("instrument_id", "publisher_id", "ts_event", "seq", "action", "side", "price", "size", "order_id", "flags")
 _KEY = ["instrument_id", "publisher_id"]
+#: Partitions of a replay, at least.
+_PARTS = 32
 #: Nanoseconds of a stretch of an as-of join.
 _HOUR = 3_600_000_000_000
 
@@ -49,7 +53,9 @@ def _stream(rows: DataFrame, schema: str, start: Callable[[tuple], object]) -> D
             yield pd.DataFrame(state.end(), columns=names, dtype=object)
 
     rows = rows if "chunk" in rows.columns else rows.withColumn("chunk", F.lit(0).cast("long"))
-    ordered = rows.repartition(*_KEY, "chunk").sortWithinPartitions(*_KEY, "chunk", "ts_event", "kind", "seq")
+    # books are few and costly: by number, since adaptive execution would put small partitions together
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), _PARTS)
+    ordered = rows.repartition(parts, *_KEY, "chunk").sortWithinPartitions(*_KEY, "chunk", "ts_event", "kind", "seq")
     return ordered.mapInPandas(run, schema)
 
 
@@ -355,15 +361,23 @@ def order_sequences(tracked: DataFrame, books: DataFrame, form: str, *, tick: in
 
 
 class _Backtest:
-    """Limit orders that reach the book with latency, queue, fill, are canceled or censored, and are watched after a fill."""
+    """Limit orders that reach the book with latency, queue, fill, are canceled or censored, and are watched after a fill.
+
+    A message costs what it changes, however many orders are open: those that are due stand in order of time,
+    those that queue by what is ahead of them, those with nothing ahead by price.
+    """
 
     def __init__(self, key: tuple, latency: int, windows: tuple[int, ...], patience: int) -> None:
         self.key, self.book, self.latency, self.windows = key, Book(), latency, windows
         self.watch = max(windows, default=0) * 1_000_000 + patience
-        self.waiting: list[dict] = []
-        self.open: list[dict] = []
-        self.after: list[dict] = []
-        self.last = 0
+        self.queues = Queues()
+        self.waiting: deque[dict] = deque()  # by arrival
+        self.open: dict[int, dict] = {}
+        self.ends: list[tuple] = []  # (time, number, status, end) of open orders, a heap; some have ended before
+        self.front: dict[str, list[tuple]] = {"B": [], "A": []}  # (price, best first, number) of those with nothing ahead, heaps
+        self.after: deque[dict] = deque()  # by end
+        self.posts: dict[int, deque[dict]] = {w: deque() for w in windows}
+        self.last = self.number = 0
 
     def _row(self, o: dict, status: str, end: int | None, price: int | None = None) -> tuple:
         bid, _, ask, _ = self.book.quotes()
@@ -377,52 +391,66 @@ class _Backtest:
         if not self.windows:
             return [self._row(o, "FILLED", at, price)]
         self.after.append(o)
+        for due in self.posts.values():
+            due.append(o)
         return []
 
+    def _enter(self, o: dict) -> None:
+        self.number += 1
+        self.open[self.number] = o
+        leaves = o["cancel"] + self.latency if o["cancel"] is not None else None
+        if leaves is not None and leaves <= o["deadline"]:
+            heappush(self.ends, (leaves, self.number, "CANCELED", leaves))
+        else:
+            heappush(self.ends, (o["deadline"] + 1, self.number, "CENSORED_TIME", o["deadline"]))
+        o["ticket"] = self.queues.join(o["side"], o["price"], self.number)
+        if o["ticket"] is None:
+            heappush(self.front[o["side"]], (-o["price"] if o["side"] == "B" else o["price"], self.number))
+
     def _arrive(self, now: int) -> list[tuple]:
         """Before a message: what has reached the market by now, on the book as it is."""
-        out, still = [], []
-        for o in self.waiting:
-            if o["at"] > now:
-                still.append(o)
-            elif o["at"] > o["deadline"]:
+        out = []
+        while self.waiting and self.waiting[0]["at"] <= now:
+            o = self.waiting.popleft()
+            if o["at"] > o["deadline"]:
                 out.append(self._row(o, "CENSORED_LATENCY", o["deadline"]))
+                continue
+            bid, _, ask, _ = self.book.quotes()
+            o |= {"submitted": o["at"], "quotes": (bid, ask)}
+            across = ask if o["side"] == "B" else bid
+            if across is not None and (across <= o["price"] if o["side"] == "B" else across >= o["price"]):
+                out += self._fill(o, o["at"], across)
             else:
-                bid, _, ask, _ = self.book.quotes()
-                o |= {"submitted": o["at"], "quotes": (bid, ask)}
-                across = ask if o["side"] == "B" else bid
-                if across is not None and (across <= o["price"] if o["side"] == "B" else across >= o["price"]):
-                    out += self._fill(o, o["at"], across)
-                else:
-                    ahead = self.book.ahead(o["side"], o["price"])
-                    o["queue"] = Queue(sum(ahead.values()), ahead)
-                    self.open.append(o)
-        self.waiting = still
-        still = []
-        for o in self.open:
-            leaves = o["cancel"] + self.latency if o["cancel"] is not None else None
-            if leaves is not None and leaves <= min(now, o["deadline"]):
-                out.append(self._row(o, "CANCELED", leaves))
-            elif now > o["deadline"]:
-                out.append(self._row(o, "CENSORED_TIME", o["deadline"]))
-            else:
-                still.append(o)
-        self.open = still
+                self._enter(o)
+        while self.ends and self.ends[0][0] <= now:
+            _, number, status, end = heappop(self.ends)
+            o = self.open.pop(number, None)
+            if o is not None:
+                if o["ticket"] is not None:
+                    self.queues.leave(o["ticket"])
+                out.append(self._row(o, status, end))
         return out
 
     def _watched(self, now: int) -> list[tuple]:
-        out, still = [], []
+        out = []
         bid, _, ask, _ = self.book.quotes()
-        for o in self.after:
-            seen = now - o["end"] <= self.watch
-            for w in self.windows if seen and bid is not None and ask is not None else ():
-                if w not in o["posts"] and now - o["end"] >= w * 1_000_000:
-                    o["posts"][w] = (bid, ask)
-            if not seen or len(o["posts"]) == len(self.windows):
-                out.append(self._row(o, "FILLED", o["end"], o["price"]))
-            else:
-                still.append(o)
-        self.after = still
+        if bid is not None and ask is not None:
+            for w, due in self.posts.items():
+                while due and now - due[0]["end"] >= w * 1_000_000:
+                    o = due.popleft()
+                    if now - o["end"] <= self.watch:
+                        o["posts"][w] = (bid, ask)
+        while self.after and (now - self.after[0]["end"] > self.watch or len(self.after[0]["posts"]) == len(self.windows)):
+            o = self.after.popleft()
+            out.append(self._row(o, "FILLED", o["end"], o["price"]))
+        return out
+
+    def _through(self, price: int) -> list[int]:
+        """The orders with nothing ahead that a trade at a price takes: at theirs or beyond."""
+        out = []
+        for front, at in ((self.front["B"], -price), (self.front["A"], price)):
+            while front and front[0][0] <= at:
+                out.append(heappop(front)[1])
         return out
 
     def on(self, m) -> list[tuple]:
@@ -437,26 +465,25 @@ class _Backtest:
         except Invalid:
             return out
         self.last = m.ts_event
-        still = []
-        for o in self.open:
-            # with nothing ahead, the next trade at its price or beyond takes it
-            known = bool(o["queue"].orders)
-            through = m.action in ("T", "F") and (m.price <= o["price"] if o["side"] == "B" else m.price >= o["price"])
-            if (o["queue"].update(m.action, m.order_id, m.size) and known) or (not known and through):
+        filled = self.queues.update(self.book, m.action, m.order_id, m.size, m.flags)
+        if m.action in ("T", "F"):
+            filled += self._through(m.price)
+        for number in filled:
+            o = self.open.pop(number, None)
+            if o is not None:
                 out += self._fill(o, m.ts_event, o["price"])
-            else:
-                still.append(o)
-        self.open = still
         return out + self._watched(m.ts_event)
 
     def _rest(self) -> list[tuple]:
         out = [self._row(o, "FILLED", o["end"], o["price"]) for o in self.after]
-        self.after = []
+        self.after.clear()
+        for due in self.posts.values():
+            due.clear()
         return out
 
     def end(self) -> list[tuple]:
         out = self._arrive(self.last) + self._rest()
-        out += [self._row(o, "CENSORED_END", min(self.last, o["deadline"])) for o in self.open]
+        out += [self._row(o, "CENSORED_END", min(self.last, o["deadline"])) for o in self.open.values()]
         return out + [self._row(o, "NOT_REACHED", None) for o in self.waiting]
 
 
