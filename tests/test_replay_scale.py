@@ -1,12 +1,14 @@
-"""The backtest's shared queues against a plain replay that looks at every open order, and its work as orders grow."""
+"""The backtest's shared queues and a policy's looks against plain ones, and their work as orders grow."""
 
 import random
 import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.fifo import F_TOB, UNDEF_PRICE, Book, Invalid, Queue
+from tidemark.operators import replay
 from tidemark.operators.replay import _Backtest
 
 
@@ -87,3 +89,42 @@ def test_a_message_costs_no_look_at_every_open_order():
     out += state.end()
     assert len(out) == 20_000 and {x[4] for x in out} == {"CENSORED_END", "NOT_REACHED"}
     assert time.process_time() - began < 10
+
+
+FEED = "seq long, ts_event long, instrument_id int, publisher_id int, order_id long, action string, side string, price long, size long, flags int"
+ORDERS = "instrument_id int, publisher_id int, order_id long, entry_time long, side string, price long, deadline long"
+
+
+@pytest.mark.parametrize("stride, most", [(1, None), (3, None), (4, 2)])
+def test_an_order_is_canceled_at_its_first_look_that_fails(spark, stride, most):
+    draw, messages, shots, orders = random.Random(stride), [], [], []
+    for p in (1, 2):
+        times = sorted(draw.randint(0, 3_000) for _ in range(300))
+        messages += [(k, 10 * k, 1, p, k, "A", "B", 90, 1, 0) for k in range(400)]  # what's ahead never goes, nothing crosses
+        shots += [(1, p, 2 * n + 7, t, draw.choice((0.0, 1.0, 1.0, 1.0, 1.0, 1.0, None))) for n, t in enumerate(times)]
+        orders += [(1, p, 1000 + k, t, "B", 90, t + draw.randint(0, 1_500)) for k, t in enumerate(draw.randint(0, 3_000) for _ in range(60))]
+    books = spark.createDataFrame(shots, "instrument_id int, publisher_id int, number long, ts_event long, good double")
+    own = spark.createDataFrame(orders, ORDERS)
+    done = replay.policy_backtest(spark.createDataFrame(messages, FEED), own, books, {"good": F.col("good")}, F.lit(True), F.col("good") > 0, latency_ns=0, stride=stride, most=most)
+    got = {(r.publisher_id, r.order_id): r.end_time if r.status_reason == "CANCELED" else None for r in done.filter("reason = 'submit'").collect()}
+    want = {}
+    for _, p, k, entry, _, _, deadline in orders:
+        mine = [s for s in shots if s[1] == p]
+        if any(s[3] <= entry for s in mine):
+            looks = [s for s in mine if entry < s[3] <= deadline][::stride][:most]
+            want[p, k] = min((s[3] for s in looks if s[4] == 0.0), default=None)
+    assert got == want and None in want.values() and len(set(want.values())) > 10
+
+
+def test_looks_are_not_paired_with_orders(spark):
+    """30,000 orders that live through 30,000 snapshots: 900 million looks, if each were a row."""
+    n = 30_000
+    base = spark.range(n).select(F.lit(1).alias("instrument_id"), F.lit(1).alias("publisher_id"), "id")
+    books = base.select("instrument_id", "publisher_id", F.col("id").alias("number"), (F.col("id") + 1).alias("ts_event"), F.when(F.col("id") < n - 2, 1.0).otherwise(0.0).alias("good"))
+    orders = base.select("instrument_id", "publisher_id", F.col("id").alias("order_id"), F.lit(1).cast("long").alias("entry_time"), F.lit("B").alias("side"), F.lit(90).cast("long").alias("price"), F.lit(10 * n).cast("long").alias("deadline"))
+    feed = spark.createDataFrame([(0, 1, 1, 1, 5, "A", "B", 90, 1, 0), (1, 10 * n, 1, 1, 6, "A", "B", 90, 1, 0)], FEED)
+    began = time.time()
+    done = replay.policy_backtest(feed, orders, books, {"good": F.col("good")}, F.lit(True), F.col("good") > 0, latency_ns=3, stride=2)
+    assert {(r.status_reason, r.reason): r.orders for r in replay.counters(done).collect()} == {("CANCELED", "submit"): n}
+    assert done.agg(F.min("end_time"), F.max("end_time")).first()[:] == (n + 3, n + 3)
+    assert time.time() - began < 60

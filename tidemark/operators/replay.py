@@ -31,6 +31,8 @@ _KEY = ["instrument_id", "publisher_id"]
 _PARTS = 32
 #: Nanoseconds of a stretch of an as-of join.
 _HOUR = 3_600_000_000_000
+#: Snapshots of a stretch of the search for a look that doesn't hold.
+_LOOKS = 4096
 
 
 def _stream(rows: DataFrame, schema: str, start: Callable[[tuple], object]) -> DataFrame:
@@ -532,20 +534,26 @@ def policy_backtest(messages: DataFrame, orders: DataFrame, books: DataFrame, fe
     ``act`` decides on the features at entry, ``hold`` at every ``stride``-th
     snapshot after it up to the deadline, ``most`` of them at the most. An order
     without features, or one that isn't acted on, is SKIPPED with a reason. The
-    policy is columns: all decisions are made at once, before the replay.
+    policy is columns: all decisions are made at once, before the replay. Since
+    ``hold`` is of a snapshot (its features, ``ts_event`` and number ``look``),
+    an order's first look that doesn't hold is found without its other looks.
     """
-    seen = observed(orders, books, features, label=label)
+    shots = stage(books.select(*_KEY, "ts_event", "number", *(e.alias(n) for n, e in features.items())), "snapshots")
+    shots = running.numbered(shots.withColumn("look", F.col("number")), _KEY, ["look"], "number")
+    seen = observed(orders, shots, {n: F.col(n) for n in features}, label=label)
     decision = F.when(F.col("source").isNull(), "no_features").when(act, "submit").otherwise("policy")
     decided = stage(seen.withColumn("reason", decision), "decisions")
     submitted = decided.filter("reason = 'submit'").drop("cancel_time", *features)
-    shots = books.select(*_KEY, "ts_event", F.col("number").alias("look"), *(e.alias(n) for n, e in features.items()))
-    spans = submitted.select("order_id", "seen", F.col("entry_time").alias("from"), F.col("deadline").alias("to"), *_KEY)
-    looks = asof.within(spans, shots, by=_KEY, start="from", end="to", time="ts_event", width=_HOUR)
-    place = F.row_number().over(Window.partitionBy(*_KEY, "order_id").orderBy("look"))
-    looks = looks.withColumn("__n", place - 1).filter(F.col("__n") % stride == 0)
-    looks = looks.filter(F.col("__n") < most * stride) if most else looks
-    cancels = looks.filter(~hold).groupBy(*_KEY, "order_id").agg(F.min("ts_event").alias("cancel_time"))
-    done = backtest(messages, submitted.join(cancels, [*_KEY, "order_id"], "left"), latency_ns=latency_ns, **settings)
+    # an order looks at every stride-th snapshot from its first one on: at those of one turn
+    begun = submitted.withColumn("__begins", F.coalesce(F.col("seen") + 1, F.lit(0).cast("long")))
+    begun = begun.withColumn("__turn", F.col("__begins") % stride)
+    fails = shots.filter(~hold).select(*_KEY, (F.col("number") % stride).alias("__turn"), "number", F.col("ts_event").alias("cancel_time"))
+    met = asof.forward(begun, fails, by=[*_KEY, "__turn"], at="__begins", time="number", values=["cancel_time"], tie="cancel_time", width=_LOOKS, prefix="__")
+    alive = F.col("__cancel_time") <= F.col("deadline")
+    if most:
+        alive &= F.col("__number") < F.col("__begins") + most * stride
+    submitted = met.withColumn("cancel_time", F.when(alive, F.col("__cancel_time")))
+    done = backtest(messages, submitted, latency_ns=latency_ns, **settings)
     skipped = decided.filter("reason <> 'submit'").select(*_KEY, "order_id", "side", F.lit("SKIPPED").alias("status_reason"), "reason")
     return done.withColumn("reason", F.lit("submit")).unionByName(skipped, allowMissingColumns=True)
 
