@@ -156,6 +156,43 @@ def test_a_repeated_sequence_is_learned():
     assert loss(trainer.w) < 0.5 * before
 
 
+def test_every_position_is_learned_from():
+    """A pattern of 24 words, in which a word follows from the one before it, at places that a step of 24 would pass over."""
+    pattern = [0] + [1, 2, 5, 3, 6, 4, 7, 8] * 2 + [5, 1, 3, 2, 7, 6, 4]
+    codes = np.tile(pattern, 400)
+    offsets = np.arange(0, len(codes) + 1, 24)
+    counts = np.bincount(codes, minlength=10)
+    s = lm.Settings(heads=8, group=4, endings=2, places=2, dim=3, noise=2, batch=64, rate=0.05)
+    trainer, seen = lm.Trainer(lm._begin(counts[:8], counts[8:].astype(float), s), s, 3), []
+    step = trainer._step
+    trainer._step = lambda before, code: (seen.append(code), step(before, code))
+
+    def losses(w):
+        logs = -lm.Model(lm.Vocabulary([], s), w, None, None, None, 0, 0).log10(codes, lm.contexts(codes, offsets, s.places, np.arange(len(codes))))
+        return logs.reshape(-1, 24).mean(0)
+
+    before = losses(trainer.w)
+    for _ in range(8):
+        trainer.learn(codes, offsets)
+    assert np.array_equal(np.concatenate(seen), np.tile(codes, 8)) and losses(trainer.w)[1:].mean() < 0.7 * before[1:].mean()
+
+
+def test_each_text_is_in_one_round(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").union(spark.createDataFrame([(None,), ("",)], "text string"))
+    s = lm.Settings()
+    shares = [lm._share(docs.repartition(k + 2), k, s) for k in range(s.rounds)]
+    rows = [sorted(str(r.text) for r in x.collect()) for x in shares]
+    assert sorted(sum(rows, [])) == sorted(str(r.text) for r in docs.collect()) and all(len(x) > 300 for x in rows)
+
+
+def test_noise_is_drawn_by_weight():
+    weights = np.random.default_rng(5).gamma(0.4, size=(6, 16)) + 1e-12
+    own, other = lm._aliases(weights)
+    share = own.copy() / 16
+    np.add.at(share, other, (1 - own) / 16)
+    assert np.allclose(share.reshape(6, 16), weights / weights.sum(1, keepdims=True), atol=1e-9) and (other // 16 == np.arange(96) // 16).all()
+
+
 def test_the_model_beats_unigrams_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = lm.learn_and_score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()

@@ -10,11 +10,11 @@ of its class among all classes, times that of the word among the class's
 words (of the other words: its share of the class's count). Both are
 normalised, by batched matrix products, so all words' probabilities sum to one.
 
-Training goes through the whole training part: each task takes the model, goes
-on from it by noise-contrastive estimation over every ``each``-th of its
-tokens, and what they learned is averaged by tokens, ``rounds`` times. So what
-is gathered and learned from grows with the corpus, while a task's answer and
-the model have one size.
+Training goes through every token of the training part once: a hash deals its
+texts to ``rounds``; in a round each task takes the model, goes on from it by
+noise-contrastive estimation over all tokens of its texts of the round, and
+what they learned is averaged by tokens. So what is learned from grows with the
+corpus, while a task's answer and the model have one size.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ _STEP, _NARROW = 1 << 16, 1 << 11
 class Settings:
     """heads: words with vectors of their own, the end included, in classes of
     ``group``. endings: classes of other words. shortlist: at most so many words'
-    counts go to every executor. places: tokens of context. The rest: the
-    model's size and its training."""
+    counts go to every executor. places: tokens of context. each: 1 to learn
+    from every token, else from each so many-th. rounds: shares of the texts
+    between which tasks average. The rest: the model's size and its training."""
 
     heads: int = 4096
     group: int = 64
@@ -57,7 +58,7 @@ class Settings:
     dim: int = 32
     noise: int = 4
     batch: int = 2048
-    each: int = 24
+    each: int = 1
     rounds: int = 2
     rate: float = 0.1
     seed: int = 13
@@ -113,10 +114,11 @@ class Trainer:
         self.s, self.rng, self.tokens = s, np.random.default_rng(seed), 0
         self.moved = {k: np.full(getattr(weights, k).shape, 1e-4, np.float32) for k in Weights.NAMES}
         kinds = np.exp(weights.kind_bias.astype(float))
-        self.kind_noise = kinds / kinds.sum()
-        self.kind_upto = np.cumsum(self.kind_noise)
-        self.word_noise = np.exp(np.maximum(weights.word_bias.astype(float), -700)).reshape(-1, s.group)
-        self.word_upto = np.cumsum(self.word_noise, 1)
+        kinds /= kinds.sum()
+        self.kind_log, self.kind_draws = np.log(s.noise * kinds).astype(np.float32), _aliases(kinds[None])
+        noise = np.exp(np.maximum(weights.word_bias.astype(float), -700)).reshape(-1, s.group)
+        self.word_log = np.log(s.noise * np.maximum(noise, 1e-30)).astype(np.float32).reshape(-1)
+        self.word_draws = _aliases(noise)
 
     def learn(self, codes: np.ndarray, offsets: np.ndarray) -> None:
         s = self.s
@@ -126,55 +128,83 @@ class Trainer:
             self._step(before[k : k + s.batch], codes[at[k : k + s.batch]])
         self.tokens += len(codes)
 
-    def _nce(self, q: np.ndarray, out: np.ndarray, noise: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the first of ``out`` against the others: the gradient of each score, and of q."""
-        held = vectors[out]
-        scores = np.matmul(held, q[:, :, None])[:, :, 0] + bias[out]
-        g = 1 / (1 + np.exp(-np.clip(scores - np.log(self.s.noise * noise), -30, 30)))
-        g[:, 0] -= 1
-        return g.astype(np.float32), np.matmul(g[:, None, :].astype(np.float32), held)[:, 0]
+    def _drawn(self, draws: tuple[np.ndarray, np.ndarray], row: np.ndarray, wide: int) -> np.ndarray:
+        """Noise of a row of ``_aliases`` each."""
+        u = self.rng.random((len(row), self.s.noise)) * wide
+        at = u.astype(np.int64)
+        u -= at
+        at += row * wide
+        return np.where(u < draws[0].take(at), at, draws[1].take(at))
 
     def _step(self, before: np.ndarray, code: np.ndarray) -> None:
         s, w, n = self.s, self.w, len(code)
-        parts = w.context[before]
-        q = (parts * w.place).sum(1)
+        parts = w.context.take(before, axis=0)
+        q = np.einsum("npd,pd->nd", parts, w.place)
         head = code < s.heads
         kind = np.where(head, code // s.group, s.heads // s.group + code - s.heads)
-        drawn = np.minimum(np.searchsorted(self.kind_upto, self.rng.random((n, s.noise))), s.classes - 1)
-        kinds = np.concatenate([kind[:, None], drawn], 1)
-        gk, gq = self._nce(q, kinds, self.kind_noise[kinds], w.kind, w.kind_bias)
+        kinds = np.concatenate([kind[:, None], self._drawn(self.kind_draws, np.zeros((n, 1), np.int64), s.classes)], 1)
+        # classes are few: gradients of their scores as a matrix, and products with it
+        place = kinds + np.arange(n)[:, None] * s.classes
+        gk = _slope((q @ w.kind.T + w.kind_bias).reshape(-1)[place], self.kind_log[kinds])
+        dense = np.bincount(place.reshape(-1), gk.reshape(-1), n * s.classes).astype(np.float32).reshape(n, s.classes)
+        gq = dense @ w.kind
         rows = np.flatnonzero(head)
-        gw = words_ = None
         if len(rows):
-            own = kind[rows]
-            within = (self.word_upto[own][:, None, :] < self.rng.random((len(rows), s.noise, 1)) * self.word_upto[own][:, None, -1:]).sum(2)
-            words_ = np.concatenate([code[rows][:, None], own[:, None] * s.group + np.minimum(within, s.group - 1)], 1)
-            gw, gq_word = self._nce(q[rows], words_, np.maximum(self.word_noise.reshape(-1)[words_], 1e-30), w.word, w.word_bias)
-            gq[rows] += gq_word
-        self._move("place", None, (gq[:, None, :] * parts).sum(0) / n)
-        self._move_rows("context", before, gq[:, None, :] * w.place)
-        self._move_scored("kind", kinds, gk, q)
-        if words_ is not None:
-            self._move_scored("word", words_, gw, q[rows])
-
-    def _move(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
-        value, moved = getattr(self.w, name), self.moved[name]
-        here = slice(None) if rows is None else rows
-        moved[here] += grad * grad
-        value[here] -= self.s.rate * grad / np.sqrt(moved[here])
-
-    def _move_rows(self, name: str, at: np.ndarray, grads: np.ndarray) -> None:
-        """One step for each row: the mean of its gradients in the batch, as they come."""
-        flat = at.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-        total = np.add.reduceat(grads.reshape(len(flat), -1)[order], first, axis=0)
-        count = np.diff(np.append(first, len(flat)))
-        self._move(name, flat[order[first]], (total / np.sqrt(count)[:, None]).reshape(len(first), *getattr(self.w, name).shape[1:]))
+            words_ = np.concatenate([code[rows][:, None], self._drawn(self.word_draws, kind[rows][:, None], s.group)], 1)
+            held = w.word.take(words_, axis=0)
+            qw = q[rows]
+            gw = _slope(np.einsum("nkd,nd->nk", held, qw) + w.word_bias[words_], self.word_log[words_])
+            gq[rows] += np.einsum("nk,nkd->nd", gw, held)
+        order, first, met, root = _grouped(before.reshape(-1), len(w.context))
+        near = (gq[:, None, :] * w.place).reshape(-1, s.dim).take(order, axis=0)
+        self._move("place", slice(None), np.einsum("nd,npd->pd", gq, parts) / n)
+        self._move("context", met, np.add.reduceat(near, first, axis=0) / root[:, None])
+        count = np.sqrt(np.maximum(np.bincount(kinds.reshape(-1), minlength=s.classes), 1)).astype(np.float32)
+        self._move("kind", slice(None), dense.T @ q / count[:, None])
+        self._move("kind_bias", slice(None), dense.sum(0) / count)
+        if len(rows):
+            order, first, met, root = _grouped(words_.reshape(-1), s.heads)
+            g = gw.reshape(-1)[order]
+            self._move("word", met, np.add.reduceat(qw[order // (s.noise + 1)] * g[:, None], first, axis=0) / root[:, None])
+            self._move("word_bias", met, np.add.reduceat(g, first) / root)
 
-    def _move_scored(self, name: str, out: np.ndarray, g: np.ndarray, q: np.ndarray) -> None:
-        self._move_rows(name, out, g[:, :, None] * q[:, None, :])
-        self._move_rows(f"{name}_bias", out, g[:, :, None])
+    def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray) -> None:
+        value, moved = getattr(self.w, name), self.moved[name]
+        upto = moved[rows] + grad * grad
+        moved[rows] = upto
+        value[rows] -= self.s.rate * grad / np.sqrt(upto)
+
+
+def _aliases(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's places the share that is their own and the place that has the rest (Walker): a draw by weight is one look."""
+    rows, wide = weights.shape
+    share = weights / np.maximum(weights.sum(1, keepdims=True), 1e-300) * wide
+    own, other = np.ones((rows, wide)), np.tile(np.arange(wide), (rows, 1))
+    for r, left in enumerate(share.tolist()):
+        small, large = [k for k in range(wide) if left[k] < 1], [k for k in range(wide) if left[k] >= 1]
+        while small and large:
+            k, big = small.pop(), large[-1]
+            own[r, k], other[r, k] = left[k], big
+            left[big] -= 1 - left[k]
+            if left[big] < 1:
+                small.append(large.pop())
+    return own.reshape(-1), (other + np.arange(rows)[:, None] * wide).reshape(-1)
+
+
+def _slope(scores: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The gradient of each score of the first column against the others, by the logs of their noise."""
+    g = 1 / (1 + np.exp(-np.clip(scores - noise, -30, 30)))
+    g[:, 0] -= 1
+    return g
+
+
+def _grouped(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings equal rows together, where each begins, the rows, and the roots of how often they come: a row
+    takes one step a batch, its gradients' sum over that root."""
+    order = np.argsort(at.astype(np.int16) if size <= 1 << 15 else at, kind="stable")
+    sorted_ = at[order]
+    first = np.flatnonzero(np.append(True, np.diff(sorted_) != 0))
+    return order, first, sorted_[first], np.sqrt(np.diff(np.append(first, len(at)))).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -301,8 +331,13 @@ def _heads(names: list[str], counts: np.ndarray, s: Settings) -> tuple[list[str]
     return ordered, np.array([0 if x is None else max(count[x], 1) for x in ordered], np.int64)
 
 
+def _share(own: DataFrame, turn: int, s: Settings) -> DataFrame:
+    """The texts of a round: each text is in one, however rows are dealt."""
+    return own.filter(F.pmod(F.xxhash64("text"), F.lit(s.rounds)) == turn)
+
+
 def _trained(own: DataFrame, vocabulary: Vocabulary, weights: Weights, s: Settings, turn: int) -> Weights:
-    """The weights after one round over all texts: each task's change, averaged by its tokens."""
+    """The weights after one round over its texts: each task's change, averaged by its tokens."""
     sent = own.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +406,7 @@ def fit(docs: DataFrame, *, text: str = "text", settings: Settings = Settings())
     ending_total[by_ending["ending"].to_numpy()] += by_ending["n"].to_numpy()
     weights = _begin(head_counts, ending_total, s)
     for turn in range(s.rounds if total else 0):
-        weights = _trained(own, vocabulary, weights, s, turn)
+        weights = _trained(_share(own, turn, s), vocabulary, weights, s, turn)
         settle(docs)
     return Model(vocabulary, weights, names, known, ending_total, total, distinct), counts
 
