@@ -165,7 +165,7 @@ def test_every_position_is_learned_from():
     s = lm.Settings(heads=8, group=4, endings=2, places=2, dim=3, noise=2, batch=64, rate=0.05)
     trainer, seen = lm.Trainer(lm._begin(counts[:8], counts[8:].astype(float), s), s, 3), []
     step = trainer._step
-    trainer._step = lambda before, code: (seen.append(code), step(before, code))
+    trainer._step = lambda row, at: (seen.append(row[at]), step(row, at))
 
     def losses(w):
         logs = -lm.Model(lm.Vocabulary([], s), w, None, None, None, 0, 0).log10(codes, lm.contexts(codes, offsets, s.places, np.arange(len(codes))))

@@ -57,7 +57,7 @@ class Settings:
     places: int = 4
     dim: int = 32
     noise: int = 4
-    batch: int = 2048
+    batch: int = 8192
     each: int = 1
     rounds: int = 2
     rate: float = 0.1
@@ -122,10 +122,16 @@ class Trainer:
 
     def learn(self, codes: np.ndarray, offsets: np.ndarray) -> None:
         s = self.s
-        at = np.arange(-self.tokens % s.each, len(codes), s.each)
-        before = contexts(codes, offsets, s.places, at)
+        # with as many ends before each text as there are places, what is before a token is its context
+        sizes = np.diff(offsets)
+        row = np.zeros(len(codes) + s.places * len(sizes), codes.dtype)
+        at = np.arange(len(codes)) + np.repeat(s.places * np.arange(1, len(sizes) + 1), sizes)
+        row[at] = codes
+        at = at[-self.tokens % s.each :: s.each]
         for k in range(0, len(at), s.batch):
-            self._step(before[k : k + s.batch], codes[at[k : k + s.batch]])
+            some = at[k : k + s.batch]
+            begin = some[0] - s.places
+            self._step(row[begin : some[-1] + 1], some - begin)
         self.tokens += len(codes)
 
     def _drawn(self, draws: tuple[np.ndarray, np.ndarray], row: np.ndarray, wide: int) -> np.ndarray:
@@ -136,37 +142,61 @@ class Trainer:
         at += row * wide
         return np.where(u < draws[0].take(at), at, draws[1].take(at))
 
-    def _step(self, before: np.ndarray, code: np.ndarray) -> None:
-        s, w, n = self.s, self.w, len(code)
-        parts = w.context.take(before, axis=0)
-        q = np.einsum("npd,pd->nd", parts, w.place)
-        head = code < s.heads
-        kind = np.where(head, code // s.group, s.heads // s.group + code - s.heads)
+    def _step(self, row: np.ndarray, at: np.ndarray) -> None:
+        """One step on the tokens ``at`` of a row of codes; vectors and gradients of context are summed by place in the row."""
+        s, w, n, code = self.s, self.w, len(at), row[at]
+        parts = w.context.take(row, axis=0)
+        q = np.zeros((n, s.dim), np.float32)
+        behind = [at - 1 - p if n < at[-1] - at[0] + 1 else slice(at[0] - 1 - p, at[-1] - p) for p in range(s.places)]
+        for p, here in enumerate(behind):
+            q += parts[here] * w.place[p]
+        kind = np.where(code < s.heads, code // s.group, s.heads // s.group + code - s.heads)
+        gq = np.empty_like(q)
+        moves = {"kind": np.zeros_like(w.kind), "kind_bias": np.zeros_like(w.kind_bias)}
         kinds = np.concatenate([kind[:, None], self._drawn(self.kind_draws, np.zeros((n, 1), np.int64), s.classes)], 1)
-        # classes are few: gradients of their scores as a matrix, and products with it
-        place = kinds + np.arange(n)[:, None] * s.classes
-        gk = _slope((q @ w.kind.T + w.kind_bias).reshape(-1)[place], self.kind_log[kinds])
-        dense = np.bincount(place.reshape(-1), gk.reshape(-1), n * s.classes).astype(np.float32).reshape(n, s.classes)
-        gq = dense @ w.kind
-        rows = np.flatnonzero(head)
+        for k in range(0, n, _NARROW):
+            some, mine = q[k : k + _NARROW], kinds[k : k + _NARROW]
+            g = _dense(some @ w.kind.T + w.kind_bias, mine, self.kind_log[mine])
+            np.matmul(g, w.kind, out=gq[k : k + _NARROW])
+            moves["kind"] += g.T @ some
+            moves["kind_bias"] += g.sum(0)
+        self._rooted("kind", kinds, moves)
+        order = np.argsort(kind.astype(np.int16) if s.classes <= 1 << 15 else kind, kind="stable")
+        cut = np.searchsorted(kind[order], np.arange(s.heads // s.group + 1))
+        rows = order[: cut[-1]]
         if len(rows):
             words_ = np.concatenate([code[rows][:, None], self._drawn(self.word_draws, kind[rows][:, None], s.group)], 1)
-            held = w.word.take(words_, axis=0)
-            qw = q[rows]
-            gw = _slope(np.einsum("nkd,nd->nk", held, qw) + w.word_bias[words_], self.word_log[words_])
-            gq[rows] += np.einsum("nk,nkd->nd", gw, held)
-        order, first, met, root = _grouped(before.reshape(-1), len(w.context))
-        near = (gq[:, None, :] * w.place).reshape(-1, s.dim).take(order, axis=0)
-        self._move("place", slice(None), np.einsum("nd,npd->pd", gq, parts) / n)
-        self._move("context", met, np.add.reduceat(near, first, axis=0) / root[:, None])
-        count = np.sqrt(np.maximum(np.bincount(kinds.reshape(-1), minlength=s.classes), 1)).astype(np.float32)
-        self._move("kind", slice(None), dense.T @ q / count[:, None])
-        self._move("kind_bias", slice(None), dense.sum(0) / count)
-        if len(rows):
-            order, first, met, root = _grouped(words_.reshape(-1), s.heads)
-            g = gw.reshape(-1)[order]
-            self._move("word", met, np.add.reduceat(qw[order // (s.noise + 1)] * g[:, None], first, axis=0) / root[:, None])
-            self._move("word_bias", met, np.add.reduceat(g, first) / root)
+            qw, scores, gw = q[rows], np.empty((len(rows), s.group), np.float32), np.empty((len(rows), s.dim), np.float32)
+            grouped, bias = w.word.reshape(-1, s.group, s.dim), w.word_bias.reshape(-1, s.group)
+            spans = [(c, cut[c], cut[c + 1]) for c in range(len(cut) - 1) if cut[c] < cut[c + 1]]
+            for c, i, j in spans:
+                np.matmul(qw[i:j], grouped[c].T, out=scores[i:j])
+                scores[i:j] += bias[c]
+            g = _dense(scores, words_ % s.group, self.word_log[words_])
+            moves = {"word": np.zeros_like(w.word), "word_bias": np.zeros_like(w.word_bias)}
+            for c, i, j in spans:
+                np.matmul(g[i:j], grouped[c], out=gw[i:j])
+                np.matmul(g[i:j].T, qw[i:j], out=moves["word"][c * s.group : (c + 1) * s.group])
+                moves["word_bias"][c * s.group : (c + 1) * s.group] = g[i:j].sum(0)
+            gq[rows] += gw
+            self._rooted("word", words_, moves)
+        near, used, place = np.zeros_like(parts), np.zeros(len(row), np.float32), np.empty_like(w.place)
+        for p, here in enumerate(behind):
+            near[here] += gq * w.place[p]
+            used[here] += 1
+            place[p] = np.einsum("nd,nd->d", gq, parts[here])
+        self._move("place", slice(None), place / n)
+        near, used, row = (near, used, row) if used.all() else (near[used > 0], used[used > 0], row[used > 0])
+        order = np.argsort(row.astype(np.int16) if len(w.context) <= 1 << 15 else row, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(row[order]) != 0))
+        root = np.sqrt(np.add.reduceat(used[order], first))
+        self._move("context", row[order[first]], np.add.reduceat(near.take(order, axis=0), first, axis=0) / root[:, None])
+
+    def _rooted(self, name: str, out: np.ndarray, moves: dict[str, np.ndarray]) -> None:
+        """A row takes one step a batch: its gradients' sum over the root of how often it came."""
+        root = np.sqrt(np.maximum(np.bincount(out.reshape(-1), minlength=len(moves[name])), 1)).astype(np.float32)
+        self._move(name, slice(None), moves[name] / root[:, None])
+        self._move(f"{name}_bias", slice(None), moves[f"{name}_bias"] / root)
 
     def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray) -> None:
         value, moved = getattr(self.w, name), self.moved[name]
@@ -191,20 +221,16 @@ def _aliases(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own.reshape(-1), (other + np.arange(rows)[:, None] * wide).reshape(-1)
 
 
-def _slope(scores: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The gradient of each score of the first column against the others, by the logs of their noise."""
-    g = 1 / (1 + np.exp(-np.clip(scores - noise, -30, 30)))
+def _dense(scores: np.ndarray, out: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The gradient of all ``scores`` where each row has its own column ``out[:, 0]`` against the others, by the logs of their noise."""
+    n, wide = scores.shape
+    place = out + np.arange(n)[:, None] * wide
+    g = 1 / (1 + np.exp(-np.clip(scores.reshape(-1)[place] - noise, -30, 30)))
     g[:, 0] -= 1
-    return g
-
-
-def _grouped(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The order that brings equal rows together, where each begins, the rows, and the roots of how often they come: a row
-    takes one step a batch, its gradients' sum over that root."""
-    order = np.argsort(at.astype(np.int16) if size <= 1 << 15 else at, kind="stable")
-    sorted_ = at[order]
-    first = np.flatnonzero(np.append(True, np.diff(sorted_) != 0))
-    return order, first, sorted_[first], np.sqrt(np.diff(np.append(first, len(at)))).astype(np.float32)
+    dense = np.zeros(n * wide, np.float32)
+    for k in range(out.shape[1]):  # a row may draw a column twice
+        dense[place[:, k]] += g[:, k]
+    return dense.reshape(n, wide)
 
 
 @dataclass(frozen=True)
