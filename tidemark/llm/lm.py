@@ -38,8 +38,10 @@ END = ""
 LONG = 64
 #: Parameters of one row of a task's answer.
 _BLOCK = 1 << 14
-#: Tokens that are scored at once, within the classes' words and among the classes.
-_STEP, _NARROW = 1 << 16, 1 << 11
+#: Tokens that are scored at once, within the classes' words and among the classes, and those of one product of matrices that stays in a core's cache.
+_STEP, _NARROW, _SMALL = 1 << 14, 1 << 11, 1 << 8
+#: Vectors that are multiplied as one.
+_LONG = 32
 
 
 @dataclass(frozen=True)
@@ -119,14 +121,11 @@ class Trainer:
         noise = np.exp(np.maximum(weights.word_bias.astype(float), -700)).reshape(-1, s.group)
         self.word_log = np.log(s.noise * np.maximum(noise, 1e-30)).astype(np.float32).reshape(-1)
         self.word_draws = _aliases(noise)
+        self.room = np.empty((_NARROW, s.classes), np.float32)
 
     def learn(self, codes: np.ndarray, offsets: np.ndarray) -> None:
         s = self.s
-        # with as many ends before each text as there are places, what is before a token is its context
-        sizes = np.diff(offsets)
-        row = np.zeros(len(codes) + s.places * len(sizes), codes.dtype)
-        at = np.arange(len(codes)) + np.repeat(s.places * np.arange(1, len(sizes) + 1), sizes)
-        row[at] = codes
+        row, at = _laid(codes, offsets, s.places)
         at = at[-self.tokens % s.each :: s.each]
         for k in range(0, len(at), s.batch):
             some = at[k : k + s.batch]
@@ -134,75 +133,135 @@ class Trainer:
             self._step(row[begin : some[-1] + 1], some - begin)
         self.tokens += len(codes)
 
-    def _drawn(self, draws: tuple[np.ndarray, np.ndarray], row: np.ndarray, wide: int) -> np.ndarray:
-        """Noise of a row of ``_aliases`` each."""
-        u = self.rng.random((len(row), self.s.noise)) * wide
+    def _drawn(self, draws: tuple[np.ndarray, np.ndarray], begin: np.ndarray | int, n: int, wide: int) -> np.ndarray:
+        """Noise for ``n`` tokens, of the ``wide`` places from ``begin`` of ``_aliases`` on, a draw of each a row."""
+        u = self.rng.random((self.s.noise, n))
+        u *= wide
         at = u.astype(np.int64)
         u -= at
-        at += row * wide
+        at += begin
         return np.where(u < draws[0].take(at), at, draws[1].take(at))
 
     def _step(self, row: np.ndarray, at: np.ndarray) -> None:
         """One step on the tokens ``at`` of a row of codes; vectors and gradients of context are summed by place in the row."""
-        s, w, n, code = self.s, self.w, len(at), row[at]
-        parts = w.context.take(row, axis=0)
-        q = np.zeros((n, s.dim), np.float32)
-        behind = [at - 1 - p if n < at[-1] - at[0] + 1 else slice(at[0] - 1 - p, at[-1] - p) for p in range(s.places)]
-        for p, here in enumerate(behind):
-            q += parts[here] * w.place[p]
-        kind = np.where(code < s.heads, code // s.group, s.heads // s.group + code - s.heads)
+        s, w, n = self.s, self.w, len(at)
+        parts, code = w.context.take(row, axis=0), row[at]
+        kind = _kinds(code, s)
+        order = np.argsort(kind.astype(np.int16) if s.classes <= 1 << 15 else kind, kind="stable")
+        at, code, kind = at[order], code[order], kind[order]  # by class from here on
+        q = _ahead(parts, w.place).take(at - s.places, axis=0)
         gq = np.empty_like(q)
-        moves = {"kind": np.zeros_like(w.kind), "kind_bias": np.zeros_like(w.kind_bias)}
-        kinds = np.concatenate([kind[:, None], self._drawn(self.kind_draws, np.zeros((n, 1), np.int64), s.classes)], 1)
+        grad = np.zeros_like(w.kind)
+        kinds = np.concatenate([kind[None], self._drawn(self.kind_draws, 0, n, s.classes)])
+        shift, by_class, g = w.kind_bias - self.kind_log, np.ascontiguousarray(w.kind.T), np.empty(kinds.shape, np.float32)
         for k in range(0, n, _NARROW):
-            some, mine = q[k : k + _NARROW], kinds[k : k + _NARROW]
-            g = _dense(some @ w.kind.T + w.kind_bias, mine, self.kind_log[mine])
-            np.matmul(g, w.kind, out=gq[k : k + _NARROW])
-            moves["kind"] += g.T @ some
-            moves["kind_bias"] += g.sum(0)
-        self._rooted("kind", kinds, moves)
-        order = np.argsort(kind.astype(np.int16) if s.classes <= 1 << 15 else kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(s.heads // s.group + 1))
-        rows = order[: cut[-1]]
-        if len(rows):
-            words_ = np.concatenate([code[rows][:, None], self._drawn(self.word_draws, kind[rows][:, None], s.group)], 1)
-            qw, scores, gw = q[rows], np.empty((len(rows), s.group), np.float32), np.empty((len(rows), s.dim), np.float32)
-            grouped, bias = w.word.reshape(-1, s.group, s.dim), w.word_bias.reshape(-1, s.group)
-            spans = [(c, cut[c], cut[c + 1]) for c in range(len(cut) - 1) if cut[c] < cut[c + 1]]
+            end = min(k + _NARROW, n)
+            spans, scores, mine = [(i, min(i + _SMALL, end)) for i in range(k, end, _SMALL)], self.room[: end - k], kinds[:, k:end]
+            for i, j in spans:
+                np.matmul(q[i:j], by_class, out=scores[i - k : j - k])
+            g[:, k:end] = _dense(scores, mine, shift.take(mine))
+            for i, j in spans:
+                some = scores[i - k : j - k]
+                np.matmul(some, w.kind, out=gq[i:j])
+                grad += some.T @ q[i:j]
+        self._rooted("kind", kinds, g, grad)
+        cut = np.searchsorted(kind, np.arange(s.heads // s.group + 1))
+        m = cut[-1]
+        if m:
+            out = np.concatenate([code[None, :m], self._drawn(self.word_draws, kind[:m] * s.group, m, s.group)])
+            scores, grad, gw = np.empty((m, s.group), np.float32), np.zeros_like(w.word), np.empty((m, s.dim), np.float32)
+            grouped, moves = w.word.reshape(-1, s.group, s.dim), grad.reshape(-1, s.group, s.dim)
+            spans = [(c, i, j) for c, (i, j) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if i < j]
             for c, i, j in spans:
-                np.matmul(qw[i:j], grouped[c].T, out=scores[i:j])
-                scores[i:j] += bias[c]
-            g = _dense(scores, words_ % s.group, self.word_log[words_])
-            moves = {"word": np.zeros_like(w.word), "word_bias": np.zeros_like(w.word_bias)}
+                np.matmul(q[i:j], grouped[c].T, out=scores[i:j])
+            g = _dense(scores, out - kind[:m] * s.group, (w.word_bias - self.word_log).take(out))
             for c, i, j in spans:
-                np.matmul(g[i:j], grouped[c], out=gw[i:j])
-                np.matmul(g[i:j].T, qw[i:j], out=moves["word"][c * s.group : (c + 1) * s.group])
-                moves["word_bias"][c * s.group : (c + 1) * s.group] = g[i:j].sum(0)
-            gq[rows] += gw
-            self._rooted("word", words_, moves)
-        near, used, place = np.zeros_like(parts), np.zeros(len(row), np.float32), np.empty_like(w.place)
-        for p, here in enumerate(behind):
-            near[here] += gq * w.place[p]
-            used[here] += 1
-            place[p] = np.einsum("nd,nd->d", gq, parts[here])
+                np.matmul(scores[i:j], grouped[c], out=gw[i:j])
+                np.matmul(scores[i:j].T, q[i:j], out=moves[c])
+            gq[:m] += gw
+            self._rooted("word", out, g, grad)
+        back, there = np.zeros_like(parts), np.zeros(len(row), np.float32)
+        back[at], there[at] = gq, 1
+        near, place = _behind(parts, back[s.places :], w.place)
+        used = np.zeros(len(row), np.float32)
+        for p in range(s.places):
+            used[s.places - 1 - p : len(row) - 1 - p] += there[s.places :]
         self._move("place", slice(None), place / n)
-        near, used, row = (near, used, row) if used.all() else (near[used > 0], used[used > 0], row[used > 0])
         order = np.argsort(row.astype(np.int16) if len(w.context) <= 1 << 15 else row, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(row[order]) != 0))
-        root = np.sqrt(np.add.reduceat(used[order], first))
+        root = np.sqrt(np.maximum(np.add.reduceat(used[order], first), 1))
         self._move("context", row[order[first]], np.add.reduceat(near.take(order, axis=0), first, axis=0) / root[:, None])
 
-    def _rooted(self, name: str, out: np.ndarray, moves: dict[str, np.ndarray]) -> None:
+    def _rooted(self, name: str, out: np.ndarray, g: np.ndarray, grad: np.ndarray) -> None:
         """A row takes one step a batch: its gradients' sum over the root of how often it came."""
-        root = np.sqrt(np.maximum(np.bincount(out.reshape(-1), minlength=len(moves[name])), 1)).astype(np.float32)
-        self._move(name, slice(None), moves[name] / root[:, None])
-        self._move(f"{name}_bias", slice(None), moves[f"{name}_bias"] / root)
+        out = out.reshape(-1)
+        root = np.sqrt(np.maximum(np.bincount(out, minlength=len(grad)), 1)).astype(np.float32)
+        bias = np.bincount(out, g.reshape(-1), len(grad)).astype(np.float32)
+        grad /= root[:, None]
+        self._move(name, slice(None), grad)
+        self._move(f"{name}_bias", slice(None), bias / root)
 
     def _move(self, name: str, rows: np.ndarray | slice, grad: np.ndarray) -> None:
         value, moved = getattr(self.w, name), self.moved[name]
-        upto = moved[rows] + grad * grad
+        upto = moved[rows]
+        upto += grad * grad
         moved[rows] = upto
-        value[rows] -= self.s.rate * grad / np.sqrt(upto)
+        grad /= np.sqrt(upto)
+        grad *= self.s.rate
+        value[rows] -= grad
+
+
+def _kinds(code: np.ndarray, s: Settings) -> np.ndarray:
+    """The class of each code."""
+    return np.where(code < s.heads, code // s.group, s.heads // s.group + code - s.heads)
+
+
+def _laid(codes: np.ndarray, offsets: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of codes with as many ends before each text as there are places, and each token's position: what is before a token is its context."""
+    sizes = np.diff(offsets)
+    row = np.zeros(len(codes) + places * len(sizes), codes.dtype)
+    at = np.arange(len(codes)) + np.repeat(places * np.arange(1, len(sizes) + 1), sizes)
+    row[at] = codes
+    return row, at
+
+
+def _times(rows: np.ndarray, tile: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Each row times the vector that ``tile`` repeats: many rows are one, since numpy is slow on short ones."""
+    rows, held = rows.reshape(-1), out.reshape(-1)
+    whole = len(rows) // len(tile) * len(tile)
+    np.multiply(rows[:whole].reshape(-1, len(tile)), tile, out=held[:whole].reshape(-1, len(tile)))
+    np.multiply(rows[whole:], tile[: len(rows) - whole], out=held[whole:])
+    return out
+
+
+def _ahead(parts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each position that has all places before it: the sum of the vectors there, weighted by place."""
+    places, dim = place.shape
+    n, tiles = len(parts) - places, np.tile(place, (1, _LONG))
+    q, more = np.empty((n, dim), np.float32), np.empty((_NARROW, dim), np.float32)
+    for a in range(0, n, _NARROW):
+        b = min(a + _NARROW, n)
+        _times(parts[a + places - 1 : b + places - 1], tiles[0], q[a:b])
+        for p in range(1, places):
+            q[a:b] += _times(parts[a + places - 1 - p : b + places - 1 - p], tiles[p], more[: b - a])
+    return q
+
+
+def _behind(parts: np.ndarray, gq: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of the vectors and of the places, of the gradient of what ``_ahead`` makes of them."""
+    places, dim = place.shape
+    tiles, more, wide = np.tile(place, (1, _LONG)), np.empty((_NARROW, dim), np.float32), _LONG * dim
+    near, own = np.zeros_like(parts), np.zeros((places, dim), np.float32)
+    for a in range(0, len(gq), _NARROW):
+        some = gq[a : a + _NARROW]
+        held = more[: len(some)]
+        flat, whole = held.reshape(-1), held.size // wide * wide
+        for p in range(places):
+            here = slice(a + places - 1 - p, a + places - 1 - p + len(some))
+            near[here] += _times(some, tiles[p], held)
+            np.multiply(some, parts[here], out=held)
+            own[p] += flat[:whole].reshape(-1, wide).sum(0).reshape(-1, dim).sum(0) + flat[whole:].reshape(-1, dim).sum(0)
+    return near, own
 
 
 def _aliases(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,16 +280,24 @@ def _aliases(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own.reshape(-1), (other + np.arange(rows)[:, None] * wide).reshape(-1)
 
 
-def _dense(scores: np.ndarray, out: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The gradient of all ``scores`` where each row has its own column ``out[:, 0]`` against the others, by the logs of their noise."""
+def _dense(scores: np.ndarray, out: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Writes over ``scores`` the gradient of a row's own column ``out[0]`` against the others, and returns that of each.
+
+    ``shift``: the biases less the logs of the noise."""
     n, wide = scores.shape
-    place = out + np.arange(n)[:, None] * wide
-    g = 1 / (1 + np.exp(-np.clip(scores.reshape(-1)[place] - noise, -30, 30)))
-    g[:, 0] -= 1
-    dense = np.zeros(n * wide, np.float32)
-    for k in range(out.shape[1]):  # a row may draw a column twice
-        dense[place[:, k]] += g[:, k]
-    return dense.reshape(n, wide)
+    flat, place = scores.reshape(-1), out + np.arange(n) * wide
+    g = flat.take(place)
+    g += shift
+    np.clip(g, -30, 30, out=g)
+    np.negative(g, out=g)
+    np.exp(g, out=g)
+    g += 1
+    np.divide(1, g, out=g)
+    g[0] -= 1
+    scores.fill(0)
+    for at, more in zip(place, g):  # a row may draw a column twice
+        flat[at] += more
+    return g
 
 
 @dataclass(frozen=True)
@@ -243,8 +310,9 @@ class Vocabulary:
     def of(self, distinct: pa.Array) -> np.ndarray:
         s = self.settings
         head = pc.index_in(distinct, value_set=pa.array(self.heads, pa.string()))
-        ending = hashes(pc.utf8_slice_codeunits(distinct, -2), 5) % np.uint64(s.endings)
-        return np.where(head.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(head, 0).to_numpy(zero_copy_only=False), s.heads + ending.astype(np.int64))
+        endings, which = encode(pc.utf8_slice_codeunits(distinct, -2))
+        ending = (hashes(endings, 5) % np.uint64(s.endings)).astype(np.int64)[which]
+        return np.where(head.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(head, 0).to_numpy(zero_copy_only=False), s.heads + ending)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -284,45 +352,65 @@ class Model:
 
     def log10(self, codes: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 probability of each code's class, and of a head within it, after the codes before it."""
+        out = np.empty(len(codes))
+        for k in range(0, len(codes), _STEP):
+            q = np.einsum("npd,pd->nd", self.weights.context[before[k : k + _STEP]], self.weights.place)
+            out[k : k + _STEP] = self._given(q, codes[k : k + _STEP])
+        return out
+
+    def log10_of_texts(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The same of each token of whole texts, each after those before it in its text."""
         s, w = self.vocabulary.settings, self.weights
+        row, at = _laid(codes, offsets, s.places)
         out = np.empty(len(codes))
-        tables = [w.context * w.place[p] for p in range(s.places)]
-        grouped, bias, kinds = w.word.reshape(-1, s.group, s.dim), w.word_bias.reshape(-1, s.group), np.ascontiguousarray(w.kind.T)
-        size = min(_STEP, len(codes))
-        held, part = np.empty((size, s.dim), np.float32), np.empty((size, s.dim), np.float32)
-        room = np.empty((min(_NARROW, size), s.classes), np.float32)
         for k in range(0, len(codes), _STEP):
-            code = codes[k : k + _STEP]
-            q, more = held[: len(code)], part[: len(code)]
-            np.take(tables[0], before[k : k + _STEP, 0], axis=0, out=q)
-            for p in range(1, s.places):
-                np.take(tables[p], before[k : k + _STEP, p], axis=0, out=more)
-                q += more
-            kind = np.where(code < s.heads, code // s.group, s.heads // s.group + code - s.heads)
-            total = np.empty(len(code))
-            for j in range(0, len(code), _NARROW):
-                some = q[j : j + _NARROW]
-                logits = np.matmul(some, kinds, out=room[: len(some)])
-                logits += w.kind_bias
-                total[j : j + _NARROW] = _logs(logits, kind[j : j + _NARROW])
-            order = np.argsort(kind.astype(np.int16), kind="stable")
-            order = order[: np.searchsorted(kind[order], s.heads // s.group)]
-            cut = np.append(np.flatnonzero(np.append(True, np.diff(kind[order]) != 0)), len(order)) if len(order) else []
-            for a, b in zip(cut, cut[1:]):
-                rows, own = order[a:b], kind[order[a]]
-                total[rows] += _logs(q[rows] @ grouped[own].T + bias[own], code[rows] % s.group)
-            out[k : k + _STEP] = total / np.log(10)
+            some = at[k : k + _STEP]
+            begin = some[0] - s.places
+            q = _ahead(w.context.take(row[begin : some[-1] + 1], axis=0), w.place)
+            out[k : k + _STEP] = self._given(q if len(q) == len(some) else q.take(some - some[0], axis=0), codes[k : k + _STEP])
+        return out
+
+    def _given(self, q: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each code where the vectors before it add up to ``q``."""
+        s, w = self.vocabulary.settings, self.weights
+        kind = _kinds(code, s)
+        order = np.argsort(kind.astype(np.int16) if s.classes <= 1 << 15 else kind, kind="stable")
+        q, code, kind = q.take(order, axis=0), code[order], kind[order]
+        total, by_class, room = np.empty(len(code)), np.ascontiguousarray(w.kind.T), np.empty((min(_NARROW, len(code)), s.classes), np.float32)
+        for k in range(0, len(code), _NARROW):
+            logits = room[: len(code) - k]
+            for i in range(0, len(logits), _SMALL):
+                np.matmul(q[k + i : k + min(i + _SMALL, len(logits))], by_class, out=logits[i : i + _SMALL])
+            total[k : k + _NARROW] = _logs(logits, kind[k : k + _NARROW], [(0, len(logits), w.kind_bias)])
+        cut = np.searchsorted(kind, np.arange(s.heads // s.group + 1)).tolist()
+        grouped, bias = w.word.reshape(-1, s.group, s.dim), w.word_bias.reshape(-1, s.group)
+        logits = np.empty((cut[-1], s.group), np.float32)
+        spans = [(i, j, c) for c, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+        for i, j, c in spans:
+            np.matmul(q[i:j], grouped[c].T, out=logits[i:j])
+        total[: cut[-1]] += _logs(logits, code[: cut[-1]] % s.group, [(i, j, bias[c]) for i, j, c in spans])
+        out = np.empty(len(code))
+        out[order] = total / np.log(10)
         return out
 
 
-def _logs(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Normalised log probability of one column of each row."""
-    with np.errstate(over="ignore", divide="ignore"):
-        out = logits[np.arange(len(at)), at] - np.log(np.exp(logits) @ np.ones(logits.shape[1], np.float32))
-    far = np.flatnonzero(~np.isfinite(out))  # too large or too small to sum as they are
-    if len(far):
-        some = logits[far] - logits[far].max(1, keepdims=True)
-        out[far] = some[np.arange(len(far)), at[far]] - np.log(np.exp(some).sum(1))
+def _logs(logits: np.ndarray, at: np.ndarray, spans: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """Normalised log probability of one column of each row; ``spans``: rows from, to, and their columns' biases, which ``logits`` lack."""
+    n, wide = logits.shape
+    out, total = logits.reshape(-1).take(np.arange(n) * wide + at), np.empty(n, np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        each = np.exp(logits)
+        for i, j, bias in spans:
+            np.matmul(each[i:j], np.exp(bias), out=total[i:j])
+            out[i:j] += bias.take(at[i:j])
+        far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))  # too large or too small to sum as they are
+    total[far] = 1
+    out -= np.log(total)
+    for i, j, bias in spans if len(far) else ():
+        rows = far[(far >= i) & (far < j)]
+        some = logits[rows] + bias
+        some -= some.max(1, keepdims=True)
+        out[rows] = some[np.arange(len(rows)), at[rows]] - np.log(np.exp(some).sum(1))
     return out
 
 
@@ -463,8 +551,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, text: str = "text
             c = np.where(there, m.shortlist_counts[pc.fill_null(found, 0).to_numpy(zero_copy_only=False)], 0)
             base = np.where(there, np.log10(c + 1.0) - log_all, 0.0)
             within = np.where(there & (kind >= s.heads), np.log10(c + 1.0) - log_ending[kind], 0.0)
-            kinds = kind[code]
-            logs = m.log10(kinds, contexts(kinds, offsets, s.places, np.arange(len(kinds)))) + within[code]
+            logs = m.log10_of_texts(kind[code], offsets) + within[code]
             doc = owner(offsets)
             rare = ~there[code]
             both, n = np.unique((doc[rare] << 32) | code[rare], return_counts=True)
