@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
 from tidemark.llm import shingles, simhash, substring
 from tidemark.llm.components import components
@@ -176,6 +177,18 @@ def test_very_long_periodic_texts(spark):
     assert {r.doc_id: (r.n_words, r.n_removed) for r in got} == {1: (400_000, 399_999), 2: (300_000, 299_997), 3: (300_000, 295_000)}
 
 
+def test_packed_texts_are_opened_by_their_unpacked_size():
+    texts = [f"u{k} ".encode() + b"much the same again " * 5_000 for k in range(40)] + [b"", b"a " * 400_000, b"z"]
+    packed = [zstandard.ZstdCompressor(level=1).compress(x) for x in texts]
+    assert sum(map(len, packed)) < 1 << 14  # a slice by packed size would hold all of them
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.record_batch([ids, ids, ids, pa.array(packed, pa.binary())], names=["id", "doc", "tag", "packed"])
+    parts = list(substring._opened(batch, 1 << 18))
+    assert [x for _, raws in parts for x in raws] == texts
+    assert [i for part, _ in parts for i in part.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(map(len, raws)) <= (1 << 18) + max(map(len, raws)) for _, raws in parts)
+
+
 def test_kept_text_is_what_the_hash_says(edges):
     for r in substring.remove_repeats(edges).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256

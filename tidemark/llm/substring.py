@@ -26,6 +26,7 @@ document. Python writes nothing but Arrow batches; hot joins are left to AQE.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -216,9 +217,15 @@ def _joined(own: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return map_texts(own, "text", make, schema).join(lists.hint("shuffle_hash"), ["doc", "tag"], how).select(*schema.names, "list")
 
 
-def _unpack(batch: pa.RecordBatch) -> list[bytes]:
+def _unpacked_bytes(packed: pa.Array) -> np.ndarray:
+    return np.fromiter((zstandard.frame_content_size(x) for x in packed.to_pylist()), np.int64, len(packed))
+
+
+def _opened(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Row ranges of a batch with their texts, of about ``limit`` bytes together once unpacked: what repeats packs to almost nothing."""
     opener = zstandard.ZstdDecompressor()
-    return [opener.decompress(x) for x in batch.column(3).to_pylist()]
+    for part in slices(batch, "packed", limit, _unpacked_bytes):
+        yield part, [opener.decompress(x) for x in part.column(3).to_pylist()]
 
 
 def repeated_spans(docs: DataFrame, *, width: int = 20, text: str = "text", doc_id: str = "doc_id", seed: int = 7, bits: int = 64) -> DataFrame:
@@ -252,8 +259,8 @@ def repeated_spans(docs: DataFrame, *, width: int = 20, text: str = "text", doc_
     def expand(batches):
         combiner = _Combiner()
         for batch in batches:
-            for part in slices(batch, "packed", SLICE // 4):
-                w = Windows(pa.array(_unpack(part), pa.binary()).cast(pa.string()), width, seed, bits)
+            for part, texts in _opened(batch, SLICE // 2):
+                w = Windows(pa.array(texts, pa.binary()).cast(pa.string()), width, seed, bits)
                 wanted = part.column(4)
                 row = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy())
                 at, n = (x.to_numpy() for x in wanted.flatten().flatten())
@@ -307,14 +314,14 @@ def _removed(docs: DataFrame, spans: DataFrame, width: int, text: str, doc_id: s
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "packed"):
+            for part, texts in _opened(batch, SLICE // 2):
                 lists = part.column(4)
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
                 cut, row = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(len(sizes)), sizes)
                 at, n, *source = (x.to_numpy(zero_copy_only=False) for x in (pc.fill_null(c, -1) for c in lists.flatten().flatten()))
                 own = source[2] >= 0
                 out, digests = [], []
-                for k, raw in enumerate(_unpack(part)):
+                for k, raw in enumerate(texts):
                     here = slice(cut[k], cut[k + 1])
                     kept, new = _verdict(raw, at[here], n[here], own[here], width)
                     out.append(kept)

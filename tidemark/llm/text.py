@@ -49,11 +49,11 @@ def text_bytes(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch whose texts have about ``limit`` bytes together."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, size: Callable[[pa.Array], np.ndarray] = text_bytes) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch whose texts have about ``limit`` bytes together, by ``size``."""
     if batch.num_rows == 0:
         return
-    group = np.cumsum(text_bytes(batch.column(text))) // limit
+    group = np.cumsum(size(batch.column(text))) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
