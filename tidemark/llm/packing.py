@@ -14,7 +14,6 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.text import filled, handing_back, map_texts
+from tidemark.llm.text import filled, handing_back, kept, map_texts
 from tidemark.storage import stage
 
 PIECES = T.StructType(
@@ -175,9 +174,9 @@ class Coder:
         return [ids[a:b] for a, b in zip(end, end[1:])]
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    return Coder(path)
+    """The coder of a file, which stays with the worker until it turns to other work."""
+    return kept(("coder", path), lambda: Coder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step holds; a longer single text goes alone.
 SLICE_BYTES = 2 << 20
-_BATCH_BYTES, _BATCH_ROWS = 8 << 20, 2000
+_BATCH_BYTES, _BATCH_ROWS = 2 << 20, 2000
+#: What this worker keeps for later tasks, and the names that its present task asked for.
+_kept: dict = {}
+_asked: set = set()
 
 
 def bounded_batches(df: DataFrame) -> None:
@@ -44,6 +47,25 @@ def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
     return whole
 
 
+def kept(name, make: Callable[[], object]):
+    """What ``make`` gives, from an earlier task of this worker if that one made it and every task since asked for it when it began."""
+    _asked.add(name)
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def begin(make: Callable[[], Callable]) -> Callable:
+    """``make()`` at the begin of a task; what earlier tasks kept and this one doesn't ask for goes."""
+    _asked.clear()
+    step = make()
+    if set(_kept) - _asked:
+        for name in set(_kept) - _asked:
+            del _kept[name]
+        give_back()
+    return step
+
+
 def text_bytes(texts: pa.Array) -> np.ndarray:
     """UTF-8 length of each text, null as 0."""
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -73,7 +95,7 @@ def map_texts(
         step = None
         for batch in batches:
             for part in slices(batch, text, limit):
-                step = step or make()
+                step = step or begin(make)
                 yield step(part)
         del step
         give_back()

@@ -69,16 +69,22 @@ def grams(texts: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple
     for n in STEMS:
         kinds.append(np.where(size > n, hashes(pc.utf8_slice_codeunits(bare, 0, n), 2), word))
     doc = owner(offsets)
-    found = [(doc, (k & low).astype(np.int64)[code]) for k in kinds]
+    found: list = []
+
+    def add(d: np.ndarray, f: np.ndarray) -> None:
+        if wanted is not None:  # one kind at a time: few features are
+            d, f = d[wanted[f]], f[wanted[f]]
+        found.append((d << 32) | f)
+
+    for k in kinds:
+        add(doc, (k & low).astype(np.int64)[code])
     each = word[code]
     for gap in (1, 2):
         if len(each) > gap:
             same = doc[gap:] == doc[:-gap]
             pair = (each[:-gap] * _MIX + each[gap:] * (_MIX + np.uint64(2 * gap))) * _MIX
-            found.append((doc[gap:][same], ((pair >> np.uint64(32)) & low).astype(np.int64)[same]))
-    if wanted is not None:
-        found = [(d[keep], f[keep]) for d, f in found for keep in [wanted[f]]]
-    both = np.unique(np.concatenate([(d << 32) | f for d, f in found]))
+            add(doc[gap:][same], ((pair >> np.uint64(32)) & low).astype(np.int64)[same])
+    both = np.unique(np.concatenate(found))
     return both >> 32, both & 0xFFFFFFFF
 
 
@@ -139,8 +145,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()
         .toPandas()
     )
     spark = docs.sparkSession
-    keys = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rank", T.IntegerType())])
-    chosen = F.broadcast(spark.createDataFrame([(int(x), k) for k, x in enumerate(known["doc_id"])], keys))  # fit_rows at most
+    ids = known["doc_id"].to_numpy(np.int64)
+
+    def keys(ranks: np.ndarray) -> DataFrame:
+        """Ids and ranks, fit_rows at most. As Arrow: rows of a list would start a second Python daemon, with its workers, on every executor."""
+        return F.broadcast(spark.createDataFrame(pa.table({"doc_id": ids[ranks], "rank": ranks.astype(np.int32)})))
+
+    chosen = keys(np.arange(len(ids)))
     mine = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     length = mine.join(chosen, "doc_id").groupBy("rank").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).toPandas().sort_values("rank")
     total, fits = 0, []
@@ -148,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()
         fits.append(total + size <= settings.fit_bytes)
         total += size if fits[-1] else 0
     length = length[np.array(fits, bool)]
-    part = F.broadcast(spark.createDataFrame([(int(known["doc_id"][k]), int(k)) for k in length["rank"]], keys))
+    part = keys(length["rank"].to_numpy(np.int64))
     got = mine.join(part, "doc_id").groupBy("rank").agg(F.max("text").alias("text")).toArrow().sort_by("rank")
     y = known["y"].to_numpy()[got["rank"].to_numpy()] if got.num_rows else np.empty(0, int)
     return fit(pa.concat_arrays(got["text"].chunks) if got.num_rows else pa.array([], pa.string()), np.minimum(y, 1), settings)
